@@ -131,9 +131,46 @@ def registry_link(c: Column, base: str = REGISTRY_SEARCH_URL) -> Column:
     return F.concat(F.lit(base), enc)
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def fixed(c: Column, digits: int) -> Column:
-    """Decimal text with a fixed number of digits, half rounded away from zero."""
-    return F.round(c.cast("decimal(38,15)"), digits).cast(f"decimal(38,{digits})").cast("string")
+    """Decimal text with a fixed number of digits, rounded from the exact binary value.
+
+    Ties go away from zero. A product such as ``32.55 * 10`` can look like a tie only because it
+    was rounded, so its rounding error is worked out too and decides.
+    """
+    scale = 10**digits
+
+    def rounded(part: Column, high: Column) -> Column:
+        def up(product: Column) -> Column:
+            error = (high * scale - product) + (part - high) * scale
+            below = F.floor(product)
+            rest = product - below
+            return below + F.when((rest > 0.5) | ((rest == 0.5) & (error >= 0)), 1).otherwise(0)
+
+        return _let(part * scale, up)
+
+    def units(size: Column) -> Column:
+        def of_part(part: Column) -> Column:
+            # the upper half of the digits, whose product with the scale is exact
+            upper = _let(part * 134217729.0, lambda spread: spread - (spread - part))
+            return _let(upper, lambda high: rounded(part, high))
+
+        return F.floor(size) * scale + _let(size - F.floor(size), of_part)
+
+    def with_point(text: Column) -> Column:
+        cut = F.length(text) - digits
+        return F.concat(text.substr(F.lit(1), cut), F.lit("."), text.substr(cut + 1, F.lit(digits)))
+
+    def shown(text: Column) -> Column:
+        wide = F.lpad(text, F.greatest(F.length(text), F.lit(digits + 1)), F.lit("0"))
+        return _let(wide, with_point) if digits else text
+
+    number = _let(F.abs(c.cast("double")), units).cast("string")
+    return F.concat(F.when(c < 0, F.lit("-")).otherwise(F.lit("")), _let(number, shown))
 
 
 def grouped(c: Column) -> Column:

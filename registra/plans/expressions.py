@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from registra.functions import text
 from registra.plans.projects import table
-from registra.plans.registry import query, quoted, sql_strip
+from registra.plans.registry import query, quoted, sql_fixed, sql_strip
 
 # Customer names inside typical organisation names.
 _FORMS = (
@@ -123,21 +123,17 @@ def x08(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", text.registry_link(key).alias("link"))
 
 
-def _fixed_sql(expr: str, n: int) -> str:
-    return f"CAST(CAST(round(CAST({expr} AS DECIMAL(38,15)), {n}) AS DECIMAL(38,{n})) AS VARCHAR)"
-
-
 def _budget_sql(c: str, digits: int) -> str:
     return (f"CASE WHEN {c} IS NULL OR {c} = 0 THEN '—' "
-            f"WHEN {c} >= 1000000 THEN {_fixed_sql(f'{c} / 1000000', 1)} || ' млрд ₽' "
-            f"WHEN {c} >= 1000 THEN {_fixed_sql(f'{c} / 1000', digits)} || ' млн ₽' "
+            f"WHEN {c} >= 1000000 THEN {sql_fixed(f'{c} / 1000000', 1)} || ' млрд ₽' "
+            f"WHEN {c} >= 1000 THEN {sql_fixed(f'{c} / 1000', digits)} || ' млн ₽' "
             f"ELSE replace(format('{{:,}}', CAST(floor({c} + 0.5) AS BIGINT)), ',', chr(160)) "
             "|| ' тыс ₽' END")
 
 
 def _trend_sql(c: str, digits: int, unit: str) -> str:
-    return (f"CASE WHEN {c} >= 1 THEN {_fixed_sql(c, digits)} || ' млрд{unit}' "
-            f"WHEN {c} > 0 THEN {_fixed_sql(f'{c} * 1000', 0)} || ' млн{unit}' ELSE '—' END")
+    return (f"CASE WHEN {c} >= 1 THEN {sql_fixed(c, digits)} || ' млрд{unit}' "
+            f"WHEN {c} > 0 THEN {sql_fixed(f'{c} * 1000', 0)} || ' млн{unit}' ELSE '—' END")
 
 
 _FINE = "CASE WHEN c_custkey % 10 = 0 THEN 0 ELSE c_acctbal END"
@@ -147,7 +143,7 @@ _FINE = "CASE WHEN c_custkey % 10 = 0 THEN 0 ELSE c_acctbal END"
        f"SELECT c_custkey, {_budget_sql('v', 1)} AS list, {_budget_sql('v * 1000', 0)} AS map, "
        f"{_trend_sql('v / 5000', 1, '')} AS trend, {_trend_sql('v / 5000', 2, ' ₽')} AS trend_full, "
        "CASE WHEN n = 0 THEN '—' WHEN n >= 1000 THEN "
-       f"{_fixed_sql('n / 1000', 1)} || 'k' ELSE CAST(n AS VARCHAR) END AS count_short, "
+       f"{sql_fixed('n / 1000', 1)} || 'k' ELSE CAST(n AS VARCHAR) END AS count_short, "
        "CASE WHEN n = 0 THEN '—' ELSE replace(format('{:,}', n), ',', chr(160)) || ' проектов' END "
        f"AS count_full FROM (SELECT c_custkey, {_FINE} AS v, c_custkey * 3 AS n FROM customer)")
 def x09(spark, sf):

@@ -45,3 +45,14 @@ SQL_BLANK = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]"
 
 def sql_strip(expr: str) -> str:
     return f"regexp_replace({expr}, '^{SQL_BLANK}+|{SQL_BLANK}+$', '', 'g')"
+
+
+def sql_fixed(expr: str, n: int) -> str:
+    """SQL for decimal text rounded from the exact binary value, ties upwards.
+
+    The formatter rounds exact ties to even. They occur only at multiples of a power of two, which
+    a small addition lifts above the tie.
+    """
+    steps = 2 ** (n + 1)
+    lift = f"CASE WHEN ({expr}) * {steps} = floor(({expr}) * {steps}) THEN 0.1 / {10**n} ELSE 0 END"
+    return f"format('{{:.{n}f}}', CAST(({expr}) + {lift} AS DOUBLE))"

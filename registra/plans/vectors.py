@@ -11,7 +11,7 @@ from registra.plans.projects import (
     ALL_QUESTIONS_SQL, LABEL_QUESTIONS_SQL, STORE_SQL, all_questions, hits_sql, label_questions,
     projects, table, vector_store, with_projects,
 )
-from registra.plans.registry import dec_round, query, sql_strip
+from registra.plans.registry import dec_round, query, sql_fixed, sql_strip
 from registra.session import shared_dir
 from registra.sources.tables import KEY
 from registra.streaming.incremental import embed_incremental
@@ -138,8 +138,7 @@ def v08(spark, sf):
     "'\". Каковы цели исследования и ожидаемые результаты?' AS question, "
     "'Analyse the research project: \"' || name || '\". ' || chr(10) || 'Budget: ' || "
     "CASE WHEN budget_total_thousands <> 0 THEN "
-    "CAST(CAST(round(CAST(budget_total_thousands / 1000 AS DECIMAL(38,15)), 1) AS DECIMAL(38,1)) "
-    "AS VARCHAR) || ' million RUB' ELSE 'unknown' END || '. ' || chr(10) || 'Year: ' || year || '.' "
+    f"{sql_fixed('budget_total_thousands / 1000', 1)} || ' million RUB' ELSE 'unknown' END || '. ' || chr(10) || 'Year: ' || year || '.' "
     "|| chr(10) || 'Institution: ' || executor_name || '.' || chr(10) || 'Focus: ' || "
     "coalesce(array_to_string(list_slice(string_split(keyword_list, ';'), 1, 3), ', '), "
     "'general research') || '.' || chr(10) || "

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from registra.functions.numeric import money_sum, round_dec
-from registra.functions.text import clean_org_label, strip
+from registra.functions.text import BLANK, clean_org_label, strip
 from registra.operators.keywords import KEYWORDS
 from registra.operators.metrics import BUDGET
 from registra.operators.shared import HEAVY, memberships, top_shared_pairs
@@ -81,8 +81,13 @@ def record_words(
     listed = df.where(F.col(column).isNotNull()).select(column)
     if sample is not None:
         listed = listed.limit(sample)
-    words = F.transform(F.split(F.col(column), ";"), lambda w: F.lower(strip(w)))
-    return listed.select(F.slice(F.filter(words, lambda w: w != ""), 1, n).alias("words"))
+    # A separator takes the blanks and empty keywords after it along, so splitting stops after
+    # the first n keywords however long the list is.
+    blank = BLANK[1:-1]
+    start = F.regexp_replace(F.col(column), f"^[;{blank}]+", "")
+    parts = F.slice(F.split(start, f";[;{blank}]*", n + 1), 1, n)
+    words = F.transform(parts, lambda w: F.lower(strip(w)))
+    return listed.select(F.filter(words, lambda w: w != "").alias("words"))
 
 
 def topic_nodes(words: DataFrame, limit: int | None = 100) -> DataFrame:

@@ -173,6 +173,8 @@ def top_terms(df: DataFrame, column: str = KEYWORDS, sep: str = "[;,]", n: int =
     parts = df.where(F.col(column).isNotNull()).select(
         F.explode(F.split(F.col(column), sep)).alias("part")
     )
-    terms = parts.select(F.lower(strip(F.col("part"))).alias("term"))
-    counts = terms.where(F.col("term") != "").groupBy("term").agg(F.count(F.lit(1)).alias("count"))
+    # count parts as written first: far fewer distinct parts are left to normalise
+    raw = parts.groupBy("part").agg(F.count(F.lit(1)).alias("count"))
+    terms = raw.select(F.lower(strip(F.col("part"))).alias("term"), "count")
+    counts = terms.where(F.col("term") != "").groupBy("term").agg(F.sum("count").alias("count"))
     return counts.orderBy(F.desc("count"), F.asc("term")).limit(n)

@@ -82,27 +82,33 @@ def exact_median(
     values = df.select(F.col(column).cast("double").alias("v")).where(
         F.col("v").isNotNull() & ~F.isnan("v")
     )
-    n = values.count()
+    slack = 3.0 / accuracy
+    first = values.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.percentile_approx("v", [0.5 - slack, 0.5 + slack], accuracy).alias("edges"),
+    ).first()
+    n = first["n"]
     if n == 0:
         return None
     ranks = [(n - 1) // 2, n // 2]
-    inside, size, below = values, n, 0
+    inside, below, edges = values, 0, first["edges"]
+    if n <= accuracy:  # the slack is narrower than one row
+        edges = values.agg(F.min("v"), F.max("v")).first()
     while True:
-        at = [(r - below + 0.5) / size for r in ranks]
-        slack = 2.0 / accuracy + 1.0 / size
-        edges = [max(0.0, at[0] - slack), min(1.0, at[1] + slack)]
-        low, high = inside.agg(F.percentile_approx("v", edges, accuracy)).first()[0]
+        low, high = edges
+        chosen = F.col("v").between(low, high)
         cut = inside.agg(
-            F.count_if(F.col("v") < low).alias("below"),
-            F.count_if(F.col("v").between(low, high)).alias("size"),
+            F.count_if(F.col("v") < low).alias("below"), F.count_if(chosen).alias("size")
         ).first()
-        below, size = below + cut["below"], cut["size"]
-        inside = inside.where(F.col("v").between(low, high))
-        counts = inside.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
-        if counts.limit(finish + 1).count() <= finish:
+        below, inside = below + cut["below"], inside.where(chosen)
+        counts = inside.groupBy("v").agg(F.count(F.lit(1)).alias("n")).limit(finish + 1).collect()
+        if len(counts) <= finish:
             break
+        at = [(r - below + 0.5) / cut["size"] for r in ranks]
+        asked = [max(0.0, at[0] - slack), min(1.0, at[1] + slack)]
+        edges = inside.agg(F.percentile_approx("v", asked, accuracy)).first()[0]
     middle, seen, wanted = [], below, list(ranks)
-    for v, count in sorted((r["v"], r["n"]) for r in counts.collect()):
+    for v, count in sorted((r["v"], r["n"]) for r in counts):
         seen += count
         while wanted and wanted[0] < seen:
             middle.append(v)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,6 +30,8 @@ SOURCES = 5
 # A question table up to this size travels with the task; a larger one is joined in blocks.
 MAX_SENT_QUESTIONS = 2_000
 BLOCK_ROWS = 20_000
+# Similarities worked out at a time in one task.
+MAX_PRODUCTS = 4_000_000
 # Similarities that agree to this many digits are ties and are ordered by key.
 TIE_DIGITS = 9
 
@@ -44,20 +47,20 @@ def source_texts(df: DataFrame) -> DataFrame:
     return rows.where(usable).select(KEY, prefix(F.col("source_text"), TEXT_CUT).alias("source_text"))
 
 
-def hashing_encoder(dim: int = DIMENSIONS, n: int = 3) -> Encoder:
-    """Deterministic stand-in for a language model: hashed character n-grams, length one."""
+def hashing_encoder(dim: int = DIMENSIONS) -> Encoder:
+    """Deterministic stand-in for a language model: hashed character trigrams, length one."""
 
     def encode(texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), dim))
         for row, text in enumerate(texts):
-            padded = f" {text.lower()} "
-            grams = {}
-            for i in range(max(1, len(padded) - n + 1)):
-                gram = padded[i : i + n]
-                grams[gram] = grams.get(gram, 0) + 1
-            for gram, count in grams.items():
-                h = zlib.crc32(gram.encode())
-                out[row, (h >> 1) % dim] += count if h & 1 else -count
+            codes = np.frombuffer(f" {text.lower()} ".encode("utf-32-le"), dtype=np.uint32)
+            codes = codes.astype(np.uint64)
+            grams = (codes[:-2] * 1_000_003 + codes[1:-1]) * 1_000_003 + codes[2:]
+            grams ^= grams >> 29
+            grams = grams * np.uint64(0xBF58476D1CE4E5B9)
+            grams ^= grams >> 32
+            sign = np.where(grams & 1, 1.0, -1.0)
+            out[row] = np.bincount((grams >> 1) % dim, weights=sign, minlength=dim)
         norms = np.linalg.norm(out, axis=1, keepdims=True)
         return out / np.where(norms > 0, norms, 1.0)
 
@@ -91,13 +94,22 @@ def embed_texts(
 _HITS = "question_id string, {key} string, score double"
 
 
-def _matrix(column: pd.Series) -> np.ndarray:
-    """Vectors scaled to length one; a vector without length becomes NaN."""
-    m = np.stack([np.asarray(v, dtype=np.float64) for v in column])
+def _unit_rows(m: np.ndarray) -> np.ndarray:
+    """Rows scaled to length one; a row without length becomes NaN."""
     norms = np.linalg.norm(m, axis=1, keepdims=True)
     return m / np.where(norms > 0, norms, np.nan)
 
 
+def _matrix(column: pd.Series) -> np.ndarray:
+    return _unit_rows(np.stack([np.asarray(v, dtype=np.float64) for v in column]))
+
+
+def _arrow_matrix(column: pa.ListArray) -> np.ndarray:
+    """Unit vectors straight from the flat values of an Arrow list column."""
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return _unit_rows(flat.reshape(len(column), -1))
+
+
 def _best(q: np.ndarray, keys: np.ndarray, score: np.ndarray, k: int):
     """First ``k`` per question by score, then key. A missing score comes last."""
     order = np.lexsort((keys, -score, q))
@@ -117,6 +129,12 @@ class _TopK:
         self.score = np.array([], dtype=np.float64)
 
     def add(self, keys: np.ndarray, vectors: np.ndarray, allowed: np.ndarray | None = None):
+        step = max(self.k + 1, MAX_PRODUCTS // max(1, len(self.questions)))
+        for i in range(0, len(keys), step):
+            part = slice(i, i + step)
+            self._add(keys[part], vectors[part], None if allowed is None else allowed[part])
+
+    def _add(self, keys: np.ndarray, vectors: np.ndarray, allowed: np.ndarray | None):
         sims = np.round(vectors @ self.questions.T, TIE_DIGITS) + 0.0
         sims = np.where(np.isnan(sims), -np.inf, sims)
         floor = np.full(sims.shape[1], -np.inf)
@@ -135,6 +153,15 @@ class _TopK:
         score = np.where(np.isneginf(self.score), np.nan, self.score)
         return pd.DataFrame({"question_id": ids[self.q], key: self.keys, "score": score})
 
+    def batch(self, ids: np.ndarray, key: str) -> pa.RecordBatch:
+        frame = self.frame(ids, key)
+        types = pa.schema([("question_id", pa.string()), (key, pa.string()), ("score", pa.float64())])
+        return pa.RecordBatch.from_pandas(frame, schema=types, preserve_index=False)
+
+
+def _keys(column: pa.Array) -> np.ndarray:
+    return column.to_numpy(zero_copy_only=False)
+
 
 def _first_hits(hits: DataFrame, k: int, key: str) -> DataFrame:
     score = F.when(~F.isnan("score"), F.col("score"))
@@ -162,7 +189,9 @@ def nearest(
     record block and a question block is one task of the same kind.
     """
     schema = _HITS.format(key=key)
-    records = store.select(F.col(key).cast("string").alias(key), "embedding")
+    records = store.where(F.col("embedding").isNotNull()).select(
+        F.col(key).cast("string").alias(key), "embedding"
+    )
     asked = questions.select(F.col("question_id").cast("string"), "embedding")
 
     if _at_most(asked, max_sent):
@@ -171,14 +200,14 @@ def nearest(
             return store.sparkSession.createDataFrame([], schema + ", rank int")
         ids, matrix = sent["question_id"].to_numpy(dtype=object), _matrix(sent["embedding"])
 
-        def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             best = _TopK(matrix, k)
-            for frame in frames:
-                if len(frame):
-                    best.add(frame[key].to_numpy(dtype=object), _matrix(frame["embedding"]))
-            yield best.frame(ids, key)
+            for b in batches:
+                if len(b):
+                    best.add(_keys(b.column(key)), _arrow_matrix(b.column("embedding")))
+            yield best.batch(ids, key)
 
-        return _first_hits(records.mapInPandas(scan, schema), k, key)
+        return _first_hits(records.mapInArrow(scan, schema), k, key)
 
     record_blocks = max(1, -(-records.count() // block_rows))
     question_blocks = max(1, -(-asked.count() // max_sent))
@@ -190,14 +219,17 @@ def nearest(
         return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
 
     left = records.withColumn("rb", block(key, record_blocks)).withColumn("qb", every(question_blocks))
-    right = asked.withColumn("qb", block("question_id", question_blocks)).withColumn(
-        "rb", every(record_blocks)
-    )
+    # both sides may come from one table, so the question vectors get a name of their own
+    right = asked.select(
+        "question_id",
+        F.col("embedding").alias("asked"),
+        block("question_id", question_blocks).alias("qb"),
+    ).withColumn("rb", every(record_blocks))
 
     def meet(rows: pd.DataFrame, qs: pd.DataFrame) -> pd.DataFrame:
         if rows.empty or qs.empty:
             return pd.DataFrame({"question_id": [], key: [], "score": []})
-        best = _TopK(_matrix(qs["embedding"]), k)
+        best = _TopK(_matrix(qs["asked"]), k)
         best.add(rows[key].to_numpy(dtype=object), _matrix(rows["embedding"]))
         return best.frame(qs["question_id"].to_numpy(dtype=object), key)
 
@@ -302,9 +334,17 @@ def ivf_search(index: IvfIndex, questions: DataFrame, k: int = 10, probes: int =
     """
     asked = questions.select(F.col("question_id").cast("string"), "embedding")
     if not _at_most(asked, MAX_SENT_QUESTIONS):
-        raise ValueError(f"ask at most {MAX_SENT_QUESTIONS} questions at a time")
+        # a larger table is asked in parts, each small enough to travel with the tasks
+        parts = -(-2 * asked.count() // MAX_SENT_QUESTIONS)
+        part = F.pmod(F.xxhash64("question_id"), F.lit(parts))
+        return reduce(
+            DataFrame.unionByName,
+            [ivf_search(index, asked.where(part == i), k, probes, key) for i in range(parts)],
+        )
     sent = asked.toPandas()
     schema = _HITS.format(key=key)
+    if sent.empty:
+        return index.records.sparkSession.createDataFrame([], schema + ", rank int")
     ids, matrix = sent["question_id"].to_numpy(dtype=object), _matrix(sent["embedding"])
     cells = len(index.centres)
     closest = np.argsort(-np.nan_to_num(matrix @ index.centres.T), axis=1, kind="stable")
@@ -312,18 +352,18 @@ def ivf_search(index: IvfIndex, questions: DataFrame, k: int = 10, probes: int =
     np.put_along_axis(probed, closest[:, : min(probes, cells)], True, axis=1)
     wanted = [int(c) for c in np.flatnonzero(probed.any(axis=0))]
 
-    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = _TopK(matrix, k)
-        for frame in frames:
-            if len(frame):
-                allowed = probed[:, frame["cell"].to_numpy()].T
-                best.add(frame[key].to_numpy(dtype=object), _matrix(frame["embedding"]), allowed)
-        yield best.frame(ids, key)
+        for b in batches:
+            if len(b):
+                allowed = probed[:, b.column("cell").to_numpy()].T
+                best.add(_keys(b.column(key)), _arrow_matrix(b.column("embedding")), allowed)
+        yield best.batch(ids, key)
 
     pruned = index.records.where(F.col("cell").isin(wanted)).select(
         F.col(key).cast("string").alias(key), "embedding", "cell"
     )
-    return _first_hits(pruned.mapInPandas(scan, schema), k, key)
+    return _first_hits(pruned.mapInArrow(scan, schema), k, key)
 
 
 def recall(found: DataFrame, exact: DataFrame, key: str = KEY) -> DataFrame:

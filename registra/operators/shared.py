@@ -68,6 +68,11 @@ def shared_member_pairs(
         F.col("aside").alias("target_aside"),
         F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"),
     )
+    # Few links make many pairs: a fixed number of partitions keeps adaptive execution from
+    # merging the small-looking inputs of this join into a few tasks.
+    parts = int(links.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left = left.repartition(parts, "member", "block")
+    right = right.repartition(parts, "member", "block")
     met = (
         left.join(right, ["member", "block"])
         .where(F.col("source") < F.col("target"))

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from registra.operators import geo, metrics
+from registra.operators import cities, geo, metrics
 from registra.operators.geo import City
-from registra.plans.projects import projects, with_projects
+from registra.plans.projects import projects, table, with_projects
 from registra.plans.registry import money, query
 
 # A small dictionary over the given nation names. "nation_1" is part of "nation_12", and one city
@@ -77,6 +77,27 @@ def j07_longest(spark, sf):
     return geo.place_rows(_rows(spark, sf), CITIES, "longest")
 
 
+_FULL_KEYS = ", ".join(f"({i}, '{k}')" for i, c in enumerate(cities.CITIES) for k in c.keys)
+_FULL_NAMES = ", ".join(f"'{c.city}'" for c in cities.CITIES)
+
+
+@query("j07_city_dictionary", f"""WITH names AS (
+  SELECT c_custkey, 'Институт ' || [{_FULL_NAMES}][c_custkey % {len(cities.CITIES)} + 1] || ' '
+    || c_name AS institution FROM customer
+), found AS (
+  SELECT c_custkey, min(i) AS i FROM names, (VALUES {_FULL_KEYS}) k(i, key)
+  WHERE contains(lower(institution), key) GROUP BY c_custkey
+)
+SELECT c_custkey, institution, [{_FULL_NAMES}][i + 1] AS city FROM names LEFT JOIN found USING (c_custkey)""")
+def j07_dictionary(spark, sf):
+    names = F.array(*[F.lit(c.city) for c in cities.CITIES])
+    city = F.get(names, (F.col("c_custkey") % len(cities.CITIES)).cast("int"))
+    rows = table(spark, sf, "customer").select(
+        "c_custkey", F.concat_ws(" ", F.lit("Институт"), city, "c_name").alias("institution"))
+    placed = geo.first_match(rows, "institution", cities.CITIES, fallback=False)
+    return placed.select("c_custkey", "institution", "city")
+
+
 @query("j08_fallback_match", with_projects(
     f", {_FIRST} SELECT institution, city FROM placed WHERE city = 'Nation_8. Port'"))
 def j08(spark, sf):

@@ -13,7 +13,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from registra.plans.catalog import QUERIES  # noqa: E402
-from registra.session import local_session  # noqa: E402
+from registra.session import local_session, ship_package  # noqa: E402
 
 HEADLINE = (
     "a01_total", "a03_distinct_count", "a04_count_by_year", "a05_top_groups", "a07_dashboard",
@@ -32,6 +32,7 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     asked = os.environ.get("BENCH_QUERIES", "")
     names = sorted(QUERIES) if asked == "all" else asked.split(",") if asked else HEADLINE
+    ship_package()
     spark = local_session(os.environ.get("BENCH_CPUS", "8"), "bench")
     spark.sparkContext.setLogLevel("ERROR")
     spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy("o_orderstatus").count().collect()

@@ -14,7 +14,7 @@ SEPARATOR = "; "
 
 def join_strings(c: Column) -> Column:
     """Join a list of strings; empty and null members are left out, an empty list is null."""
-    kept = F.filter(c, lambda x: x.isNotNull() & (x != ""))
+    kept = F.filter(c.cast("array<string>"), lambda x: x.isNotNull() & (x != ""))
     return F.when(F.size(c) > 0, F.array_join(kept, SEPARATOR))
 
 

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # ---- fixed values -------------------------------------------------------------------------
-# All blanks a Unicode-aware strip removes, as a regex class.
+# All blanks a Unicode-aware strip removes, as a regex class and as characters.
 BLANK = r"[\s\x1c-\x1f\x85\p{Z}]"
+BLANKS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 
 # Quotation marks removed around an organisation label.
 LABEL_QUOTES = "«»\"'“”„‟"
@@ -69,7 +75,18 @@ _FLAGS = "(?iuU)"  # Cyrillic case folding and Unicode blanks need both u and U
 
 def strip(c: Column) -> Column:
     """Remove every kind of Unicode blank at both ends (SQL ``trim`` removes spaces only)."""
-    return F.regexp_replace(c, f"^{BLANK}+|{BLANK}+$", "")
+    return F.btrim(c, F.lit(BLANKS))
+
+
+def is_blank(c: Column) -> Column:
+    """True when only blanks are left. Stops at the first other character of a long text."""
+    return ~c.rlike("[^" + BLANK[1:])
+
+
+def stripped_equals(c: Column, tokens: Sequence[str]) -> Column:
+    """True when the stripped text is one of the tokens, without copying long texts."""
+    options = "|".join("\\Q" + t + "\\E" for t in tokens)
+    return c.rlike(f"^{BLANK}*(?:{options}){BLANK}*\\z")
 
 
 def norm_keyword(c: Column) -> Column:

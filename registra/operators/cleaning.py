@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from registra.functions import nested
-from registra.functions.text import strip
+from registra.functions.text import stripped_equals
 from registra.operators.profile import fill_rates_row
 from registra.sources.snapshots import flatten_structs
 from registra.sources.tables import KEY
@@ -170,7 +170,7 @@ def null_junk(df: DataFrame, tokens: Sequence[str] = JUNK) -> DataFrame:
     return _replace(
         df,
         {
-            n: F.when(~strip(F.col(n)).isin(list(tokens)), F.col(n))
+            n: F.when(~stripped_equals(F.col(n), tokens), F.col(n))
             for n in _text_columns(df)
         },
     )

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from registra.functions.numeric import round_dec
-from registra.functions.text import prefix, strip
+from registra.functions.text import is_blank, prefix
 from registra.functions.vectors import unit
 from registra.operators.paging import top_k_per_group
 from registra.sources.tables import KEY
@@ -43,7 +43,7 @@ def source_texts(df: DataFrame) -> DataFrame:
     texts = [F.col(c) for c in ("scientific_groundwork", "annotation") if c in df.columns]
     text = F.coalesce(*texts) if texts else F.lit(None).cast("string")
     rows = df.select(F.col(KEY), text.alias("source_text"))
-    usable = (strip(F.col(KEY)) != "") & (strip(F.col("source_text")) != "")
+    usable = ~is_blank(F.col(KEY)) & ~is_blank(F.col("source_text"))
     return rows.where(usable).select(KEY, prefix(F.col("source_text"), TEXT_CUT).alias("source_text"))
 
 

@@ -1,6 +1,6 @@
 """Pairs of groups that share members, without spelling out every pair of a large member.
 
-A member that belongs to ``d`` groups would yield ``d * (d - 1) / 2`` pairs. Two exact
+A member that belongs to ``d`` groups would yield ``d * (d - 1) / 2`` pairs. Exact
 reductions keep that in bounds:
 
 * **Largest member left aside.** Pairs must share at least two members to be kept, so each group
@@ -8,6 +8,9 @@ reductions keep that in bounds:
   through the other one. The one left out is the group's largest *heavy* member (more than
   ``heavy`` groups). Whether a pair shares that member too is settled afterwards by comparing it,
   or by one lookup join on (group, member).
+* **Small groups dropped from a top list.** A pair shares no more members than its smaller group
+  has. The pairs of a few dozen large groups give a weight that the list reaches in any case, and
+  groups with fewer members cannot take part.
 * **Copies cut to what a top list can show.** Groups with the same members tie in every pair, and
   ties are broken by id. In a top-k list only the first ``k + 1`` ids of each set of copies can
   occur, because each later id is preceded by ``k`` pairs of equal weight. The rest leave before
@@ -101,24 +104,48 @@ def shared_member_pairs(
     return settled.unionByName(looked_up).where(F.col("weight") >= at_least)
 
 
-def first_copies(links: DataFrame, k: int) -> DataFrame:
-    """Links of the first ``k`` ids of every set of groups with the same members.
+def _group_marks(links: DataFrame) -> DataFrame:
+    """Size of every group and two independent 64-bit hashes of its members.
 
-    Sets are recognised by their size and two independent 64-bit hashes of the members, which
-    aggregate without collecting the members of a group anywhere.
+    The hashes aggregate without collecting the members of a group anywhere. Groups that agree in
+    all three are taken for copies.
     """
-    marks = links.groupBy("grp").agg(
+    return links.groupBy("grp").agg(
         F.count(F.lit(1)).alias("n"),
         F.bit_xor(F.xxhash64("member")).alias("h1"),
         F.bit_xor(F.xxhash64(F.lit("second"), "member")).alias("h2"),
     )
-    first = top_k_per_group(marks, ["n", "h1", "h2"], [F.asc("grp")], k)
-    return links.join(first.select("grp"), "grp", "left_semi")
+
+
+def first_copies(links: DataFrame, k: int) -> DataFrame:
+    """The first ``k`` ids of every set of groups with the same members, with their size ``n``."""
+    first = top_k_per_group(_group_marks(links), ["n", "h1", "h2"], [F.asc("grp")], k)
+    return first.select("grp", "n")
+
+
+def _reached_weight(links: DataFrame, groups: DataFrame, k: int) -> Column:
+    """Weight of the ``k``-th best pair of the largest groups; null when they have fewer pairs.
+
+    As many groups are taken as have ``4 * k`` pairs, so a member meets only that many of them.
+    """
+    probe = groups.orderBy(F.desc("n"), F.asc("grp")).limit(int((8 * k) ** 0.5) + 2)
+    near = links.join(probe, "grp", "left_semi")
+    far = near.select("member", F.col("grp").alias("other"))
+    weights = (
+        near.join(far, "member")
+        .where(F.col("grp") < F.col("other"))
+        .groupBy("grp", "other")
+        .agg(F.count(F.lit(1)).alias("weight"))
+    )
+    return weights.orderBy(F.desc("weight")).offset(k - 1).limit(1).select("weight").scalar()
 
 
 def top_shared_pairs(
     links: DataFrame, k: int = 500, at_least: int = 2, heavy: int = HEAVY
 ) -> DataFrame:
     """The ``k`` pairs with the most shared members, ties by source and target."""
-    pairs = shared_member_pairs(first_copies(links, k + 1), at_least, heavy)
+    groups = first_copies(links, k + 1)
+    needed = F.greatest(F.lit(at_least), _reached_weight(links, groups, k))
+    large = groups.where(F.col("n") >= needed)
+    pairs = shared_member_pairs(links.join(large, "grp", "left_semi"), at_least, heavy)
     return pairs.orderBy(F.desc("weight"), F.asc("source"), F.asc("target")).limit(k)

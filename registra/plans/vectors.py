@@ -26,7 +26,9 @@ def v01(spark, sf):
     return retrieval.source_texts(projects(spark, sf, *_TEXT_COLUMNS))
 
 
-@query("v02_embed_texts")
+@query("v02_embed_texts", with_projects(
+    "SELECT registration_number, CAST(384 AS INTEGER) AS dim, CAST(1 AS DOUBLE) AS length "
+    f"FROM projects WHERE {sql_strip('annotation')} <> ''"))
 def v02(spark, sf):
     texts = retrieval.source_texts(projects(spark, sf, *_TEXT_COLUMNS))
     vectors = retrieval.embed_texts(texts, retrieval.hashing_encoder)
@@ -81,6 +83,16 @@ def v05(spark, sf):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+@query("v05_ivf_all_cells", with_projects(
+    f", {STORE_SQL}, {LABEL_QUESTIONS_SQL}, {hits_sql(10)} "
+    "SELECT question_id, registration_number, rank FROM hits"))
+def v05_all_cells(spark, sf):
+    store = retrieval.with_records(vector_store(spark, sf), projects(spark, sf, KEY))
+    index = retrieval.build_ivf(store, lists=16).save(shared_dir(spark, "ivf"))
+    hits = retrieval.ivf_search(index, label_questions(spark, sf), 10, probes=16)
+    return hits.select("question_id", KEY, "rank")
+
+
 @query("v06_retrieve_context", _search_sql(
     ALL_QUESTIONS_SQL, 5, "name, year, executor_name AS institution"))
 def v06(spark, sf):

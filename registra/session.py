@@ -25,6 +25,15 @@ def local_session(cores: int | str = 8, app: str = "registra") -> SparkSession:
     )
 
 
+def ship_package() -> None:
+    """Send the package's own functions along with tasks, so executors need not have it installed."""
+    from pyspark import cloudpickle
+
+    import registra
+
+    cloudpickle.register_pickle_by_value(registra)
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder that every executor can reach.
 

@@ -86,7 +86,7 @@ def is_blank(c: Column) -> Column:
 def stripped_equals(c: Column, tokens: Sequence[str]) -> Column:
     """True when the stripped text is one of the tokens, without copying long texts."""
     options = "|".join("\\Q" + t + "\\E" for t in tokens)
-    return c.rlike(f"^{BLANK}*(?:{options}){BLANK}*\\z")
+    return c.rlike(f"^{BLANK}*+(?:{options}){BLANK}*+\\z")
 
 
 def norm_keyword(c: Column) -> Column:

@@ -265,7 +265,9 @@ def semantic_search(
 ) -> DataFrame:
     """The ``k`` closest projects per question with attributes and similarity.
 
-    Keys are ranked first, so attributes are fetched for ``k`` rows per question only.
+    Keys are ranked first, so attributes are fetched for ``k`` rows per question only. The keys
+    found for a small question table (at most ``MAX_SENT_QUESTIONS`` times ``k``) are sent to the
+    projects and the store, so that neither is shuffled; those of a larger one are joined.
     """
     if not 1 <= k <= 50:
         raise ValueError("k must be 1 to 50")
@@ -274,9 +276,14 @@ def semantic_search(
     attributes = projects.select(
         KEY, *[F.col(c).alias(names.get(c, c)) for c in columns]
     )
+    texts = store.select(KEY, "source_text")
+    if _at_most(questions, MAX_SENT_QUESTIONS):
+        keys = F.broadcast(hits.select(KEY).distinct())
+        attributes = attributes.join(keys, KEY, "left_semi")
+        texts = texts.join(keys, KEY, "left_semi")
     return (
         hits.join(attributes, KEY)
-        .join(store.select(KEY, "source_text"), KEY)
+        .join(texts, KEY)
         .withColumn("similarity", round_dec(F.col("score"), 3))
         .drop("score")
     )

@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from registra.operators.paging import top_k_per_group
+from registra.sources.tables import written
 
 HEAVY = 2_000
 
@@ -40,10 +41,12 @@ def shared_member_pairs(
 ) -> DataFrame:
     """All pairs ``source < target`` of groups with ``weight >= at_least`` shared members.
 
-    ``links`` is the result of :func:`memberships`.
+    ``links`` is the result of :func:`memberships`. They are written once, since the plan reads
+    them several times.
     """
     if at_least < 2:
         raise ValueError("pairs must share at least two members")
+    links = written(links, "links")
     sizes = links.groupBy("member").agg(F.count(F.lit(1)).alias("size"))
     heavy_links = links.join(sizes.where(F.col("size") > heavy), "member")
     aside = (
@@ -144,6 +147,7 @@ def top_shared_pairs(
     links: DataFrame, k: int = 500, at_least: int = 2, heavy: int = HEAVY
 ) -> DataFrame:
     """The ``k`` pairs with the most shared members, ties by source and target."""
+    links = written(links, "links")
     groups = first_copies(links, k + 1)
     needed = F.greatest(F.lit(at_least), _reached_weight(links, groups, k))
     large = groups.where(F.col("n") >= needed)

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from registra.session import shared_dir
+
 KEY = "registration_number"
 
 
@@ -17,6 +19,17 @@ def read_clean(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The same rows read back from files in the shared folder.
+
+    For a frame that a plan uses many times: it is worked out once, its size is known to the
+    planner, and a lost executor costs no recomputation.
+    """
+    path = shared_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def load_table(df: DataFrame, name: str, path: str | None = None) -> int:
     """Replace table ``name`` with ``df`` and return its row count. ``path`` makes it external."""
     writer = df.write.mode("overwrite").format("parquet")

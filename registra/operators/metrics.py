@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from registra.functions.numeric import MONEY, money_avg, money_sum, round_dec
@@ -17,6 +17,8 @@ from registra.operators.filters import FilterSpec, year_between
 BUDGET = "budget_total_thousands"
 DASHBOARD_YEARS = (2019, 2027)
 BUDGET_YEARS = (2020, 2025)
+SIZE_EDGES = (1_000, 10_000, 100_000)
+SIZE_NAMES = ("under_1m", "to_10m", "to_100m", "over_100m")
 
 
 def total(df: DataFrame) -> DataFrame:
@@ -53,7 +55,7 @@ def top_groups(df: DataFrame, column: str, n: int = 10) -> DataFrame:
 def dashboard_cube(df: DataFrame, spec: FilterSpec = FilterSpec()) -> DataFrame:
     """Counts and money per (year, institution, type), one scan for the whole dashboard.
 
-    It is far smaller than the records. Persist it when several figures are taken from it.
+    It is far smaller than the records. Write or persist it when several figures are taken from it.
     """
     kept = spec.without_year().apply(df)
     return kept.groupBy("year", "executor_name", "nioktr_types").agg(
@@ -115,34 +117,67 @@ def budget_by_type(df: DataFrame, n: int = 8) -> DataFrame:
     return top_by_sum(df, "nioktr_types", n, average=True)
 
 
+def _size_counts(c: Column, edges: Sequence[float], names: Sequence[str]) -> list[Column]:
+    tests = [c < edges[0], *[c.between(a, b) for a, b in zip(edges, edges[1:])], c > edges[-1]]
+    return [F.count_if(t).alias(n) for t, n in zip(tests, names, strict=True)]
+
+
 def bucket_counts(
     df: DataFrame,
     column: str = BUDGET,
-    edges: Sequence[float] = (1_000, 10_000, 100_000),
-    names: Sequence[str] = ("under_1m", "to_10m", "to_100m", "over_100m"),
+    edges: Sequence[float] = SIZE_EDGES,
+    names: Sequence[str] = SIZE_NAMES,
 ) -> DataFrame:
     """Records per size class in one pass.
 
     Inner classes include both edges, so a value on an inner edge counts in two of them.
     """
-    c = F.col(column)
-    tests = [c < edges[0], *[c.between(a, b) for a, b in zip(edges, edges[1:])], c > edges[-1]]
-    return df.agg(*[F.count_if(t).alias(n) for t, n in zip(tests, names, strict=True)])
+    return df.agg(*_size_counts(F.col(column), edges, names))
 
 
-def budget_stats(
+def budget_cube(
     df: DataFrame,
-    spec: FilterSpec = FilterSpec(),
-    years: tuple[int, int] = BUDGET_YEARS,
-    edges: Sequence[float] = (1_000, 10_000, 100_000),
+    edges: Sequence[float] = SIZE_EDGES,
+    names: Sequence[str] = SIZE_NAMES,
+) -> DataFrame:
+    """Records with a budget per (year, institution, type): count, money and size classes.
+
+    One scan for all budget figures. Write or persist it when several figures are taken from it.
+    """
+    kept = df.where(F.col(BUDGET).isNotNull())
+    return kept.groupBy("year", "executor_name", "nioktr_types").agg(
+        F.count(F.lit(1)).alias("projects"),
+        F.sum(F.col(BUDGET).cast(MONEY)).alias("money"),
+        *_size_counts(F.col(BUDGET), edges, names),
+    )
+
+
+def budget_stats(
+    cube: DataFrame, spec: FilterSpec = FilterSpec(), years: tuple[int, int] = BUDGET_YEARS
 ) -> dict[str, DataFrame]:
-    """The four budget figures; by_year ignores the filters."""
-    kept = spec.apply(df)
+    """The four budget figures from :func:`budget_cube`; by_year ignores the filters.
+
+    The filters may name year, type and institution.
+    """
+    if spec.search:
+        raise ValueError("budget figures cannot be searched by text")
+    kept = spec.apply(cube)
+    money, n = F.sum("money").cast("double"), F.sum("projects")
+    billions = round_dec(money / 1_000_000, 1).alias("total_billions")
+    figures = [billions, round_dec(money / n / 1_000, 1).alias("avg_millions"), n.alias("projects")]
+
+    def ranked(column: str, k: int, *values: Column) -> DataFrame:
+        sums = kept.where(F.col(column).isNotNull()).groupBy(column).agg(*values)
+        return sums.orderBy(F.desc("total_billions"), F.asc(column)).limit(k)
+
+    sizes = [c for c in cube.columns if c not in (
+        "year", "executor_name", "nioktr_types", "projects", "money")]
+    zero = F.lit(0).cast("bigint")
     return {
-        "by_year": budget_by_year(df, years),
-        "top_orgs_by_budget": top_by_sum(kept, "executor_name", 10),
-        "by_type": budget_by_type(kept, 8),
-        "distribution": bucket_counts(kept, edges=edges),
+        "by_year": cube.where(year_between(*years)).groupBy("year").agg(*figures),
+        "top_orgs_by_budget": ranked("executor_name", 10, billions, n.alias("projects")),
+        "by_type": ranked("nioktr_types", 8, *figures),
+        "distribution": kept.agg(*[F.coalesce(F.sum(c), zero).alias(c) for c in sizes]),
     }
 
 

@@ -1,28 +1,32 @@
 """Pairs of groups that share members, without spelling out every pair of a large member.
 
-A member that belongs to ``d`` groups would yield ``d * (d - 1) / 2`` pairs. Exact
-reductions keep that in bounds:
-
-* **Largest member left aside.** Pairs must share at least two members to be kept, so each group
-  may leave one of its members out of the pair join: whatever pair shares two members still meets
-  through the other one. The one left out is the group's largest *heavy* member (more than
-  ``heavy`` groups). Whether a pair shares that member too is settled afterwards by comparing it,
-  or by one lookup join on (group, member).
-* **Small groups dropped from a top list.** A pair shares no more members than its smaller group
-  has. The pairs of a few dozen large groups give a weight that the list reaches in any case, and
-  groups with fewer members cannot take part.
-* **Copies cut to what a top list can show.** Groups with the same members tie in every pair, and
-  ties are broken by id. In a top-k list only the first ``k + 1`` ids of each set of copies can
-  occur, because each later id is preceded by ``k`` pairs of equal weight. The rest leave before
-  the join.
-
-A heavy member that remains in the join is split over several tasks by blocks of one side.
+A member that belongs to ``d`` groups would yield ``d * (d - 1) / 2`` pairs. A member of more than
+``heavy`` groups is called heavy; the others make at most ``heavy`` pairs per link. What follows
+keeps the heavy ones in bounds and is exact.
+
+All pairs (:func:`shared_member_pairs`): pairs must share at least two members, so each group may
+leave one member out of the pair join, and whatever pair shares two members still meets through the
+other one. The one left out is the group's largest heavy member. Whether a pair shares that member
+too is settled afterwards by comparing it, or by one lookup join on (group, member). A heavy member
+that remains is split over several tasks by blocks of one side.
+
+The best ``k`` pairs (:func:`top_shared_pairs`):
+
+* *Small groups are dropped.* A pair shares no more members than its smaller group has. The pairs of
+  a few dozen large groups give a weight that the list reaches in any case.
+* *Pairs with a light member in common* are met through it; the heavy members they share are added
+  by a lookup.
+* *Pairs with heavy members only* all tie when their groups have the same heavy members. Groups are
+  therefore reduced to classes of equal heavy members, overlaps are worked out per pair of classes,
+  and a pair of classes is spelled out only as far as a top list can reach: ties are broken by id,
+  so the pair of the i-th and the j-th id is preceded by all pairs of earlier ids.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from registra.operators.paging import top_k_per_group
 from registra.sources.tables import written
@@ -36,6 +40,16 @@ def memberships(df: DataFrame, member: Column, group: Column) -> DataFrame:
     return pairs.where(F.col("member").isNotNull() & F.col("grp").isNotNull()).distinct()
 
 
+def _spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows by key over a fixed number of partitions.
+
+    Few links make many pairs. The fixed number keeps adaptive execution from merging the
+    small-looking inputs of a pair join into a few tasks.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, *keys)
+
+
 def shared_member_pairs(
     links: DataFrame, at_least: int = 2, heavy: int = HEAVY
 ) -> DataFrame:
@@ -74,13 +88,9 @@ def shared_member_pairs(
         F.col("aside").alias("target_aside"),
         F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"),
     )
-    # Few links make many pairs: a fixed number of partitions keeps adaptive execution from
-    # merging the small-looking inputs of this join into a few tasks.
-    parts = int(links.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    left = left.repartition(parts, "member", "block")
-    right = right.repartition(parts, "member", "block")
     met = (
-        left.join(right, ["member", "block"])
+        _spread(left, "member", "block")
+        .join(_spread(right, "member", "block"), ["member", "block"])
         .where(F.col("source") < F.col("target"))
         .groupBy("source", "target", "source_aside", "target_aside")
         .agg(F.count(F.lit(1)).alias("met"))
@@ -107,31 +117,28 @@ def shared_member_pairs(
     return settled.unionByName(looked_up).where(F.col("weight") >= at_least)
 
 
-def _group_marks(links: DataFrame) -> DataFrame:
+def _marks(links: DataFrame) -> DataFrame:
     """Size of every group and two independent 64-bit hashes of its members.
 
     The hashes aggregate without collecting the members of a group anywhere. Groups that agree in
-    all three are taken for copies.
+    all three are taken to have the same members.
     """
     return links.groupBy("grp").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.bit_xor(F.xxhash64("member")).alias("h1"),
-        F.bit_xor(F.xxhash64(F.lit("second"), "member")).alias("h2"),
+        F.struct(
+            F.count(F.lit(1)).alias("n"),
+            F.bit_xor(F.xxhash64("member")).alias("h1"),
+            F.bit_xor(F.xxhash64(F.lit("second"), "member")).alias("h2"),
+        ).alias("cls")
     )
 
 
-def first_copies(links: DataFrame, k: int) -> DataFrame:
-    """The first ``k`` ids of every set of groups with the same members, with their size ``n``."""
-    first = top_k_per_group(_group_marks(links), ["n", "h1", "h2"], [F.asc("grp")], k)
-    return first.select("grp", "n")
-
-
-def _reached_weight(links: DataFrame, groups: DataFrame, k: int) -> Column:
+def _reached_weight(links: DataFrame, k: int) -> Column:
     """Weight of the ``k``-th best pair of the largest groups; null when they have fewer pairs.
 
     As many groups are taken as have ``4 * k`` pairs, so a member meets only that many of them.
     """
-    probe = groups.orderBy(F.desc("n"), F.asc("grp")).limit(int((8 * k) ** 0.5) + 2)
+    sizes = links.groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
+    probe = sizes.orderBy(F.desc("n"), F.asc("grp")).limit(int((8 * k) ** 0.5) + 2)
     near = links.join(probe, "grp", "left_semi")
     far = near.select("member", F.col("grp").alias("other"))
     weights = (
@@ -143,13 +150,100 @@ def _reached_weight(links: DataFrame, groups: DataFrame, k: int) -> Column:
     return weights.orderBy(F.desc("weight")).offset(k - 1).limit(1).select("weight").scalar()
 
 
+def _light_pairs(light: DataFrame, heavy_links: DataFrame) -> DataFrame:
+    """Pairs with a light member in common and all members they share."""
+    loaded = heavy_links.select("grp").distinct().withColumn("loaded", F.lit(True))
+    rows = light.join(loaded, "grp", "left")
+    left = _spread(
+        rows.select("member", F.col("grp").alias("source"), F.col("loaded").alias("a")), "member"
+    )
+    right = _spread(
+        rows.select("member", F.col("grp").alias("target"), F.col("loaded").alias("b")), "member"
+    )
+    met = (
+        left.join(right, "member")
+        .where(F.col("source") < F.col("target"))
+        .groupBy("source", "target", F.coalesce(F.col("a") & F.col("b"), F.lit(False)).alias("both"))
+        .agg(F.count(F.lit(1)).alias("met"))
+    )
+    alone = met.where(~F.col("both")).select("source", "target", F.col("met").alias("weight"))
+    of_source = heavy_links.select(F.col("grp").alias("source"), "member")
+    of_target = heavy_links.select(F.col("grp").alias("target"), "member", F.lit(1).alias("hit"))
+    looked_up = (
+        met.where(F.col("both"))
+        .join(of_source, "source")
+        .join(of_target, ["target", "member"], "left")
+        .groupBy("source", "target", "met")
+        .agg(F.count("hit").alias("hits"))
+        .select("source", "target", (F.col("met") + F.col("hits")).alias("weight"))
+    )
+    return alone.unionByName(looked_up)
+
+
+def _heavy_pairs(heavy_links: DataFrame, k: int, at_least: int) -> DataFrame:
+    """Pairs by their heavy members alone, as far as the best ``k`` can reach."""
+    ids = top_k_per_group(_marks(heavy_links), ["cls"], [F.asc("grp")], k + 1, "place")
+    held = ids.groupBy("cls").agg(F.count(F.lit(1)).alias("held"))
+    one = ids.where(F.col("place") == 1).join(held, "cls")
+    of_class = heavy_links.join(one, "grp").select("member", "cls", "held")
+    a = of_class.select("member", F.col("cls").alias("cls_a"), F.col("held").alias("held_a"))
+    b = of_class.select("member", F.col("cls").alias("cls_b"), F.col("held").alias("held_b"))
+    classes = (
+        a.join(b, "member")
+        .where(F.col("cls_a") <= F.col("cls_b"))
+        .groupBy("cls_a", "cls_b", "held_a", "held_b")
+        .agg(F.count(F.lit(1)).alias("weight"))
+        .where(F.col("weight") >= at_least)
+    )
+
+    # Pairs of classes that come after k better pairs are not needed. One row per weight here.
+    same = F.col("cls_a") == F.col("cls_b")
+    many = F.when(same, F.col("held_a") * (F.col("held_a") - 1) / 2).otherwise(
+        F.col("held_a") * F.col("held_b")
+    )
+    per_weight = classes.groupBy("weight").agg(F.sum(F.least(many, F.lit(k))).alias("pairs"))
+    better = F.sum("pairs").over(Window.orderBy(F.desc("weight")))
+    enough = per_weight.withColumn("better", better).where(F.col("better") >= k)
+    floor = F.coalesce(enough.agg(F.max("weight")).scalar(), F.lit(0))
+
+    first = ids.select(F.col("cls").alias("cls_a"), F.col("grp").alias("x"), F.col("place").alias("i"))
+    second = ids.select(F.col("cls").alias("cls_b"), F.col("grp").alias("y"), F.col("place").alias("j"))
+    i = F.col("i")
+    # before (i, j) come i * j - 1 pairs, or fewer by the triangle when both are of one class
+    lowest = F.when(same, i + 1).otherwise(1)
+    highest = F.when(same, F.floor((k + i * (i + 1) / 2) / i)).otherwise(F.floor(F.lit(k) / i))
+    highest = F.least(highest, F.col("held_b")).cast("int")
+    return (
+        classes.where(F.col("weight") >= floor)
+        .join(first, "cls_a")
+        .where(lowest <= highest)
+        .withColumn("j", F.explode(F.sequence(lowest, highest)))
+        .join(second, ["cls_b", "j"])
+        .select(
+            F.least("x", "y").alias("source"), F.greatest("x", "y").alias("target"), "weight"
+        )
+    )
+
+
 def top_shared_pairs(
     links: DataFrame, k: int = 500, at_least: int = 2, heavy: int = HEAVY
 ) -> DataFrame:
-    """The ``k`` pairs with the most shared members, ties by source and target."""
+    """The ``k`` pairs with the most shared members, ties by source and target.
+
+    A pair found both ways has its full weight on the light side and only part of it on the heavy
+    side, so the larger weight counts.
+    """
     links = written(links, "links")
-    groups = first_copies(links, k + 1)
-    needed = F.greatest(F.lit(at_least), _reached_weight(links, groups, k))
-    large = groups.where(F.col("n") >= needed)
-    pairs = shared_member_pairs(links.join(large, "grp", "left_semi"), at_least, heavy)
-    return pairs.orderBy(F.desc("weight"), F.asc("source"), F.asc("target")).limit(k)
+    groups = links.groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
+    needed = F.greatest(F.lit(at_least), _reached_weight(links, k))
+    large = links.join(groups.where(F.col("n") >= needed), "grp", "left_semi")
+    large = written(large, "large_links")
+    sizes = large.groupBy("member").agg(F.count(F.lit(1)).alias("size"))
+    heavy_links = large.join(sizes.where(F.col("size") > heavy).select("member"), "member")
+    light = large.join(sizes.where(F.col("size").between(2, heavy)).select("member"), "member")
+    best = [F.desc("weight"), F.asc("source"), F.asc("target")]
+    met = _light_pairs(light, heavy_links).where(F.col("weight") >= at_least)
+    met = met.orderBy(*best).limit(k)
+    found = met.unionByName(_heavy_pairs(heavy_links, k, at_least))
+    pairs = found.groupBy("source", "target").agg(F.max("weight").alias("weight"))
+    return pairs.orderBy(*best).limit(k)

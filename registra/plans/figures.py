@@ -9,6 +9,7 @@ from registra.operators import metrics, profile
 from registra.operators.filters import FilterSpec
 from registra.plans.projects import EDGES, YEARS, projects, table, with_projects
 from registra.plans.registry import dec_round, money, query
+from registra.sources.tables import written
 from registra.plans.selection import SEARCH_SQL, SPEC, SPEC_SQL, TYPE_SQL
 
 _SPEC_COLUMNS = ("year", "nioktr_types", "name", "annotation", "keyword_list", "executor_name",
@@ -96,7 +97,7 @@ UNION ALL (SELECT 'by_type', nioktr_types, count(*) AS c, NULL FROM chosen
   WHERE nioktr_types IS NOT NULL GROUP BY nioktr_types ORDER BY c DESC, nioktr_types LIMIT 8)"""))
 def a07(spark, sf):
     df = projects(spark, sf, "year", "nioktr_types", "executor_name", _B)
-    cube = metrics.dashboard_cube(df, FilterSpec(nioktr_type="low"))
+    cube = written(metrics.dashboard_cube(df, FilterSpec(nioktr_type="low")), "dashboard")
     return _stacked(metrics.dashboard_stats(cube, 1998, DASH), {
         "total": (None, "total", None),
         "total_budget": (None, None, "total_budget_billions"),
@@ -135,7 +136,7 @@ def a10(spark, sf):
     return metrics.budget_by_type(projects(spark, sf, "nioktr_types", _B), 8)
 
 
-_NAMES = ("under_1m", "to_10m", "to_100m", "over_100m")
+_NAMES = metrics.SIZE_NAMES
 _TESTS = (f"< {EDGES[0]}", f"BETWEEN {EDGES[0]} AND {EDGES[1]}",
           f"BETWEEN {EDGES[1]} AND {EDGES[2]}", f"> {EDGES[2]}")
 
@@ -164,7 +165,8 @@ UNION ALL (SELECT 'by_type', nioktr_types, count(*), {_billions(_SUM)} AS v FROM
     for t, n in zip(_TESTS, _NAMES))))
 def a12(spark, sf):
     df = projects(spark, sf, "year", "nioktr_types", "executor_name", _B)
-    figures = metrics.budget_stats(df, FilterSpec(year=1998, nioktr_type="low"), YEARS, EDGES)
+    cube = written(metrics.budget_cube(df, EDGES), "budget")
+    figures = metrics.budget_stats(cube, FilterSpec(year=1998, nioktr_type="low"), YEARS)
     figures["distribution"] = figures["distribution"].unpivot([], list(_NAMES), "item", "n")
     return _stacked(figures, {
         "by_year": ("year", "projects", "total_billions"),

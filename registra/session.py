@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import SparkSession
 
@@ -34,6 +35,11 @@ def ship_package() -> None:
     cloudpickle.register_pickle_by_value(registra)
 
 
+@cache
+def _local_parent() -> str:
+    return tempfile.mkdtemp(prefix="registra-")
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder that every executor can reach.
 
@@ -44,5 +50,5 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     if not parent:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-        parent = tempfile.mkdtemp(prefix="registra-")
+        parent = _local_parent()
     return f"{parent.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,8 +13,9 @@ from registra.session import shared_dir
 KEY = "registration_number"
 
 
-def write_clean(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").parquet(path)
+def write_clean(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
+    """Write Parquet. Partitioned by year, a year filter reads the files of that year only."""
+    df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
 
 
 def read_clean(spark: SparkSession, path: str) -> DataFrame:
@@ -30,11 +33,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def load_table(df: DataFrame, name: str, path: str | None = None) -> int:
-    """Replace table ``name`` with ``df`` and return its row count. ``path`` makes it external."""
+def load_table(df: DataFrame, name: str, path: str | None = None, buckets: int = 0) -> int:
+    """Replace table ``name`` with ``df`` and return its row count.
+
+    ``path`` makes the table external. Tables with the same number of ``buckets`` join on the key
+    without a shuffle.
+    """
     writer = df.write.mode("overwrite").format("parquet")
     if path is not None:
         writer = writer.option("path", path)
+    if buckets:
+        writer = writer.bucketBy(buckets, KEY).sortBy(KEY)
     writer.saveAsTable(name)
     return df.sparkSession.table(name).count()
 

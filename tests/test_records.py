@@ -83,6 +83,28 @@ def test_tables(spark, tmp_path):
     assert tuple(tables.check_vector_table(tables.empty_vector_table(spark), 2).first()) == (0, 0, 0, 0)
 
 
+def test_year_partitions_are_pruned(spark, tmp_path, capsys):
+    df = spark.range(40).selectExpr("cast(id AS string) AS registration_number",
+                                    "cast(2000 + id % 4 AS int) AS year")
+    tables.write_clean(df, str(tmp_path), ["year"])
+    back = FilterSpec(year=2002).apply(tables.read_clean(spark, str(tmp_path)))
+    back.explain()
+    assert "PartitionFilters: [isnotnull(year" in capsys.readouterr().out
+    assert back.count() == 10
+
+
+def test_bucketed_tables_join_without_a_shuffle(spark, tmp_path, capsys):
+    df = spark.range(50).selectExpr("cast(id AS string) AS registration_number", "id AS v")
+    for name in ("registra_left", "registra_right"):
+        tables.load_table(df, name, str(tmp_path / name), buckets=4)
+    joined = spark.table("registra_left").hint("merge").join(
+        spark.table("registra_right").select(KEY), KEY)
+    joined.explain()
+    plan = capsys.readouterr().out
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+    assert joined.count() == 50
+
+
 # ---- cleaning -----------------------------------------------------------------------------
 
 

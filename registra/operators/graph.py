@@ -9,6 +9,7 @@ from registra.functions.numeric import money_sum, round_dec
 from registra.functions.text import BLANK, clean_org_label, strip
 from registra.operators.keywords import KEYWORDS
 from registra.operators.metrics import BUDGET
+from registra.operators.paging import top_k, top_k_per_group
 from registra.operators.shared import HEAVY, memberships, top_shared_pairs
 
 # ---- fixed values -------------------------------------------------------------------------
@@ -17,6 +18,10 @@ WORDS_PER_RECORD = 10
 MIN_SHARED_SUPERVISORS = 2
 MIN_TOPIC_WEIGHT = 5
 MAX_NODES = 300
+SHOWN_NODES = 8
+SHOWN_EDGES = 6
+SHOWN_NEIGHBOURS = 5
+DRAWN_EDGES = 300
 # ---- end of fixed values ------------------------------------------------------------------
 
 
@@ -174,3 +179,28 @@ def neighbours(edges: DataFrame, ids: DataFrame) -> DataFrame:
         F.col("target").alias("id"), F.col("source").alias("neighbour"), "weight"
     )
     return both.unionByName(back).join(ids.select("id").distinct(), "id", "left_semi")
+
+
+def _strongest_first() -> list[Column]:
+    return [F.desc("weight"), F.asc("source"), F.asc("target")]
+
+
+def strongest_nodes(nodes: DataFrame, k: int = SHOWN_NODES) -> DataFrame:
+    """Largest nodes by records (institutions) or occurrences (topics)."""
+    size = "projects" if "projects" in nodes.columns else "count"
+    return top_k(nodes, [F.desc(size), F.asc("id"), F.asc("label")], k)
+
+
+def strongest_edges(edges: DataFrame, k: int = SHOWN_EDGES) -> DataFrame:
+    return top_k(edges, _strongest_first(), k)
+
+
+def drawn_edges(edges: DataFrame) -> DataFrame:
+    """Edges a drawing shows."""
+    return strongest_edges(edges, DRAWN_EDGES)
+
+
+def strongest_neighbours(edges: DataFrame, ids: DataFrame, k: int = SHOWN_NEIGHBOURS) -> DataFrame:
+    """Neighbours with the strongest edges of each selected node."""
+    order = [F.desc("weight"), F.asc("neighbour")]
+    return top_k_per_group(neighbours(edges, ids), ["id"], order, k)

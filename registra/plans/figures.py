@@ -223,10 +223,13 @@ _LAT_SQL, _LON_SQL = "(41 + c_custkey % 34)", "(c_custkey * 7 % 360 - 180)"
 _MERC = "ln(tan(pi() / 4 + ({}) * pi() / 360))"
 
 
-@query("x13_mercator_xy",
-       f"SELECT c_custkey, {dec_round(f'(CASE WHEN {_LON_SQL} < -10 THEN {_LON_SQL} + 360 ELSE {_LON_SQL} END - 19) / (192 - 19) * 780', 4)} AS x, "
-       f"{dec_round(f'({_MERC.format(74)} - {_MERC.format(_LAT_SQL)}) / ({_MERC.format(74)} - {_MERC.format(41)}) * 430', 4)} AS y "
-       "FROM customer")
+_EAST = f"CASE WHEN {_LON_SQL} < -10 THEN {_LON_SQL} + 360 ELSE {_LON_SQL} END"
+_NORTH, _SOUTH = _MERC.format(74), _MERC.format(41)
+_X_SQL = dec_round(f"({_EAST} - 19) / (192 - 19) * 780", 4)
+_Y_SQL = dec_round(f"({_NORTH} - {_MERC.format(_LAT_SQL)}) / ({_NORTH} - {_SOUTH}) * 430", 4)
+
+
+@query("x13_mercator_xy", f"SELECT c_custkey, {_X_SQL} AS x, {_Y_SQL} AS y FROM customer")
 def x13(spark, sf):
     lat = F.lit(41) + F.col("c_custkey") % 34
     lon = F.col("c_custkey") * 7 % 360 - 180

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from registra.operators import graph, shared
-from registra.operators.paging import top_k
 from registra.plans.projects import (
     DOCUMENT_KEYWORDS_SQL, document_keywords, projects, with_projects,
 )
@@ -98,15 +97,44 @@ def g01_edges(spark, sf):
     "WHERE id IN (SELECT id FROM picked)"))
 def j10(spark, sf):
     nodes = graph.institution_nodes(projects(spark, sf, *_NODE_COLUMNS), 10, LIMIT)
-    picked = top_k(nodes, [F.desc("projects"), F.asc("id")], 8)
-    return graph.neighbours(graph.institution_edges(projects(spark, sf, *_LINK_COLUMNS)), picked)
+    return graph.neighbours(_edges(spark, sf), graph.strongest_nodes(nodes))
 
 
-@query("t06_strongest_edges", with_projects(
-    f", {EDGES_SQL} SELECT * FROM edges ORDER BY weight DESC, source, target LIMIT 6"))
+@query("t06_strongest_nodes", with_projects(
+    f", {NODES_SQL} SELECT * FROM nodes ORDER BY projects DESC, id, label LIMIT 8"))
+def t06_nodes(spark, sf):
+    return graph.strongest_nodes(
+        graph.institution_nodes(projects(spark, sf, *_NODE_COLUMNS), 10, LIMIT))
+
+
+def _edges(spark, sf):
+    return graph.institution_edges(projects(spark, sf, *_LINK_COLUMNS))
+
+
+def _strongest_sql(k):
+    return with_projects(
+        f", {EDGES_SQL} SELECT * FROM edges ORDER BY weight DESC, source, target LIMIT {k}")
+
+
+@query("t06_strongest_edges", _strongest_sql(6))
 def t06(spark, sf):
-    edges = graph.institution_edges(projects(spark, sf, *_LINK_COLUMNS))
-    return top_k(edges, [F.desc("weight"), F.asc("source"), F.asc("target")], 6)
+    return graph.strongest_edges(_edges(spark, sf))
+
+
+@query("t06_drawn_edges", _strongest_sql(300))
+def t06_drawn(spark, sf):
+    return graph.drawn_edges(_edges(spark, sf))
+
+
+@query("t06_strongest_neighbours", with_projects(
+    f", {EDGES_SQL}, {NODES_SQL}, picked AS (SELECT id FROM nodes ORDER BY projects DESC, id LIMIT 8) "
+    "SELECT *, CAST(row_number() OVER (PARTITION BY id ORDER BY weight DESC, neighbour) AS INTEGER) "
+    "AS rank FROM (SELECT source AS id, target AS neighbour, weight FROM edges UNION ALL "
+    "SELECT target, source, weight FROM edges WHERE source <> target) "
+    "WHERE id IN (SELECT id FROM picked) QUALIFY rank <= 5"))
+def t06_neighbours(spark, sf):
+    nodes = graph.institution_nodes(projects(spark, sf, *_NODE_COLUMNS), 10, LIMIT)
+    return graph.strongest_neighbours(_edges(spark, sf), graph.strongest_nodes(nodes))
 
 
 # ---- topics: the words of whole documents -------------------------------------------------

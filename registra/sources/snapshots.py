@@ -23,8 +23,11 @@ def read_snapshots(
     ``(source_file, pos)`` orders cards as they were written: files by name, cards by position.
     A whole-document snapshot is parsed by one task per file; large snapshots should be JSON
     lines (``lines=True``), which Spark splits. Give ``schema`` (the fields of one card) to avoid
-    the extra pass that finds it.
+    the extra pass that finds it. A folder without snapshots is an error.
     """
+    names_only = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(path)
+    if names_only.select("path").isEmpty():
+        raise FileNotFoundError(f"no JSON files in {path}")
     reader = spark.read.option("pathGlobFilter", "*.json")
     if not lines:
         reader = reader.option("multiLine", True)

@@ -209,6 +209,13 @@ def test_institution_graph(spark):
     assert few.count() == 0 and none.count() == 0
     picked = spark.createDataFrame([("2",)], "id string")
     assert _rows(graph.neighbours(edges, picked)) == [("2", "1", 2)]
+    star = spark.createDataFrame(
+        [("a", f"z{i}", 10 - i % 3) for i in range(9)], "source string, target string, weight int")
+    near = graph.strongest_neighbours(star, spark.createDataFrame([("a",), ("z1",)], "id string"))
+    assert [r.neighbour for r in near.where("id = 'a'").orderBy("rank").collect()] == [
+        "z0", "z3", "z6", "z1", "z4"]
+    assert near.where("id = 'z1'").first()["neighbour"] == "a"
+    assert [r.target for r in graph.strongest_edges(star, 2).collect()] == ["z0", "z3"]
 
 
 def _words(text):

@@ -61,6 +61,12 @@ def test_read_json_lines_keeps_order(spark, tmp_path):
     assert cleaning.dedup_keep_last(df).first()["n"] == 49
 
 
+def test_folder_without_snapshots(spark, tmp_path):
+    (tmp_path / "notes.txt").write_text("nothing")
+    with pytest.raises(FileNotFoundError):
+        snapshots.read_snapshots(spark, str(tmp_path))
+
+
 def test_flatten_and_union(spark):
     df = spark.sql("SELECT 1 AS a, named_struct('x', 2, 'y', named_struct('z', 3)) AS s")
     flat = snapshots.flatten_structs(df)

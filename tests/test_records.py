@@ -130,6 +130,16 @@ def test_dates_numbers_counts(spark):
         (None, None, 1, None), (datetime.datetime(2020, 1, 2, 10, 11, 12), None, 0, 2020)]
 
 
+def test_date_formats(spark):
+    df = spark.createDataFrame(
+        [("2020-02-30",), ("2020-2-3",), ("3 Mar 2020",), ("2020-03-04 05:06:07",), ("x2020-03-04",),
+         ("2020-03-04T05:06:07",)], "d string")
+    formats = (*cleaning.DATE_FORMATS, "d MMM yyyy")
+    got = [r[0] for r in df.select(cleaning.parse_date(F.col("d"), formats)).collect()]
+    day = datetime.datetime(2020, 3, 4, 5, 6, 7)
+    assert got == [None, None, datetime.datetime(2020, 3, 3), day, None, day]
+
+
 def test_dedup_is_idempotent_and_unique(spark):
     random.seed(1)
     rows = [(random.choice(["a", "b", "c", None]), i) for i in range(200)]

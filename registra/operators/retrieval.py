@@ -194,8 +194,8 @@ def nearest(
     )
     asked = questions.select(F.col("question_id").cast("string"), "embedding")
 
-    if _at_most(asked, max_sent):
-        sent = asked.toPandas()
+    sent = asked.limit(max_sent + 1).toPandas()
+    if len(sent) <= max_sent:
         if sent.empty:
             return store.sparkSession.createDataFrame([], schema + ", rank int")
         ids, matrix = sent["question_id"].to_numpy(dtype=object), _matrix(sent["embedding"])
@@ -340,7 +340,8 @@ def ivf_search(index: IvfIndex, questions: DataFrame, k: int = 10, probes: int =
     With as many probes as cells the result equals :func:`nearest`.
     """
     asked = questions.select(F.col("question_id").cast("string"), "embedding")
-    if not _at_most(asked, MAX_SENT_QUESTIONS):
+    sent = asked.limit(MAX_SENT_QUESTIONS + 1).toPandas()
+    if len(sent) > MAX_SENT_QUESTIONS:
         # a larger table is asked in parts, each small enough to travel with the tasks
         parts = -(-2 * asked.count() // MAX_SENT_QUESTIONS)
         part = F.pmod(F.xxhash64("question_id"), F.lit(parts))
@@ -348,7 +349,6 @@ def ivf_search(index: IvfIndex, questions: DataFrame, k: int = 10, probes: int =
             DataFrame.unionByName,
             [ivf_search(index, asked.where(part == i), k, probes, key) for i in range(parts)],
         )
-    sent = asked.toPandas()
     schema = _HITS.format(key=key)
     if sent.empty:
         return index.records.sparkSession.createDataFrame([], schema + ", rank int")

@@ -195,7 +195,7 @@ def cards(spark: SparkSession, sf: str) -> DataFrame:
         by_status(F.col("o_custkey").cast("string"), F.lit(" 12 "), F.lit("n/a")).alias(
             "reports_number"
         ),
-        F.when(F.col("o_orderpriority") == "5-LOW", F.lit("rare")).alias("udc_note"),
+        F.when(F.col("o_orderkey") % 7 == 0, F.lit("rare")).alias("udc_note"),
         text.alias("never_filled"),
         F.concat(F.year("o_orderdate").cast("string"), F.lit(".json")).alias("source_file"),
         F.col("o_orderkey").alias("pos"),

@@ -221,7 +221,7 @@ def c03(spark, sf):
 
 @query("c04_drop_empty", with_cards(
     "SELECT pos, reports_number, start_date, "
-    "CASE WHEN o_orderpriority = '5-LOW' THEN 'rare' END AS udc_note FROM cards"))
+    "CASE WHEN o_orderkey % 7 = 0 THEN 'rare' END AS udc_note FROM cards"))
 def c04(spark, sf):
     return cleaning.drop_empty(cards(spark, sf).select(*_SPARSE))
 

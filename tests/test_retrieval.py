@@ -52,7 +52,7 @@ def test_large_question_tables_are_joined_in_blocks(vectors):
     assert _hits(hits) == _brute(data, 5)
 
 
-def test_ivf_with_all_probes_is_exact(spark, vectors, tmp_path, monkeypatch):
+def test_ivf_with_all_probes_is_exact(spark, vectors, tmp_path, monkeypatch, capsys):
     store, questions, data = vectors
     live = store.where(f"{KEY} != 'k007'")
     index = retrieval.build_ivf(live, lists=6).save(str(tmp_path / "ivf"))
@@ -61,6 +61,8 @@ def test_ivf_with_all_probes_is_exact(spark, vectors, tmp_path, monkeypatch):
     assert _hits(full) == _hits(exact)
     assert retrieval.recall(full, exact).first()["recall"] == 1.0
     assert 0 < retrieval.recall(retrieval.ivf_search(index, questions, 5, 1), exact).first()["recall"] <= 1
+    retrieval.ivf_search(index, questions.limit(1), 5, 1).explain()
+    assert "PartitionFilters: [isnotnull(cell" in capsys.readouterr().out
     monkeypatch.setattr(retrieval, "MAX_SENT_QUESTIONS", 40)
     assert _hits(retrieval.ivf_search(index, questions, 5, probes=6)) == _hits(exact)
 

@@ -61,7 +61,9 @@ def first_match(
     keys = [(k, i) for i, c in enumerate(cities) for k in c.keys]
     if len(keys) > MAX_KEYS:
         raise ValueError(f"a dictionary may hold at most {MAX_KEYS} keys")
-    name = F.lower(F.coalesce(F.col(name_column), F.lit("")))
+    # a column of its own, or every test would lower the name again
+    named = df.withColumn("_name", F.lower(F.coalesce(F.col(name_column), F.lit(""))))
+    name = F.col("_name")
     if mode == "first":
         found = [
             (reduce(or_, [F.contains(name, F.lit(k)) for k in c.keys]), i)
@@ -88,7 +90,7 @@ def first_match(
             for c in cities
         ]
     )
-    placed = df.withColumn("_index", index)
+    placed = named.withColumn("_index", index)
     placed = placed.withColumn("_city", F.when(F.col("_index").isNotNull(), F.get(rows, "_index")))
     return placed.select(*df.columns, "_city.city", "_city.lat", "_city.lon", "_city.fo")
 

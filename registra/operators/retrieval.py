@@ -79,8 +79,10 @@ def embed_texts(
     )
 
     def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = make_encoder()
+        encoder = None
         for frame in frames:
+            if encoder is None and len(frame):  # no model for tasks without texts
+                encoder = make_encoder()
             for start in range(0, len(frame), batch):
                 part = frame.iloc[start : start + batch]
                 vectors = encoder(part[text_column].tolist()).astype(np.float32)
@@ -210,7 +212,7 @@ def nearest(
         return _first_hits(records.mapInArrow(scan, schema), k, key)
 
     record_blocks = max(1, -(-records.count() // block_rows))
-    question_blocks = max(1, -(-asked.count() // max_sent))
+    question_blocks = max(1, -(-asked.count() // block_rows))
 
     def block(c: str, n: int) -> Column:
         return F.pmod(F.xxhash64(c), F.lit(n)).cast("int")

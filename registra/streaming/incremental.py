@@ -22,7 +22,8 @@ def embed_incremental(
 ) -> DataFrame:
     """Append vectors of pending records to the store and return counts before and after.
 
-    Only records without a vector are encoded, and each key once, so appending is an upsert.
+    Only records without a vector are encoded, and each key once, so appending is an upsert. With
+    nothing pending no encoder is made.
     """
     spark = projects.sparkSession
     store = spark.read.parquet(store_path)
@@ -32,9 +33,8 @@ def embed_incremental(
         .groupBy(KEY)
         .agg(F.max("source_text").alias("source_text"))
     )
-    if not todo.isEmpty():
-        vectors = embed_texts(todo, make_encoder).select(KEY, "embedding", "source_text")
-        vectors.write.mode("append").parquet(store_path)
+    vectors = embed_texts(todo, make_encoder).select(KEY, "embedding", "source_text")
+    vectors.write.mode("append").parquet(store_path)
     after = spark.read.parquet(store_path)
     return after.agg(
         F.lit(before).cast("bigint").alias("before"), F.count(F.lit(1)).alias("after")

@@ -238,7 +238,8 @@ class CleanConfig:
 def clean_records(raw: DataFrame, cfg: CleanConfig = CleanConfig()) -> DataFrame:
     """Raw cards to clean records, in the fixed order of steps.
 
-    Fill rates are measured after lists are flattened and before junk and duplicates go.
+    Fill rates are measured after lists are flattened and before junk and duplicates go. That takes
+    a pass of its own over ``raw``; give a written table rather than JSON text when it is large.
     """
     packed = raw.withColumn("_order", F.struct(*cfg.order))
     packed = packed.drop(

@@ -17,7 +17,7 @@ from registra.functions.numeric import round_dec
 from registra.functions.text import is_blank, prefix
 from registra.functions.vectors import unit
 from registra.operators.paging import top_k_per_group
-from registra.sources.tables import KEY
+from registra.sources.tables import KEY, written
 
 # ---- fixed values -------------------------------------------------------------------------
 TEXT_CUT = 2_000
@@ -267,25 +267,22 @@ def semantic_search(
 ) -> DataFrame:
     """The ``k`` closest projects per question with attributes and similarity.
 
-    Keys are ranked first, so attributes are fetched for ``k`` rows per question only. The keys
-    found for a small question table (at most ``MAX_SENT_QUESTIONS`` times ``k``) are sent to the
-    projects and the store, so that neither is shuffled; those of a larger one are joined.
+    Keys are ranked first, so attributes are fetched for ``k`` rows per question only. The ranked
+    keys are written: the store is scanned once whatever is built on them, and the planner knows how
+    few they are, so it sends them to the projects and the store instead of shuffling those.
     """
     if not 1 <= k <= 50:
         raise ValueError("k must be 1 to 50")
-    hits = nearest(with_records(store, projects), questions, k)
+    hits = written(nearest(with_records(store, projects), questions, k), "hits")
     names = {"executor_name": "institution"}
     attributes = projects.select(
         KEY, *[F.col(c).alias(names.get(c, c)) for c in columns]
     )
-    texts = store.select(KEY, "source_text")
-    if _at_most(questions, MAX_SENT_QUESTIONS):
-        keys = F.broadcast(hits.select(KEY).distinct())
-        attributes = attributes.join(keys, KEY, "left_semi")
-        texts = texts.join(keys, KEY, "left_semi")
+    place = ["question_id", "rank", KEY]
+    texts = hits.select(*place).join(store.select(KEY, "source_text"), KEY)
     return (
         hits.join(attributes, KEY)
-        .join(texts, KEY)
+        .join(texts, place)
         .withColumn("similarity", round_dec(F.col("score"), 3))
         .drop("score")
     )

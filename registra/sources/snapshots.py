@@ -17,12 +17,14 @@ def read_snapshots(
     path: str,
     schema: T.StructType | None = None,
     lines: bool = False,
+    partitions: int | None = None,
 ) -> DataFrame:
     """Cards of all snapshot files with ``source_file`` and ``pos``.
 
     ``(source_file, pos)`` orders cards as they were written: files by name, cards by position.
     A whole-document snapshot is parsed by one task per file; large snapshots should be JSON
-    lines (``lines=True``), which Spark splits. Give ``schema`` (the fields of one card) to avoid
+    lines (``lines=True``), which Spark splits. ``partitions`` spreads the cards of a few whole
+    documents over more tasks for the steps that follow. Give ``schema`` (the fields of one card) to avoid
     the extra pass that finds it. A folder without snapshots is an error.
     """
     names_only = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(path)
@@ -48,9 +50,10 @@ def read_snapshots(
     )
     names = [c for c in raw.columns if c not in (ENVELOPE, "source_file", "_block", "_row")]
     if ENVELOPE not in raw.columns:
-        return raw.select(
+        cards = raw.select(
             *names, "source_file", F.struct("_block", "_row", F.lit(0).alias("_in")).alias("pos")
         )
+        return cards.repartition(partitions) if partitions else cards
 
     # One document holds either the envelope or one bare card per row.
     unpacked = raw.select("*", F.posexplode_outer(ENVELOPE).alias("_in", "_card"))
@@ -62,11 +65,12 @@ def read_snapshots(
         for n in [*names, *sorted(inner - set(names))]
     ]
     empty_envelope = F.col(ENVELOPE).isNotNull() & F.col("_card").isNull()
-    return unpacked.where(~empty_envelope).select(
+    cards = unpacked.where(~empty_envelope).select(
         *fields,
         "source_file",
         F.struct("_block", "_row", F.coalesce("_in", F.lit(0)).alias("_in")).alias("pos"),
     )
+    return cards.repartition(partitions) if partitions else cards
 
 
 def union_snapshots(*frames: DataFrame) -> DataFrame:

@@ -50,7 +50,9 @@ def test_read_snapshots(spark, folder, schema):
     assert _rows(df.select(KEY, "name", "source_file")) == [
         ("k1", "new", "2021.json"), ("k1", "newest", "2021.json"), ("k1", "old", "2020.json"),
         ("k2", "two", "2020.json"), ("k3", "alone", "2023.json")]
-    last = cleaning.dedup_keep_last(df).select(KEY, "name")
+    wide = snapshots.read_snapshots(spark, folder, given, partitions=6)
+    assert wide.rdd.getNumPartitions() == 6
+    last = cleaning.dedup_keep_last(wide).select(KEY, "name")
     assert _rows(last) == [("k1", "newest"), ("k2", "two"), ("k3", "alone")]
 
 

@@ -1,5 +1,8 @@
 """Expressions on single values."""
 
+import random
+from decimal import ROUND_HALF_UP, Decimal
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -122,6 +125,18 @@ def test_fixed(spark, value, digits, want):
     assert df.select(text.fixed(F.col("c"), digits)).first()[0] == want
 
 
+@pytest.mark.parametrize("digits", [0, 1, 2])
+def test_fixed_is_exact(spark, digits):
+    """Random values, many of them next to a tie, against exact decimal arithmetic."""
+    random.seed(digits)
+    step = Decimal(1).scaleb(-digits)
+    values = [random.uniform(0, 10 ** random.randint(0, 9)) for _ in range(1500)]
+    values += [(random.randint(0, 10**6) + 0.5) / 10**digits for _ in range(1500)]
+    df = spark.createDataFrame([(v,) for v in values], "c double")
+    got = [r[0] for r in df.select(text.fixed(F.col("c"), digits)).collect()]
+    assert got == [str(Decimal(v).quantize(step, ROUND_HALF_UP)) for v in values]
+
+
 def test_format_count(spark):
     df = spark.createDataFrame([(0,), (999,), (1234567,)], "c bigint")
     rows = df.select(text.format_count(F.col("c")), text.format_count(F.col("c"), True)).collect()

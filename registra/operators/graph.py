@@ -11,6 +11,7 @@ from registra.operators.keywords import KEYWORDS
 from registra.operators.metrics import BUDGET
 from registra.operators.paging import top_k, top_k_per_group
 from registra.operators.shared import HEAVY, memberships, top_shared_pairs
+from registra.sources.tables import written
 
 # ---- fixed values -------------------------------------------------------------------------
 EDGE_LIST = 500  # strongest edges taken before the node filter
@@ -161,7 +162,8 @@ def institution_graph(
 def topic_graph(
     df: DataFrame, limit: int = 100, column: str = KEYWORDS, sample: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    words = record_words(df, column, sample=sample)
+    """Nodes and edges. The words of the records are written, so the lists are read once."""
+    words = written(record_words(df, column, sample=sample), "words")
     nodes = topic_nodes(words, limit)
     return nodes, topic_edges(words, nodes)
 

@@ -88,11 +88,10 @@ def keyword_trends(
 
 
 def active_topics(grid: DataFrame) -> DataFrame:
-    """Rows of keywords with any positive value in any year."""
-    live = grid.groupBy("keyword").agg(
-        F.bool_or((F.col("projects") > 0) | (F.col("budget") > 0)).alias("live")
-    )
-    return grid.join(live.where("live").select("keyword"), "keyword", "left_semi")
+    """Rows of keywords with any positive value in any year. A keyword has one row per year."""
+    live = F.bool_or((F.col("projects") > 0) | (F.col("budget") > 0))
+    marked = grid.withColumn("_live", live.over(Window.partitionBy("keyword")))
+    return marked.where("_live").drop("_live")
 
 
 def year_totals(grid: DataFrame) -> DataFrame:

@@ -178,8 +178,7 @@ def j09(spark, sf):
 
 @query("a26_topic_edges", f"WITH {WORDS_SQL}, {WORD_NODES_SQL}, {WORD_EDGES_SQL} SELECT * FROM edges")
 def a26(spark, sf):
-    words = _words(spark, sf)
-    return graph.topic_edges(words, graph.topic_nodes(words, LIMIT))
+    return graph.topic_graph(document_keywords(spark, sf), LIMIT)[1]
 
 
 @query("g02_topic_graph",

@@ -104,7 +104,7 @@ def w01(spark, sf):
 @query("w02_rank_in_year", with_projects(
     f", {GRID_SQL} SELECT * FROM ({_rank_sql('projects')}) WHERE year = {YEARS[1]}"))
 def w02(spark, sf):
-    return keywords.rank_in_year(_grid(spark, sf))
+    return keywords.rank_in_year(_grid(spark, sf), YEARS[1])
 
 
 _BANDS_SQL = """bands AS (

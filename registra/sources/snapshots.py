@@ -30,7 +30,8 @@ def read_snapshots(
     names_only = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(path)
     if names_only.select("path").isEmpty():
         raise FileNotFoundError(f"no JSON files in {path}")
-    reader = spark.read.option("pathGlobFilter", "*.json")
+    # a broken document must stop the load, not turn into empty records
+    reader = spark.read.option("pathGlobFilter", "*.json").option("mode", "FAILFAST")
     if not lines:
         reader = reader.option("multiLine", True)
     if schema is not None:

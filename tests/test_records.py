@@ -69,6 +69,17 @@ def test_folder_without_snapshots(spark, tmp_path):
         snapshots.read_snapshots(spark, str(tmp_path))
 
 
+@pytest.mark.parametrize("lines", [False, True])
+def test_broken_snapshot_is_an_error(spark, tmp_path, lines):
+    (tmp_path / "a.json").write_text('{"registration_number": "1"}')
+    (tmp_path / "b.json").write_text('{"registration_number": "2", ')
+    from pyspark.sql import types as T
+
+    schema = T._parse_datatype_string("registration_number string")
+    with pytest.raises(Exception, match="MALFORMED"):
+        snapshots.read_snapshots(spark, str(tmp_path), schema, lines).collect()
+
+
 def test_flatten_and_union(spark):
     df = spark.sql("SELECT 1 AS a, named_struct('x', 2, 'y', named_struct('z', 3)) AS s")
     flat = snapshots.flatten_structs(df)

@@ -20,7 +20,7 @@ def join_strings(c: Column) -> Column:
 
 def join_field(c: Column, field: str = "name") -> Column:
     """Join one field of a list of structs; null when nothing is left."""
-    names = F.transform(c, lambda x: x.getField(field))
+    names = F.transform(c, lambda x: x.getField(field).cast("string"))
     return F.nullif(F.array_join(F.filter(names, lambda x: x.isNotNull()), SEPARATOR), F.lit(""))
 
 

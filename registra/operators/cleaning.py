@@ -88,21 +88,37 @@ def _replace(df: DataFrame, changed: dict[str, Column]) -> DataFrame:
     return df.withColumns(changed) if changed else df
 
 
-def flatten_lists(df: DataFrame) -> DataFrame:
-    """Turn the list columns of a card into scalars."""
+def _members(df: DataFrame, name: str) -> set[str] | None:
+    """Field names of the structs in a list column; None when the column is no list."""
+    dtype = df.schema[name].dataType
+    if not isinstance(dtype, T.ArrayType):
+        return None
+    element = dtype.elementType
+    return set(element.names) if isinstance(element, T.StructType) else set()
+
 
-    def arrays(names: Sequence[str]) -> list[str]:
-        return [n for n in _present(df, names) if isinstance(df.schema[n].dataType, T.ArrayType)]
+def flatten_lists(df: DataFrame) -> DataFrame:
+    """Turn the list columns of a card into scalars.
 
-    changed = {n: nested.join_strings(F.col(n)) for n in arrays(STRING_LISTS)}
-    changed |= {n: nested.join_field(F.col(n)) for n in arrays(NAMED_LISTS)}
+    A list whose members lack the wanted field, as in a schema inferred from few cards, gives null.
+    """
+    text, number = F.lit(None).cast("string"), F.lit(None).cast("double")
+    lists = {n: m for n in df.columns if (m := _members(df, n)) is not None}
+    changed = {n: nested.join_strings(F.col(n)) for n in STRING_LISTS if n in lists}
+    for n in NAMED_LISTS:
+        if n in lists:
+            changed[n] = nested.join_field(F.col(n)) if "name" in lists[n] else text
     if "budgets" in df.columns:
-        changed["budget_total_thousands"] = nested.sum_field(F.col("budgets"))
+        known = "funds" in lists.get("budgets", ())
+        changed["budget_total_thousands"] = nested.sum_field(F.col("budgets")) if known else number
     if "stages" in df.columns:
-        changed["stages_count"] = nested.list_count(F.col("stages"))
+        changed["stages_count"] = (
+            nested.list_count(F.col("stages")) if "stages" in lists else F.lit(0)
+        )
     if "coexecutors" in df.columns:
-        changed["coexecutors_names"] = nested.join_first_of(
-            F.col("coexecutors"), ["name", "short_name"]
+        fields = [f for f in ("name", "short_name") if f in lists.get("coexecutors", ())]
+        changed["coexecutors_names"] = (
+            nested.join_first_of(F.col("coexecutors"), fields) if fields else text
         )
     return _replace(df, changed).drop("budgets", "stages", "coexecutors")
 

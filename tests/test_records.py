@@ -186,6 +186,17 @@ def test_truncate_and_nan(spark):
     assert [(len(r.t), r.v) for r in out.collect()] == [(2000, None), (1, 2.0)]
 
 
+def test_lists_without_the_wanted_field(spark):
+    df = spark.sql("""SELECT array('a') AS keyword_list, array(named_struct('code', 1)) AS rubrics,
+        array(named_struct('year', 1)) AS budgets, cast(array() AS array<string>) AS stages,
+        array(named_struct('short_name', 'S')) AS coexecutors, 'kept' AS oecds""")
+    assert cleaning.flatten_lists(df).first().asDict() == {
+        "keyword_list": "a", "rubrics": None, "oecds": "kept", "budget_total_thousands": None,
+        "stages_count": 0, "coexecutors_names": "S"}
+    flat = cleaning.flatten_lists(spark.sql("SELECT 1 AS budgets, 2 AS stages, 3 AS coexecutors"))
+    assert tuple(flat.first()) == (None, 0, None)
+
+
 def test_clean_records_order_of_steps(spark):
     """An empty joined list counts as filled when fill rates are taken, and is null at the end."""
     rows = [

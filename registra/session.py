@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
-from functools import cache
 
 from pyspark.sql import SparkSession
 
@@ -35,20 +33,23 @@ def ship_package() -> None:
     cloudpickle.register_pickle_by_value(registra)
 
 
-@cache
-def _local_parent() -> str:
-    return tempfile.mkdtemp(prefix="registra-")
+def work_dir(spark: SparkSession) -> str:
+    """The folder that holds what this application writes between steps.
+
+    It lies in the folder the cluster names in ``spark.checkpoint.dir``; where that is unset, in the
+    warehouse, which driver and executors share as well. Never in a machine's temporary folder.
+    """
+    parent = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{parent.rstrip('/')}/registra-{spark.sparkContext.applicationId}"
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder that every executor can reach.
+    """A fresh folder that every executor can reach."""
+    return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
-    The cluster names the parent in ``spark.checkpoint.dir``. Only a local session, where driver
-    and executors are one process, may fall back to the machine's temporary folder.
-    """
-    parent = spark.conf.get("spark.checkpoint.dir", None)
-    if not parent:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-        parent = _local_parent()
-    return f"{parent.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+def clear_work(spark: SparkSession) -> None:
+    """Delete what this application wrote between steps. Frames that still read it end with this."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(work_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

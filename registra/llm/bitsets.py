@@ -76,9 +76,14 @@ def split(docs: DataFrame, rows: DataFrame, key: str, text: str) -> tuple[DataFr
     return marked.where(~F.col("__listed")).drop("__listed"), marked.where("__listed").drop("__listed").withColumn("__tk", F.xxhash64(text))
 
 
-def same_row(key: str, rows: DataFrame) -> Column:
-    """Join condition of the second part of ``split`` with ``rows``."""
-    return F.col(key).cast("bigint").eqNullSafe(rows["id"]) & (F.col("__tk") == rows["tk"])
+def match(maybe: DataFrame, rows: DataFrame, key: str, how: str) -> DataFrame:
+    """Join the second part of ``split`` with ``rows`` on key (null-safe) and hash of the text.
+
+    Any further columns of ``rows`` are added; ``docs`` may have columns of any name not in them.
+    """
+    rows = rows.withColumnsRenamed({"id": "__rid", "tk": "__rtk"})
+    same = F.col(key).cast("bigint").eqNullSafe(F.col("__rid")) & (F.col("__tk") == F.col("__rtk"))
+    return maybe.join(rows, same, how).drop("__rid", "__rtk")
 
 
 def without(docs: DataFrame, rows: DataFrame, key: str, text: str) -> DataFrame:
@@ -86,4 +91,4 @@ def without(docs: DataFrame, rows: DataFrame, key: str, text: str) -> DataFrame:
     sure, maybe = split(docs, rows, key, text)
     if maybe is None:
         return sure
-    return sure.union(maybe.join(rows, same_row(key, rows), "left_anti").drop("__tk"))
+    return sure.union(match(maybe, rows, key, "left_anti").drop("__tk"))

@@ -124,7 +124,7 @@ def _filed(fp, plan: list[tuple[int, int, int]], places: bool = True):
             parts.append(F.array(own))
         else:
             near = F.array(*[F.lit(_signed(m)).cast("bigint") for m in masks])
-            parts.append(F.transform(near, lambda m, own=own: own.bitwiseXOR(m)))
+            parts.append(F.transform(near, own.bitwiseXOR))
     return F.concat(*parts)
 
 
@@ -275,6 +275,6 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", shingl
     sure, maybe = bitsets.split(docs, odd, key, text)
     if maybe is None:
         return sure
-    known = maybe.join(odd.withColumnRenamed("stays", "__stays"), bitsets.same_row(key, odd), "left")
+    known = bitsets.match(maybe, odd.withColumnRenamed("stays", "__stays"), key, "left")
     once = known.where("__stays").dropDuplicates([key, "__tk"])
     return sure.union(known.where("__stays is null").select(*docs.columns)).union(once.select(*docs.columns))

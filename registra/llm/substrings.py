@@ -232,5 +232,5 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     plain = plain.withColumn("__cut", _whole(F.col(text)))
     if listed is None:
         return plain
-    cut = listed.join(gone.withColumnRenamed("ranges", "__ranges"), bitsets.same_row(key, gone), "left")
+    cut = bitsets.match(listed, gone.withColumnRenamed("ranges", "__ranges"), key, "left")
     return plain.union(cut.withColumn("__cut", _shortened(F.col(text), F.col("__ranges"))).select(*docs.columns, "__cut"))

@@ -8,10 +8,14 @@ import uuid
 from pyspark.sql import SparkSession
 
 
-def local_session(cores: int | str = 8, app: str = "registra") -> SparkSession:
-    """A single-machine session. A cluster brings its own session and settings."""
+def local_session(cores: int | str = 8, app: str = "registra", work: str | None = None) -> SparkSession:
+    """A single-machine session. A cluster brings its own session and settings.
+
+    ``work`` is the folder for what is written between steps, as ``spark.checkpoint.dir``.
+    """
+    builder = SparkSession.builder if work is None else SparkSession.builder.config("spark.checkpoint.dir", work)
     return (
-        SparkSession.builder.master(f"local[{cores}]")
+        builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.adaptive.enabled", "true")

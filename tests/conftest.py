@@ -8,12 +8,14 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 
 @pytest.fixture(scope="session")
-def spark():
-    from registra.session import local_session
+def spark(tmp_path_factory):
+    from registra.session import clear_work, local_session, ship_package
 
-    session = local_session(8, "tests")
+    ship_package()
+    session = local_session(8, "tests", tmp_path_factory.mktemp("shared").as_uri())
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    clear_work(session)
     session.stop()
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from registra.session import shared_dir
+from registra.session import remove, shared_dir
 
 KEY = "registration_number"
 
@@ -30,7 +30,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     path = shared_dir(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.work_path = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the files behind frames that ``written`` returned, once nothing reads them any more."""
+    for df in frames:
+        remove(df.sparkSession, df.work_path)
 
 
 def load_table(df: DataFrame, name: str, path: str | None = None, buckets: int = 0) -> int:

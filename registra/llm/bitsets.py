@@ -62,18 +62,24 @@ def member(flags, value: Column) -> Column:
     return run(value)
 
 
-def split(docs: DataFrame, rows: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame | None]:
+def row_hash(key: str, text: str) -> Column:
+    """Name of a row by its key and text, as ``named`` takes them."""
+    return F.xxhash64(F.col(key).cast("bigint"), F.xxhash64(text))
+
+
+def named(rows: DataFrame):
+    """Broadcast set of the rows named by ``id`` and ``tk``, the hash of the text."""
+    flags = build(rows.select(F.xxhash64("id", "tk").alias("h")), "h", rows.count())
+    return rows.sparkSession.sparkContext.broadcast(flags)
+
+
+def split(docs: DataFrame, rows: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
     """Rows of ``docs`` that are surely not among ``rows``, and those that may be (with ``__tk``, the hash of the text).
 
     ``rows`` names rows by ``id`` and ``tk``. Only the second part has to be shuffled for a join.
     """
-    count = rows.count()
-    if not count:
-        return docs, None
-    flags = build(rows.select(F.xxhash64("id", "tk").alias("h")), "h", count)
-    flags = docs.sparkSession.sparkContext.broadcast(flags)
-    marked = docs.withColumn("__listed", member(flags, F.xxhash64(F.col(key).cast("bigint"), F.xxhash64(text))))
-    return marked.where(~F.col("__listed")).drop("__listed"), marked.where("__listed").drop("__listed").withColumn("__tk", F.xxhash64(text))
+    listed = member(named(rows), row_hash(key, text))
+    return docs.where(~listed), docs.where(listed).withColumn("__tk", F.xxhash64(text))
 
 
 def match(maybe: DataFrame, rows: DataFrame, key: str, how: str) -> DataFrame:
@@ -89,6 +95,4 @@ def match(maybe: DataFrame, rows: DataFrame, key: str, how: str) -> DataFrame:
 def without(docs: DataFrame, rows: DataFrame, key: str, text: str) -> DataFrame:
     """``docs`` less the rows named by ``id`` and ``tk`` in ``rows``."""
     sure, maybe = split(docs, rows, key, text)
-    if maybe is None:
-        return sure
     return sure.union(match(maybe, rows, key, "left_anti").drop("__tk"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from registra.sources.tables import written
+from registra.sources.tables import discard, written
 
 MOST_ROUNDS = 64
 
@@ -40,7 +40,8 @@ def components(links: DataFrame) -> DataFrame:
             .select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("l"))
             .select("l.*").where("a <> b").distinct()
         )
-        links = written(small, "links")
+        links, old = written(small, "links"), links
+        discard(old)
         after = _digest(links)
         if after == before:
             break

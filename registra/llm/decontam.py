@@ -62,7 +62,7 @@ def _seeds(least: int, flags=None):
         offsets = np.cumsum([0, *map(len, out)]).astype(np.int32)
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([none, *out])))
 
-    return run
+    return run.asNondeterministic()  # else a filter on the seeds would look for them twice
 
 
 def _free_windows(free: np.ndarray, length: int) -> np.ndarray:
@@ -166,13 +166,13 @@ def contaminated(
     suspects = written(
         docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
         .withColumn("seeds", _seeds(least, flags)(F.col("text"))).where(F.size("seeds") > 0)
-        .select("id", F.xxhash64("text").alias("tk"), token_hashes(F.col("text")).alias("doc_tokens"), "seeds"),
+        .select("id", F.xxhash64("text").alias("tk"), "text", "seeds"),
         "suspects",
     )
     hits = suspects.select("id", "tk", F.explode("seeds").alias("seed"))
     pairs = hits.join(seeds, "seed").select("id", "tk", "item", "ik").distinct()
-    tokens = suspects.select("id", "tk", "doc_tokens").dropDuplicates(["id", "tk"])
-    tokens = tokens.select(F.col("id").alias("d_id"), F.col("tk").alias("d_tk"), "doc_tokens")
+    tokens = suspects.select("id", "tk", "text").dropDuplicates(["id", "tk"])
+    tokens = tokens.select(F.col("id").alias("d_id"), F.col("tk").alias("d_tk"), token_hashes(F.col("text")).alias("doc_tokens"))
     item_tokens = items.select(F.col("item").alias("i_item"), F.col("ik").alias("i_ik"), "item_tokens")
     joined = (
         pairs.join(tokens, F.col("id").eqNullSafe(F.col("d_id")) & (F.col("tk") == F.col("d_tk")))

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from registra.llm import bitsets
 from registra.llm.components import components
 from registra.llm.words import LOWER, runs, slices, spans
-from registra.sources.tables import written
+from registra.sources.tables import discard, written
 
 SEED = 42
 #: Rows of one key that a task compares among themselves; keys with more are dealt out in blocks.
@@ -238,6 +238,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     fingerprints linked at most ``distance`` bits apart, and ``component_id`` is the smallest key in
     it, the row's own included (null where no row of the component has a key).
     """
+    return _near_duplicates(docs, key, text, shingle, distance)[0]
+
+
+def _near_duplicates(docs: DataFrame, key: str, text: str, shingle: int, distance: int) -> tuple[DataFrame, list[DataFrame]]:
+    """The classes, and the tables they are read from."""
     prints = written(
         docs.select(F.col(key).alias("id"), F.xxhash64(text).alias("tk"), fingerprint(text, shingle).alias("fp")), "fingerprints"
     )
@@ -249,7 +254,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     classes = nodes.join(linked, "fp", "left").select(
         "fp", F.coalesce("root", "fp").alias("root"), F.coalesce("least", "first").alias("component_id")
     )
-    return prints.join(classes, "fp").select(F.col("id").alias(key), "tk", "fp", "root", "component_id")
+    found = prints.join(classes, "fp").select(F.col("id").alias(key), "tk", "fp", "root", "component_id")
+    return found, [prints, nodes, roots]
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 4, distance: int = 4) -> DataFrame:
@@ -258,13 +264,14 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", shingl
     Of several rows with that key the one whose text has the least hash stays, and of equal rows
     one. Rows of a class without any key all stay. Only rows that may go are shuffled.
     """
-    found = near_duplicates(docs.select(key, text), key, text, shingle, distance)
+    found, tables = _near_duplicates(docs.select(key, text), key, text, shingle, distance)
     rows = written(
         found.groupBy(F.col(key).cast("bigint").alias("id"), "tk").agg(
             F.first("root").alias("root"), F.first("component_id").alias("component_id"), F.count(F.lit(1)).alias("n")
         ),
         "classes",
     )
+    discard(*tables)
     head = rows.where("id = component_id").groupBy(F.col("root").alias("r")).agg(F.min("tk").alias("head"))
     odd = (
         rows.where("component_id is not null").join(head, F.col("root") == F.col("r"))
@@ -272,9 +279,8 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", shingl
         .where("not stays or n > 1").select("id", "tk", "stays")
     )
     odd = written(odd, "going")
+    discard(rows)
     sure, maybe = bitsets.split(docs, odd, key, text)
-    if maybe is None:
-        return sure
     known = bitsets.match(maybe, odd.withColumnRenamed("stays", "__stays"), key, "left")
     once = known.where("__stays").dropDuplicates([key, "__tk"])
     return sure.union(known.where("__stays is null").select(*docs.columns)).union(once.select(*docs.columns))

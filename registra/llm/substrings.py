@@ -12,20 +12,22 @@ Nothing is paired: all occurrences of a window meet through its smallest documen
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from registra.llm import bitsets
 from registra.llm.words import slices, spans, window_hashes, windows, word_hashes
-from registra.sources.tables import written
+from registra.sources.tables import discard, written
 
 ROW = "id bigint, tk bigint"
 #: Candidate windows that a task settles among themselves before it sends them on.
-HELD_WINDOWS = 1 << 20
+HELD_WINDOWS = 1 << 18
 
 
 def _hashed(column: pa.Array, block: int):
@@ -144,9 +146,9 @@ def _ranges(row: np.ndarray, place: np.ndarray, length: int):
 def _cut(texts: pa.Array, ranges: pa.Array | None) -> pa.Array:
     """Structs of the number of words, the number removed, and the kept words joined by one space."""
     n_words, n_removed, kept = [], [], []
-    ranges = ranges.to_pylist() if ranges is not None else [None] * len(texts)
+    ranges = iter(ranges) if ranges is not None else repeat(None)
     for text, gone in zip(texts, ranges):
-        text = text.as_py()
+        text, gone = text.as_py(), gone.as_py() if gone is not None else None
         words = (text or "").encode().split()
         n_words.append(len(words))
         if gone:
@@ -179,6 +181,17 @@ def _shortened(texts: pa.Array, ranges: pa.Array) -> pa.Array:
     return _cut(texts, ranges)
 
 
+def _whole_unless(flags):
+    """Column function: ``_whole`` of the rows whose hash is not listed, null for the others."""
+
+    @F.arrow_udf(CUT)
+    def run(texts: pa.Array, hashes: pa.Array) -> pa.Array:
+        listed = pa.array(bitsets.hit(flags.value, hashes.to_numpy(zero_copy_only=False).view(np.uint64)))
+        return pc.if_else(listed, None, _cut(pc.if_else(listed, None, texts), None))
+
+    return run.asNondeterministic()  # else the filter on its result would work it out twice
+
+
 def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 50) -> DataFrame | None:
     """Word ranges to remove: ``id``, ``tk`` (hash of the text), ``ranges`` (array of start and stop).
 
@@ -198,6 +211,7 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: in
     if not count:
         return None
     index = spark.sparkContext.broadcast(bitsets.build(blocks, "h", count))
+    discard(blocks)
     shared = written(
         _probes(texts, block, index).groupBy("h")
         .agg(F.min("id").alias("a"), F.max("id").alias("b"), F.max("whole").alias("whole"))
@@ -208,6 +222,7 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: in
     if not count:
         return None
     index = spark.sparkContext.broadcast(bitsets.build(shared, "h", count))
+    discard(shared)
     found = written(_candidates(texts, block, index), "windows")
     # at most one document per batch and window gets here, so no window's group is large
     later = (
@@ -215,7 +230,9 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: in
         .where("id > first").select("id", "tk", "start", "stop")
     )
     gone = found.where("k is null").select("id", "tk", "start", "stop").union(later)
-    return gone.groupBy("id", "tk").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
+    ranges = written(gone.groupBy("id", "tk").agg(F.collect_list(F.struct("start", "stop")).alias("ranges")), "ranges")
+    discard(found)
+    return ranges
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 50) -> DataFrame:
@@ -227,10 +244,9 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     gone = repeats(docs, key, text, window)
     if gone is None:
         return docs.withColumn("__cut", _whole(F.col(text)))
-    gone = written(gone, "ranges")
-    plain, listed = bitsets.split(docs, gone, key, text)
-    plain = plain.withColumn("__cut", _whole(F.col(text)))
-    if listed is None:
-        return plain
+    flags = bitsets.named(gone)
+    row = bitsets.row_hash(key, text)
+    plain = docs.withColumn("__cut", _whole_unless(flags)(F.col(text), row)).where("__cut is not null")
+    listed = docs.where(bitsets.member(flags, row)).withColumn("__tk", F.xxhash64(text))
     cut = bitsets.match(listed, gone.withColumnRenamed("ranges", "__ranges"), key, "left")
     return plain.union(cut.withColumn("__cut", _shortened(F.col(text), F.col("__ranges"))).select(*docs.columns, "__cut"))

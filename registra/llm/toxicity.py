@@ -24,17 +24,17 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from registra.llm.words import NOT_ALNUM, slices, spans, word_hashes
+from registra.llm.words import NOT_ALNUM, mix, slices, spans, word_hashes
 
 #: Labelled texts that the model is fitted on, and their greatest length in characters.
-SAMPLE = {1: 2000, 0: 4000}
+SAMPLE = {1: 1500, 0: 3000}
 SAMPLE_CHARS = 50_000
 DICTIONARY_BYTES = 16_384
 LEVEL = 6
 REPEAT = 3
 #: Least log-likelihood ratio of a word that marks toxic text, counted in different neighbourhoods.
 MARK = 18.0
-CACHED_WINDOWS = 200_000
+CACHED_WINDOWS = 50_000
 THRESHOLD = 0.3
 
 Bin = tuple[int, int, int]
@@ -76,7 +76,7 @@ class _Lengths:
 def _bins(column: pa.Array, lengths: _Lengths) -> list[Counter]:
     """For each text, how many of its windows fall into each bin. A word is compressed once per slice."""
     out: list[Counter] = []
-    for _, _, data, offsets in slices(pc.utf8_lower(column)):
+    for _, _, data, offsets in slices(column, prepare=pc.utf8_lower):
         starts, ends, before = spans(data, offsets, NOT_ALNUM)
         hashes = word_hashes(data, starts, ends)
         _, where, which = np.unique(hashes, return_index=True, return_inverse=True)
@@ -114,8 +114,8 @@ def _logistic(x: np.ndarray) -> np.ndarray:
 
 def _neighbourhoods(column: pa.Array) -> tuple[Counter, dict[int, bytes]]:
     """Different pairs of neighbours of each word hash; copies of a passage count once."""
-    words, sides, texts = [], [], {}
-    for _, _, data, offsets in slices(pc.utf8_lower(column)):
+    words, places, texts = [], [], {}
+    for _, _, data, offsets in slices(column, prepare=pc.utf8_lower):
         starts, ends, before = spans(data, offsets, NOT_ALNUM)
         hashes = word_hashes(data, starts, ends)
         first = np.zeros(len(hashes) + 1, bool)
@@ -123,14 +123,14 @@ def _neighbourhoods(column: pa.Array) -> tuple[Counter, dict[int, bytes]]:
         left = np.where(first[:-1], np.uint64(1), np.roll(hashes, 1))
         right = np.where(first[1:], np.uint64(2), np.roll(hashes, -1))
         words.append(hashes)
-        sides.append(left * np.uint64(3) + right * np.uint64(0x9E3779B97F4A7C15))
+        places.append(mix(hashes + mix(left * np.uint64(3) + right)))
         unique, where = np.unique(hashes, return_index=True)
         blob = data.tobytes()
-        texts.update({h: blob[starts[i]: ends[i]] for h, i in zip(unique.tolist(), where.tolist())})
+        texts.update({h: blob[starts[i]: ends[i]] for h, i in zip(unique.tolist(), where.tolist()) if h not in texts})
     if not words:
         return Counter(), texts
-    pairs = np.unique(np.stack([np.concatenate(words), np.concatenate(sides)], 1), axis=0)[:, 0]
-    unique, counts = np.unique(pairs, return_counts=True)
+    _, where = np.unique(np.concatenate(places), return_index=True)
+    unique, counts = np.unique(np.concatenate(words)[where], return_counts=True)
     return Counter(dict(zip(unique.tolist(), counts.tolist()))), texts
 
 
@@ -236,7 +236,7 @@ def score(model, text: str) -> Column:
         scores[[not b for b in bins]] = m.share
         return pa.array(scores, pa.float64())
 
-    return run(F.col(text))
+    return run.asNondeterministic()(F.col(text))  # else a filter on the score would work it out twice
 
 
 #: Compressors of the model in use in this process.

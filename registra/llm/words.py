@@ -1,6 +1,6 @@
 """Words of Arrow text columns as flat numpy arrays: spans, hashes, rolling windows.
 
-All functions work on slices of a few megabytes, so a task's memory does not grow with the batch;
+All functions work on slices of half a megabyte, so a task's memory does not grow with the batch;
 a text longer than a slice is a slice of its own.
 """
 
@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 #: Bytes that separate words: space and 0x09 to 0x0D.
 BLANK = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 #: Bytes that separate tokens: ASCII other than letters and digits.
@@ -24,12 +24,18 @@ _BACK = pow(_STEP, -1, 1 << 64)
 _BYTES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def utf8(column) -> tuple[np.ndarray, np.ndarray]:
+def _offsets(column: pa.Array) -> np.ndarray:
+    kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    if column.buffers()[1] is None:
+        return np.zeros(len(column) + 1, kind)
+    return np.frombuffer(column.buffers()[1], kind)[column.offset: column.offset + len(column) + 1]
+
+
+def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of a text column and its row boundaries; null counts as empty text."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    column = pc.fill_null(column.cast(pa.large_string()), "")
-    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset: column.offset + len(column) + 1]
+    if column.null_count:
+        column = pc.fill_null(column, "")
+    offsets = _offsets(column).astype(np.int64)
     data = column.buffers()[2]
     data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     if not len(offsets):
@@ -37,15 +43,19 @@ def utf8(column) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0]: offsets[-1]], offsets - offsets[0]
 
 
-def slices(column, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """First row, row after the last, bytes and row boundaries of slices of about ``limit`` bytes."""
-    data, offsets = utf8(column)
-    first, rows = 0, len(offsets) - 1
-    while first < rows:
-        last = int(np.searchsorted(offsets, offsets[first] + limit, side="right")) - 1
-        last = min(max(last, first + 1), rows)
-        cut = offsets[first: last + 1]
-        yield first, last, data[cut[0]: cut[-1]], cut - cut[0]
+def slices(column, limit: int = SLICE_BYTES, prepare=None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """First row, row after the last, bytes and row boundaries of slices of about ``limit`` bytes.
+
+    ``prepare`` is applied to each slice of the column.
+    """
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    offsets, first = _offsets(column), 0
+    while first < len(column):
+        last = int(np.searchsorted(offsets, int(offsets[first]) + limit, side="right")) - 1
+        last = min(max(last, first + 1), len(column))
+        part = column.slice(first, last - first)
+        yield first, last, *utf8(prepare(part) if prepare else part)
         first = last
 
 

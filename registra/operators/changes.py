@@ -17,13 +17,13 @@ CHANGEABLE = (
     "name", "annotation", "year", "nioktr_types", "budget_total_thousands", "executor_name",
     "supervisor_full_name", "keyword_list",
 )
-REQUIRED = (KEY, "name")
 # ---- end of fixed values ------------------------------------------------------------------
 
 
-def _ranked(df: DataFrame, order: str | None, last: bool) -> DataFrame:
-    by = F.lit(0) if order is None else (F.col(order).desc() if last else F.col(order).asc())
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(KEY).orderBy(by)))
+def _ranked(df: DataFrame, order: str | None, last: bool, key: str = KEY) -> DataFrame:
+    """Number the rows of each key; a row without an order comes after the others."""
+    by = F.lit(0) if order is None else (F.desc_nulls_last(order) if last else F.asc_nulls_last(order))
+    return df.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(by)))
 
 
 def _aligned(df: DataFrame, like: DataFrame) -> DataFrame:
@@ -40,20 +40,18 @@ def _aligned(df: DataFrame, like: DataFrame) -> DataFrame:
 def apply_inserts(
     base: DataFrame, new: DataFrame, order: str | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """Add records with new keys. Known keys, and later repeats of a key, are conflicts.
+    """Add records with new keys. Null and known keys, and later repeats of a key, are conflicts.
 
-    ``order`` must differ between the rows of a key. Without it the rows of a key are numbered in
-    no particular order.
+    Every row of ``new`` is either added or a conflict. Of the rows of a key the first in ``order``
+    is added (rows without an order count as last); ties, and all rows without ``order``, are taken
+    in no particular order.
     """
-    if order is None:
-        marked = _ranked(new, None, last=False).withColumn("_first", F.col("_n") == 1).drop("_n")
-    else:
-        earliest = new.groupBy(KEY).agg(F.min(order).alias("_earliest"))
-        marked = new.join(earliest, KEY).withColumn("_first", F.col(order) == F.col("_earliest"))
-    marked = marked.join(base.select(KEY).withColumn("_known", F.lit(True)), KEY, "left")
-    fresh = F.col("_known").isNull() & F.col("_first")
-    added = _aligned(marked.where(fresh), base)
-    return base.unionByName(added), marked.where(~fresh).select(*new.columns)
+    marked = _ranked(new.where(F.col(KEY).isNotNull()), order, last=False)
+    known = base.where(F.col(KEY).isNotNull()).select(KEY).distinct().withColumn("_known", F.lit(True))
+    marked = marked.join(known, KEY, "left")
+    fresh = F.col("_known").isNull() & (F.col("_n") == 1)
+    conflicts = marked.where(~fresh).select(*new.columns).union(new.where(F.col(KEY).isNull()))
+    return base.unionByName(_aligned(marked.where(fresh), base)), conflicts
 
 
 def apply_updates(
@@ -90,12 +88,14 @@ def apply_deletes(base: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFram
 def upsert(
     base: DataFrame, new: DataFrame, key: str = KEY, order: str | None = None
 ) -> DataFrame:
-    """Replace rows with known keys and add the others; the last row per key wins."""
-    if order is not None:
-        w = Window.partitionBy(key).orderBy(F.col(order).desc())
-        new = new.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
-    new = new.select(*base.columns)
-    return base.join(new.select(key), key, "left_anti").unionByName(new)
+    """Replace rows with known keys and add the others; one row per key of ``new`` gets in.
+
+    It is the last in ``order``, or any where there is no order. Rows with a null key replace nothing
+    and are all added.
+    """
+    last = _ranked(new.where(F.col(key).isNotNull()), order, last=True, key=key).where("_n = 1")
+    rows = last.select(*base.columns).unionByName(new.where(F.col(key).isNull()).select(*base.columns))
+    return base.join(last.select(key), key, "left_anti").unionByName(rows)
 
 
 def pending(df: DataFrame, done: DataFrame, key: str = KEY) -> DataFrame:

@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 from registra.functions.numeric import MONEY
 from registra.operators.paging import top_k, top_k_per_group
 
-MAX_KEYS = 2_000
-
 
 @dataclass(frozen=True)
 class City:
@@ -59,8 +57,6 @@ def first_match(
     dictionary becomes one CASE expression, so there is neither a join nor a shuffle.
     """
     keys = [(k, i) for i, c in enumerate(cities) for k in c.keys]
-    if len(keys) > MAX_KEYS:
-        raise ValueError(f"a dictionary may hold at most {MAX_KEYS} keys")
     # a column of its own, or every test would lower the name again
     named = df.withColumn("_name", F.lower(F.coalesce(F.col(name_column), F.lit(""))))
     name = F.col("_name")

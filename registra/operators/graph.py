@@ -77,21 +77,16 @@ def keep_internal_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.select("source", "target", "weight")
 
 
-def record_words(
-    df: DataFrame, column: str = KEYWORDS, n: int = WORDS_PER_RECORD, sample: int | None = None
-) -> DataFrame:
-    """First ``n`` non-empty stripped lower-cased keywords of every record, as ``words``.
-
-    ``sample`` takes that many records in no particular order, as a preview.
-    """
+def record_words(df: DataFrame, column: str = KEYWORDS, n: int | None = None) -> DataFrame:
+    """Non-empty stripped lower-cased keywords of every record, as ``words``; the first ``n`` if given."""
     listed = df.where(F.col(column).isNotNull()).select(column)
-    if sample is not None:
-        listed = listed.limit(sample)
     # A separator takes the blanks and empty keywords after it along, so splitting stops after
     # the first n keywords however long the list is.
     blank = BLANK[1:-1]
     start = F.regexp_replace(F.col(column), f"^[;{blank}]+", "")
-    parts = F.slice(F.split(start, f";[;{blank}]*", n + 1), 1, n)
+    parts = F.split(start, f";[;{blank}]*", -1 if n is None else n + 1)
+    if n is not None:
+        parts = F.slice(parts, 1, n)
     words = F.transform(parts, lambda w: F.lower(strip(w)))
     return listed.select(F.filter(words, lambda w: w != "").alias("words"))
 
@@ -110,16 +105,14 @@ def topic_nodes(words: DataFrame, limit: int | None = 100) -> DataFrame:
     return nodes.orderBy(F.desc("count"), F.asc("id")).limit(limit)
 
 
-def cooccurrence_pairs(
-    words: DataFrame, n: int = WORDS_PER_RECORD, drop_self: bool = False
-) -> DataFrame:
+def cooccurrence_pairs(words: DataFrame, drop_self: bool = False) -> DataFrame:
     """Each two words of one record, smaller first; a repeated word pairs with itself.
 
-    Records carry at most ``n`` words, which bounds the pairs of one record.
+    All words pair; how many a record may have is for :func:`record_words` to say.
     """
-    short = words.select(F.slice("words", 1, n).alias("words"))
-    first = short.select("words", F.posexplode("words").alias("i", "w1"))
-    both = first.select("w1", F.explode(F.slice("words", F.col("i") + 2, F.lit(n))).alias("w2"))
+    first = words.select("words", F.posexplode("words").alias("i", "w1"))
+    rest = F.slice("words", F.col("i") + 2, F.size("words"))
+    both = first.select("w1", F.explode(rest).alias("w2"))
     if drop_self:
         both = both.where(F.col("w1") != F.col("w2"))
     return both.select(F.least("w1", "w2").alias("source"), F.greatest("w1", "w2").alias("target"))
@@ -160,10 +153,13 @@ def institution_graph(
 
 
 def topic_graph(
-    df: DataFrame, limit: int = 100, column: str = KEYWORDS, sample: int | None = None
+    df: DataFrame, limit: int = 100, column: str = KEYWORDS, n: int | None = WORDS_PER_RECORD
 ) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges. The words of the records are written, so the lists are read once."""
-    words = written(record_words(df, column, sample=sample), "words")
+    """Nodes and edges from the first ``n`` keywords of each record (None: from all).
+
+    The words of the records are written, so the lists are read once.
+    """
+    words = written(record_words(df, column, n), "words")
     nodes = topic_nodes(words, limit)
     return nodes, topic_edges(words, nodes)
 

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,9 +26,10 @@ LISTS = 100
 SOURCES = 5
 # ---- end of fixed values ------------------------------------------------------------------
 
-# A question table up to this size travels with the task; a larger one is joined in blocks.
+# Questions of one search: their vectors travel with every task.
 MAX_SENT_QUESTIONS = 2_000
-BLOCK_ROWS = 20_000
+# Files that the rows of one cell are written to.
+FILES_PER_CELL = 4
 # Similarities worked out at a time in one task.
 MAX_PRODUCTS = 4_000_000
 # Similarities that agree to this many digits are ties and are ordered by key.
@@ -38,13 +38,17 @@ TIE_DIGITS = 9
 Encoder = Callable[[list[str]], np.ndarray]
 
 
-def source_texts(df: DataFrame) -> DataFrame:
-    """Key and text to encode: groundwork, else annotation; blank keys and texts are left out."""
+def source_texts(df: DataFrame, cut: int | None = None) -> DataFrame:
+    """Key and text to encode: groundwork, else annotation; blank keys and texts are left out.
+
+    ``cut`` keeps that many characters of each text (``TEXT_CUT`` for encoders that read no more).
+    """
     texts = [F.col(c) for c in ("scientific_groundwork", "annotation") if c in df.columns]
     text = F.coalesce(*texts) if texts else F.lit(None).cast("string")
     rows = df.select(F.col(KEY), text.alias("source_text"))
     usable = ~is_blank(F.col(KEY)) & ~is_blank(F.col("source_text"))
-    return rows.where(usable).select(KEY, prefix(F.col("source_text"), TEXT_CUT).alias("source_text"))
+    text = F.col("source_text") if cut is None else prefix(F.col("source_text"), cut)
+    return rows.where(usable).select(KEY, text.alias("source_text"))
 
 
 def hashing_encoder(dim: int = DIMENSIONS) -> Encoder:
@@ -103,13 +107,30 @@ def _unit_rows(m: np.ndarray) -> np.ndarray:
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
-    return _unit_rows(np.stack([np.asarray(v, dtype=np.float64) for v in column]))
+    vectors = [np.asarray(v, dtype=np.float64) for v in column]
+    if len({len(v) for v in vectors}) > 1:
+        raise ValueError("question vectors differ in length")
+    return _unit_rows(np.stack(vectors))
 
 
-def _arrow_matrix(column: pa.ListArray) -> np.ndarray:
+def _arrow_matrix(column: pa.ListArray, dim: int) -> np.ndarray:
     """Unit vectors straight from the flat values of an Arrow list column."""
+    lengths = np.diff(column.offsets.to_numpy())
+    if (lengths != dim).any():
+        raise ValueError(f"a stored vector has {lengths[lengths != dim][0]} numbers, a question {dim}")
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return _unit_rows(flat.reshape(len(column), -1))
+    return _unit_rows(flat.reshape(len(column), dim))
+
+
+def _asked(questions: DataFrame) -> pd.DataFrame:
+    """The questions that have a vector, checked: a bounded number, each id once."""
+    asked = questions.where(F.col("embedding").isNotNull()).select(F.col("question_id").cast("string"), "embedding")
+    sent = asked.limit(MAX_SENT_QUESTIONS + 1).toPandas()
+    if len(sent) > MAX_SENT_QUESTIONS:
+        raise ValueError(f"a search takes at most {MAX_SENT_QUESTIONS} questions; ask in parts")
+    if sent["question_id"].isna().any() or not sent["question_id"].is_unique:
+        raise ValueError("every question needs an id of its own")
+    return sent
 
 
 def _best(q: np.ndarray, keys: np.ndarray, score: np.ndarray, k: int):
@@ -171,84 +192,36 @@ def _first_hits(hits: DataFrame, k: int, key: str) -> DataFrame:
     return top_k_per_group(hits, ["question_id"], [F.desc_nulls_last("score"), F.asc(key)], k)
 
 
-def _at_most(df: DataFrame, n: int) -> bool:
-    return df.limit(n + 1).count() <= n
-
-
-def nearest(
-    store: DataFrame,
-    questions: DataFrame,
-    k: int = 10,
-    key: str = KEY,
-    max_sent: int = MAX_SENT_QUESTIONS,
-    block_rows: int = BLOCK_ROWS,
-) -> DataFrame:
+def nearest(store: DataFrame, questions: DataFrame, k: int = 10, key: str = KEY) -> DataFrame:
     """Exact nearest records: ``question_id, key, score, rank``.
 
-    ``questions`` holds ``question_id`` and ``embedding``. Every task multiplies its batches with
-    the question matrix and keeps the best ``k`` per question, so only those reach the shuffle. Up
-    to ``max_sent`` questions travel with the task. More are cut into blocks, and each pair of a
-    record block and a question block is one task of the same kind.
+    ``questions`` holds ``question_id`` and ``embedding``, at most ``MAX_SENT_QUESTIONS`` rows; one
+    without a vector finds nothing. Every task multiplies its batches with the question matrix and
+    keeps the best ``k`` per question, so only those reach the shuffle. All vectors must have the
+    length of the questions'.
     """
     schema = _HITS.format(key=key)
     records = store.where(F.col("embedding").isNotNull()).select(
         F.col(key).cast("string").alias(key), "embedding"
     )
-    asked = questions.select(F.col("question_id").cast("string"), "embedding")
-
-    sent = asked.limit(max_sent + 1).toPandas()
-    if len(sent) <= max_sent:
-        if sent.empty:
-            return store.sparkSession.createDataFrame([], schema + ", rank int")
-        ids, matrix = sent["question_id"].to_numpy(dtype=object), _matrix(sent["embedding"])
-
-        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            best = _TopK(matrix, k)
-            for b in batches:
-                if len(b):
-                    best.add(_keys(b.column(key)), _arrow_matrix(b.column("embedding")))
-            yield best.batch(ids, key)
-
-        return _first_hits(records.mapInArrow(scan, schema), k, key)
-
-    record_blocks = max(1, -(-records.count() // block_rows))
-    question_blocks = max(1, -(-asked.count() // block_rows))
-
-    def block(c: str, n: int) -> Column:
-        return F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-
-    def every(n: int) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-
-    left = records.withColumn("rb", block(key, record_blocks)).withColumn("qb", every(question_blocks))
-    # both sides may come from one table, so the question vectors get a name of their own
-    right = asked.select(
-        "question_id",
-        F.col("embedding").alias("asked"),
-        block("question_id", question_blocks).alias("qb"),
-    ).withColumn("rb", every(record_blocks))
-
-    def meet(rows: pd.DataFrame, qs: pd.DataFrame) -> pd.DataFrame:
-        if rows.empty or qs.empty:
-            return pd.DataFrame({"question_id": [], key: [], "score": []})
-        best = _TopK(_matrix(qs["asked"]), k)
-        best.add(rows[key].to_numpy(dtype=object), _matrix(rows["embedding"]))
-        return best.frame(qs["question_id"].to_numpy(dtype=object), key)
+    sent = _asked(questions)
+    if sent.empty:
+        return store.sparkSession.createDataFrame([], schema + ", rank int")
+    ids, matrix = sent["question_id"].to_numpy(dtype=object), _matrix(sent["embedding"])
 
-    hits = left.groupBy("rb", "qb").cogroup(right.groupBy("rb", "qb")).applyInPandas(meet, schema)
-    return _first_hits(hits, k, key)
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = _TopK(matrix, k)
+        for b in batches:
+            if len(b):
+                best.add(_keys(b.column(key)), _arrow_matrix(b.column("embedding"), matrix.shape[1]))
+        yield best.batch(ids, key)
 
+    return _first_hits(records.mapInArrow(scan, schema), k, key)
 
-def with_records(store: DataFrame, projects: DataFrame, max_orphans: int = 100_000) -> DataFrame:
-    """Store rows whose project exists.
 
-    Only keys are compared. Vectors without a project are normally few; then the store is filtered
-    in place. When they are many, the store is joined on the key.
-    """
-    orphans = store.select(KEY).join(projects.select(KEY), KEY, "left_anti")
-    if _at_most(orphans, max_orphans):
-        return store.join(F.broadcast(orphans.distinct()), KEY, "left_anti")
-    return store.join(projects.select(KEY), KEY, "left_semi")
+def with_records(store: DataFrame, projects: DataFrame) -> DataFrame:
+    """Store rows whose project exists. Rows without a key have none."""
+    return store.where(F.col(KEY).isNotNull()).join(projects.select(KEY), KEY, "left_semi")
 
 
 SEARCH_VIEW = (
@@ -313,8 +286,13 @@ class IvfIndex:
     centres: np.ndarray
 
     def save(self, path: str) -> IvfIndex:
-        """Write the records by cell, so that a search reads the probed cells only."""
-        self.records.write.mode("overwrite").partitionBy("cell").parquet(path)
+        """Write the records by cell, so that a search reads the probed cells only.
+
+        The rows of a cell go to a few tasks, which write one file each.
+        """
+        salt = F.pmod(F.xxhash64(KEY), F.lit(FILES_PER_CELL))
+        dealt = self.records.repartition("cell", salt)
+        dealt.write.mode("overwrite").partitionBy("cell").parquet(path)
         spark = self.records.sparkSession
         return IvfIndex(spark.read.parquet(path), self.centres)
 
@@ -338,16 +316,7 @@ def ivf_search(index: IvfIndex, questions: DataFrame, k: int = 10, probes: int =
 
     With as many probes as cells the result equals :func:`nearest`.
     """
-    asked = questions.select(F.col("question_id").cast("string"), "embedding")
-    sent = asked.limit(MAX_SENT_QUESTIONS + 1).toPandas()
-    if len(sent) > MAX_SENT_QUESTIONS:
-        # a larger table is asked in parts, each small enough to travel with the tasks
-        parts = -(-2 * asked.count() // MAX_SENT_QUESTIONS)
-        part = F.pmod(F.xxhash64("question_id"), F.lit(parts))
-        return reduce(
-            DataFrame.unionByName,
-            [ivf_search(index, asked.where(part == i), k, probes, key) for i in range(parts)],
-        )
+    sent = _asked(questions)
     schema = _HITS.format(key=key)
     if sent.empty:
         return index.records.sparkSession.createDataFrame([], schema + ", rank int")
@@ -363,7 +332,7 @@ def ivf_search(index: IvfIndex, questions: DataFrame, k: int = 10, probes: int =
         for b in batches:
             if len(b):
                 allowed = probed[:, b.column("cell").to_numpy()].T
-                best.add(_keys(b.column(key)), _arrow_matrix(b.column("embedding")), allowed)
+                best.add(_keys(b.column(key)), _arrow_matrix(b.column("embedding"), matrix.shape[1]), allowed)
         yield best.batch(ids, key)
 
     pruned = index.records.where(F.col("cell").isin(wanted)).select(

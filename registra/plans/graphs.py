@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from registra.operators import graph, shared
 from registra.plans.projects import (
-    DOCUMENT_KEYWORDS_SQL, document_keywords, projects, with_projects,
+    projects, with_projects,
 )
 from registra.plans.registry import dec_round, money, query, quoted, sql_strip
 from registra.functions.text import LABEL_QUOTES, LEGAL_PREFIX
+from registra.sources.tables import KEY
 
 _B = "budget_total_thousands"
 _NODE_COLUMNS = ("executor_ogrn", "executor_name", _B)
@@ -137,15 +138,21 @@ def t06_neighbours(spark, sf):
     return graph.strongest_neighbours(_edges(spark, sf), graph.strongest_nodes(nodes))
 
 
-# ---- topics: the words of whole documents -------------------------------------------------
+# ---- topics: the keyword lists of projects ------------------------------------------------
 
 _KEPT = f"lower({sql_strip('w')})"
-WORDS_SQL = f"""{DOCUMENT_KEYWORDS_SQL}, words AS (
-  SELECT doc_id, list_slice(list_filter(list_transform(string_split(keyword_list, ';'),
-    lambda w: {_KEPT}), lambda w: w <> ''), 1, 10) AS words FROM docs
+
+
+def _words_sql(cut="", source="projects"):
+    return f"""words AS (
+  SELECT {KEY} AS doc_id, list_filter(list_transform(string_split(keyword_list, ';'),
+    lambda w: {_KEPT}), lambda w: w <> ''){cut} AS words FROM {source} WHERE keyword_list IS NOT NULL
 ), places AS (
   SELECT doc_id, unnest(words) AS w, generate_subscripts(words, 1) AS i FROM words
 )"""
+
+
+WORDS_SQL = _words_sql("[1:10]")
 WORD_NODES_SQL = f"""nodes AS (
   SELECT w AS id, w AS label, count(*) AS count FROM places GROUP BY w
   ORDER BY count DESC, id LIMIT {LIMIT}
@@ -162,31 +169,31 @@ WORD_EDGES_SQL = f"""{WORD_PAIRS_SQL}, common AS (
 )"""
 
 
-def _words(spark, sf):
-    return graph.record_words(document_keywords(spark, sf))
+def _lists(spark, sf):
+    return projects(spark, sf, KEY, "keyword_list")
 
 
-@query("a25_topic_nodes", f"WITH {WORDS_SQL}, {WORD_NODES_SQL} SELECT * FROM nodes")
+@query("a25_topic_nodes", with_projects(f", {WORDS_SQL}, {WORD_NODES_SQL} SELECT * FROM nodes"))
 def a25(spark, sf):
-    return graph.topic_nodes(_words(spark, sf), LIMIT)
+    return graph.topic_nodes(graph.record_words(_lists(spark, sf), n=graph.WORDS_PER_RECORD), LIMIT)
 
 
-@query("j09_cooccurrence_pairs", f"WITH {WORDS_SQL}, {WORD_PAIRS_SQL} SELECT * FROM pairs")
+@query("j09_cooccurrence_pairs", with_projects(f", {_words_sql()}, {WORD_PAIRS_SQL} SELECT * FROM pairs"))
 def j09(spark, sf):
-    return graph.pair_weights(graph.cooccurrence_pairs(_words(spark, sf)))
+    return graph.pair_weights(graph.cooccurrence_pairs(graph.record_words(_lists(spark, sf))))
 
 
-@query("a26_topic_edges", f"WITH {WORDS_SQL}, {WORD_NODES_SQL}, {WORD_EDGES_SQL} SELECT * FROM edges")
+@query("a26_topic_edges", with_projects(f", {WORDS_SQL}, {WORD_NODES_SQL}, {WORD_EDGES_SQL} SELECT * FROM edges"))
 def a26(spark, sf):
-    return graph.topic_graph(document_keywords(spark, sf), LIMIT)[1]
+    return graph.topic_graph(_lists(spark, sf), LIMIT)[1]
 
 
 @query("g02_topic_graph",
-       f"WITH {WORDS_SQL}, {WORD_NODES_SQL}, {WORD_EDGES_SQL} "
+       with_projects(f", {WORDS_SQL}, {WORD_NODES_SQL}, {WORD_EDGES_SQL} "
        "SELECT id AS a, NULL::VARCHAR AS b, count AS n FROM nodes "
-       "UNION ALL SELECT source, target, weight FROM edges")
+       "UNION ALL SELECT source, target, weight FROM edges"))
 def g02(spark, sf):
-    nodes, edges = graph.topic_graph(document_keywords(spark, sf), LIMIT)
+    nodes, edges = graph.topic_graph(_lists(spark, sf), LIMIT)
     none = F.lit(None).cast("string")
     return nodes.select(F.col("id").alias("a"), none.alias("b"), F.col("count").alias("n")).unionByName(
         edges.select(F.col("source").alias("a"), F.col("target").alias("b"),
@@ -194,18 +201,18 @@ def g02(spark, sf):
 
 
 @query("g03_graph_summary",
-       f"WITH {WORDS_SQL}, {WORD_NODES_SQL}, {WORD_EDGES_SQL} "
-       "SELECT (SELECT count(*) FROM nodes) AS node_count, (SELECT count(*) FROM edges) AS edge_count")
+       with_projects(f", {WORDS_SQL}, {WORD_NODES_SQL}, {WORD_EDGES_SQL} "
+       "SELECT (SELECT count(*) FROM nodes) AS node_count, (SELECT count(*) FROM edges) AS edge_count"))
 def g03(spark, sf):
-    return graph.graph_summary(*graph.topic_graph(document_keywords(spark, sf), LIMIT))
+    return graph.graph_summary(*graph.topic_graph(_lists(spark, sf), LIMIT))
 
 
-SAMPLE = 20_000  # the sampling operator under test; tables up to this size are taken whole
+SAMPLE = 20_000  # a sampling operator: the records with the first keys
 
 
-@query("t05_bounded_sample",
-       f"WITH {WORDS_SQL.replace('FROM documents', f'FROM documents LIMIT {SAMPLE}')}, {WORD_NODES_SQL} "
-       "SELECT * FROM nodes")
+@query("t05_bounded_sample", with_projects(
+       f", sampled AS (SELECT * FROM projects WHERE keyword_list IS NOT NULL ORDER BY {KEY} LIMIT {SAMPLE}), "
+       f"{_words_sql('[1:10]', 'sampled')}, {WORD_NODES_SQL} SELECT * FROM nodes"))
 def t05(spark, sf):
-    words = graph.record_words(document_keywords(spark, sf), sample=SAMPLE)
-    return graph.topic_nodes(words, LIMIT)
+    sample = _lists(spark, sf).where("keyword_list IS NOT NULL").orderBy(KEY).limit(SAMPLE)
+    return graph.topic_nodes(graph.record_words(sample, n=graph.WORDS_PER_RECORD), LIMIT)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from registra.operators import cities, geo, metrics
 from registra.operators.geo import City
 from registra.plans.projects import projects, table, with_projects
-from registra.plans.registry import money, query
+from registra.plans.registry import money, query, quoted
 
 # A small dictionary over the given nation names. "nation_1" is part of "nation_12", and one city
 # is found only by the first word of its name.
@@ -77,23 +77,24 @@ def j07_longest(spark, sf):
     return geo.place_rows(_rows(spark, sf), CITIES, "longest")
 
 
-_FULL_KEYS = ", ".join(f"({i}, '{k}')" for i, c in enumerate(cities.CITIES) for k in c.keys)
-_FULL_NAMES = ", ".join(f"'{c.city}'" for c in cities.CITIES)
+# Inflected names and the cities they must be placed in; None: in none
+_NAMED = (
+    ("Институт в Симферополе", "Симферополь"), ("Московский политех", "Москва"), ("Воронежский университет", "Воронеж"),
+    ("Южно-Уральский университет", "Екатеринбург"), ("Центр Омской области", "Омск"), ("Костромской музей", "Кострома"),
+    ("Сахалинский университет", "Южно-Сахалинск"), ("Камчатский центр", "Петропавловск-К."), ("Академия в Ростове-на-Дону", "Ростов-на-Дону"),
+    ("Алтайский край", "Барнаул"), ("Архив Казанского университета", "Казань"), ("Неизвестный институт", None),
+)
+_NAMES = ", ".join(quoted(n) for n, _ in _NAMED)
+_PLACES = ", ".join("NULL" if c is None else quoted(c) for _, c in _NAMED)
 
 
-@query("j07_city_dictionary", f"""WITH names AS (
-  SELECT c_custkey, 'Институт ' || [{_FULL_NAMES}][c_custkey % {len(cities.CITIES)} + 1] || ' '
-    || c_name AS institution FROM customer
-), found AS (
-  SELECT c_custkey, min(i) AS i FROM names, (VALUES {_FULL_KEYS}) k(i, key)
-  WHERE contains(lower(institution), key) GROUP BY c_custkey
-)
-SELECT c_custkey, institution, [{_FULL_NAMES}][i + 1] AS city FROM names LEFT JOIN found USING (c_custkey)""")
+@query("j07_city_dictionary", f"""SELECT c_custkey, [{_NAMES}][c_custkey % {len(_NAMED)} + 1] || ' № ' || c_custkey AS institution,
+  [{_PLACES}][c_custkey % {len(_NAMED)} + 1] AS city FROM customer""")
 def j07_dictionary(spark, sf):
-    names = F.array(*[F.lit(c.city) for c in cities.CITIES])
-    city = F.get(names, (F.col("c_custkey") % len(cities.CITIES)).cast("int"))
+    names = F.array(*[F.lit(n) for n, _ in _NAMED])
+    name = F.get(names, (F.col("c_custkey") % len(_NAMED)).cast("int"))
     rows = table(spark, sf, "customer").select(
-        "c_custkey", F.concat_ws(" ", F.lit("Институт"), city, "c_name").alias("institution"))
+        "c_custkey", F.concat(name, F.lit(" № "), F.col("c_custkey").cast("string")).alias("institution"))
     placed = geo.first_match(rows, "institution", cities.CITIES, fallback=False)
     return placed.select("c_custkey", "institution", "city")
 

@@ -233,7 +233,7 @@ def with_cards(sql: str) -> str:
 def vector_store(spark: SparkSession, sf: str) -> DataFrame:
     """The given vectors keyed as projects, with the text of the document of the same number."""
     docs = table(spark, sf, "documents").select(
-        "doc_id", F.substring("text", 1, 2_000).alias("source_text")
+        "doc_id", F.col("text").alias("source_text")
     )
     return (
         table(spark, sf, "embeddings")
@@ -256,15 +256,15 @@ def label_questions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def all_questions(spark: SparkSession, sf: str) -> DataFrame:
-    """Every given vector as a question."""
-    return table(spark, sf, "embeddings").select(
+    """Every hundredth of the given vectors as a question."""
+    return table(spark, sf, "embeddings").where("vec_id % 100 = 0").select(
         F.col("vec_id").cast("string").alias("question_id"), "embedding"
     )
 
 
 STORE_SQL = """store AS (
   SELECT CAST(vec_id AS VARCHAR) AS registration_number, CAST(embedding AS DOUBLE[]) AS embedding,
-    substring(d.text, 1, 2000) AS source_text
+    d.text AS source_text
   FROM embeddings LEFT JOIN documents d ON vec_id = d.doc_id
 )"""
 
@@ -279,7 +279,7 @@ LABEL_QUESTIONS_SQL = """questions AS (
 
 ALL_QUESTIONS_SQL = """questions AS (
   SELECT CAST(vec_id AS VARCHAR) AS question_id, CAST(embedding AS DOUBLE[]) AS embedding
-  FROM embeddings
+  FROM embeddings WHERE vec_id % 100 = 0
 )"""
 
 

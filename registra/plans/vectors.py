@@ -23,7 +23,7 @@ _TEXT_COLUMNS = (KEY, "annotation")
     f"SELECT registration_number, substring(annotation, 1, 2000) AS source_text FROM projects "
     f"WHERE {sql_strip('registration_number')} <> '' AND {sql_strip('annotation')} <> ''"))
 def v01(spark, sf):
-    return retrieval.source_texts(projects(spark, sf, *_TEXT_COLUMNS))
+    return retrieval.source_texts(projects(spark, sf, *_TEXT_COLUMNS), retrieval.TEXT_CUT)
 
 
 @query("v02_embed_texts", with_projects(
@@ -47,9 +47,7 @@ def v03(spark, sf):
     df = projects(spark, sf, *_TEXT_COLUMNS)
     english = table(spark, sf, "documents").where("lang = 'en'").select(
         F.col("doc_id").cast("string").alias(KEY))
-    first = retrieval.source_texts(df.join(english, KEY, "left_semi"))
-    retrieval.embed_texts(first, retrieval.hashing_encoder).select(
-        KEY, "embedding", "source_text").write.parquet(path)
+    embed_incremental(df.join(english, KEY, "left_semi"), path, retrieval.hashing_encoder)
     return embed_incremental(df, path, retrieval.hashing_encoder)
 
 
@@ -101,11 +99,12 @@ def v06(spark, sf):
 
 
 @query("v06_unanswered",
-       "SELECT CAST(vec_id AS VARCHAR) AS question_id FROM embeddings "
-       "WHERE NOT EXISTS (SELECT 1 FROM embeddings WHERE vec_id IN (SELECT o_orderkey FROM orders))")
+       "SELECT CAST(vec_id AS VARCHAR) AS question_id FROM embeddings WHERE vec_id % 200 = 0")
 def v06_unanswered(spark, sf):
+    """Every second question lost its vector, as when its text could not be encoded."""
     store = retrieval.with_records(vector_store(spark, sf), projects(spark, sf, KEY))
-    questions = all_questions(spark, sf)
+    questions = all_questions(spark, sf).withColumn(
+        "embedding", F.when(F.col("question_id").cast("bigint") % 200 != 0, F.col("embedding")))
     return retrieval.unanswered(questions, retrieval.nearest(store, questions, 5))
 
 

@@ -52,10 +52,21 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def _place(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder exists in any store that Spark reaches."""
+    where, store = _place(spark, path)
+    return store.exists(where)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a file or folder in any store that Spark reaches."""
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    where, store = _place(spark, path)
+    store.delete(where, True)
 
 
 def clear_work(spark: SparkSession) -> None:

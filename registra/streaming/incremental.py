@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from registra.operators.changes import pending
 from registra.operators.retrieval import Encoder, embed_texts, source_texts
-from registra.sources.tables import KEY
+from registra.session import exists
+from registra.sources.tables import KEY, empty_vector_table, vector_schema
 
 
 def embed_incremental(
@@ -22,11 +23,14 @@ def embed_incremental(
 ) -> DataFrame:
     """Append vectors of pending records to the store and return counts before and after.
 
+    The first run creates the store.
     Only records without a vector are encoded, and each key once, so appending is an upsert. With
     nothing pending no encoder is made.
     """
     spark = projects.sparkSession
-    store = spark.read.parquet(store_path)
+    if not exists(spark, store_path):
+        empty_vector_table(spark).write.parquet(store_path)
+    store = spark.read.schema(vector_schema()).parquet(store_path)
     before = store.count()
     todo = (
         pending(source_texts(projects), store)
@@ -35,7 +39,7 @@ def embed_incremental(
     )
     vectors = embed_texts(todo, make_encoder).select(KEY, "embedding", "source_text")
     vectors.write.mode("append").parquet(store_path)
-    after = spark.read.parquet(store_path)
+    after = spark.read.schema(vector_schema()).parquet(store_path)
     return after.agg(
         F.lit(before).cast("bigint").alias("before"), F.count(F.lit(1)).alias("after")
     )

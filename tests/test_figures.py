@@ -219,7 +219,7 @@ def test_institution_graph(spark):
 
 
 def _words(text):
-    return [w.strip().lower() for w in text.split(";") if w.strip()][:10]
+    return [w.strip().lower() for w in text.split(";") if w.strip()]
 
 
 def test_record_words_equal_plain_reading(spark):
@@ -227,6 +227,13 @@ def test_record_words_equal_plain_reading(spark):
     df = spark.createDataFrame([(t,) for t in texts] + [(None,)], "keyword_list string")
     got = [r.words for r in graph.record_words(df).collect()]
     assert got == [_words(t) for t in texts]
+    got = [r.words for r in graph.record_words(df, n=10).collect()]
+    assert got == [_words(t)[:10] for t in texts]
+
+
+def test_all_words_of_a_record_pair(spark):
+    df = spark.createDataFrame([([f"w{i}" for i in range(15)],)], "words array<string>")
+    assert graph.cooccurrence_pairs(df).count() == 105
 
 
 def test_topic_graph_against_brute_force(spark):
@@ -236,7 +243,7 @@ def test_topic_graph_against_brute_force(spark):
     df = spark.createDataFrame([(t,) for t in texts], "keyword_list string")
     count, pairs = Counter(), Counter()
     for t in texts:
-        ws = _words(t)
+        ws = _words(t)[:10]
         count.update(ws)
         pairs.update(tuple(sorted(p)) for p in itertools.combinations(ws, 2))
     nodes, edges = graph.topic_graph(df, 10)

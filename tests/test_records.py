@@ -314,6 +314,24 @@ def test_inserts(spark, few):
     assert unordered.groupBy(KEY).count().where("count > 1").count() == 0
 
 
+@pytest.mark.parametrize("order", ["seq", None])
+def test_every_insert_is_added_or_a_conflict(spark, few, order):
+    rows = [("8", "a", None), ("8", "b", 2), ("8", "c", 2), (None, "d", 1), (None, "e", None), ("1", "f", None), ("9", "g", None)]
+    new = _batch(spark, rows)
+    result, conflicts = changes.apply_inserts(few, new, order)
+    added = _rows(result.where("name in ('a', 'b', 'c', 'd', 'e', 'f', 'g')").select(KEY, "name"))
+    refused = _rows(conflicts.select(KEY, "name"))
+    assert sorted(added + refused, key=repr) == sorted(((r[0], r[1]) for r in rows), key=repr)
+    assert [k for k, _ in added] == ["8", "9"] and (order is None or dict(added)["8"] in "bc")
+
+
+def test_upsert_without_order_keeps_keys_unique(spark):
+    base = spark.createDataFrame([("a", 1), ("b", 2)], "registration_number string, v int")
+    new = spark.createDataFrame([("b", 5), ("b", 6), ("c", 7), ("c", 7), (None, 1)], "registration_number string, v int")
+    got = [r[0] for r in changes.upsert(base, new).collect()]
+    assert sorted(got, key=repr) == sorted(["a", "b", "c", None], key=repr)
+
+
 def test_updates(spark, few):
     batch = _batch(spark, [("1", "a", 1), ("1", "b", 2), ("7", "none", 3)])
     result, missing = changes.apply_updates(few, batch, "seq")

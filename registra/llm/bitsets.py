@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-LEAST_BITS, MOST_BITS, BITS_PER_MEMBER = 1 << 16, 1 << 28, 16
+LEAST_BITS, MOST_BITS, BITS_PER_MEMBER = 1 << 24, 1 << 28, 16
 
 
 def bits_for(members: int) -> int:

@@ -74,9 +74,10 @@ def _probes(texts: DataFrame, block: int, flags) -> DataFrame:
 def _candidates(texts: DataFrame, block: int, flags) -> DataFrame:
     """Windows around the repeated blocks.
 
-    Rows with ``k`` are windows to be matched over the corpus. Where a task's batch itself holds a
+    Rows with ``k`` are windows to be matched over the corpus: ``k`` holds the hash of the first half,
+    ``at`` the upper bits of that of the second half and the window's place. Where a task's batch itself holds a
     window in several documents, only the smallest goes on; for the others the answer is already known, and
-    they come as ranges of words without ``k``. So a window of a third of all documents sends one
+    they come as ranges of words, from ``at`` to ``stop``, without ``k``. So a window of a third of all documents sends one
     row per batch.
     """
 
@@ -102,7 +103,7 @@ def _candidates(texts: DataFrame, block: int, flags) -> DataFrame:
             if held:
                 yield _settle(parts, ids, keys, 2 * block)
 
-    return texts.mapInArrow(run, f"{ROW}, k bigint, k2 bigint, start int, stop int")
+    return texts.mapInArrow(run, f"{ROW}, k bigint, at bigint, stop bigint")
 
 
 def _settle(parts, ids: np.ndarray, keys: np.ndarray, length: int) -> pa.RecordBatch:
@@ -123,11 +124,10 @@ def _settle(parts, ids: np.ndarray, keys: np.ndarray, length: int) -> pa.RecordB
         [pa.array(ids[row[head]]), pa.array(ids[row[on]])],
         [pa.array(keys[row[head]]), pa.array(keys[row[on]])],
         [none, pa.array(h1[on].view(np.int64))],
-        [none, pa.array(h2[on].view(np.int64))],
-        [pa.array(place[head].astype(np.int32)), pa.array(place[on].astype(np.int32))],
-        [pa.array(stop.astype(np.int32)), pa.array((place[on] + length).astype(np.int32))],
+        [pa.array(place[head]), pa.array((h2[on] >> np.uint64(32) << np.uint64(32) | place[on].astype(np.uint64)).view(np.int64))],
+        [pa.array(stop), pa.nulls(len(on), pa.int64())],
     ]
-    return pa.record_batch([pa.concat_arrays(c) for c in columns], names=["id", "tk", "k", "k2", "start", "stop"])
+    return pa.record_batch([pa.concat_arrays(c) for c in columns], names=["id", "tk", "k", "at", "stop"])
 
 
 def _ranges(row: np.ndarray, place: np.ndarray, length: int):
@@ -223,15 +223,18 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: in
         return None
     index = spark.sparkContext.broadcast(bitsets.build(shared, "h", count))
     discard(shared)
-    found = written(_candidates(texts, block, index), "windows")
+    found = _candidates(texts, block, index)
     # at most one document per batch and window gets here, so no window's group is large
+    dealt = found.where("k is not null").select("k", "at", "id", "tk").repartition("k")
+    same = Window.partitionBy("k", "half")
+    start = F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
     later = (
-        found.where("k is not null").withColumn("first", F.min("id").over(Window.partitionBy("k", "k2")))
-        .where("id > first").select("id", "tk", "start", "stop")
+        dealt.withColumn("half", F.shiftright("at", 32)).withColumn("first", F.min("id").over(same))
+        .where("id > first").select("id", "tk", start.alias("start"), (start + window).alias("stop"))
     )
-    gone = found.where("k is null").select("id", "tk", "start", "stop").union(later)
+    known = found.where("k is null").select("id", "tk", F.col("at").cast("int").alias("start"), F.col("stop").cast("int").alias("stop"))
+    gone = known.union(later)
     ranges = written(gone.groupBy("id", "tk").agg(F.collect_list(F.struct("start", "stop")).alias("ranges")), "ranges")
-    discard(found)
     return ranges
 
 

@@ -3,7 +3,7 @@
 Each document is cut into non-overlapping reference blocks of half the window length. A window that
 stands in two documents contains a whole reference block of either, so probing the block index with
 every rolling window of block length marks each such place. Around the places the repeats are
-extended to their full length: the candidate windows are matched over the corpus by 128 bits of
+extended to their full length: the candidate windows are matched over the corpus by 96 bits of
 hash, and the union of matching windows is the maximal repeat.
 
 Nothing is paired: all occurrences of a window meet through its smallest document only.
@@ -72,7 +72,7 @@ def _probes(texts: DataFrame, block: int, flags) -> DataFrame:
 
 
 def _candidates(texts: DataFrame, block: int, flags) -> DataFrame:
-    """Windows around the repeated blocks.
+    """Windows of two blocks all of whose reference blocks are repeated.
 
     Rows with ``k`` are windows to be matched over the corpus: ``k`` holds the hash of the first half,
     ``at`` the upper bits of that of the second half and the window's place. Where a task's batch itself holds a
@@ -91,10 +91,13 @@ def _candidates(texts: DataFrame, block: int, flags) -> DataFrame:
                     continue
                 row = _row_of(before, at)
                 place = at - before[row]
-                # windows of two blocks that start at most one block before a place
-                near = np.concatenate([[0], np.cumsum(bitsets.hit(flags.value, hashes))])
+                shared = np.zeros(len(at), bool)
+                whole = np.flatnonzero(place % block == 0)
+                shared[whole] = bitsets.hit(flags.value, hashes[whole])
+                # a repeated window holds one or two reference blocks of its own document, each of them shared
                 index = np.flatnonzero(np.diff(before)[row] - place >= 2 * block)
-                index = index[near[index + block + 1] > near[index]]
+                ahead = -place[index] % block
+                index = index[shared[index + ahead] & shared[index + np.where(ahead == 0, block, ahead)]]
                 parts.append((first + row[index], place[index], hashes[index], hashes[index + block]))
                 held += len(index)
                 if held >= HELD_WINDOWS:

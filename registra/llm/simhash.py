@@ -30,6 +30,8 @@ SEED = 42
 BLOCK_ROWS = 4096
 #: Rows of one key up to which all pairs are tried; larger groups are searched link by link.
 SMALL_GROUP = 256
+#: Comparisons that cost as much as filing a fingerprint under one value, which has to be shuffled and sorted.
+FILING = 20
 
 
 def fingerprints(column: pa.Array, shingle: int) -> np.ndarray:
@@ -80,8 +82,8 @@ def segments(count: int, distance: int) -> list[tuple[int, int, int]]:
 
     With radii that sum to ``distance - segments + 1``, two fingerprints within ``distance`` lie within
     the radius in some segment. More, shorter segments file each fingerprint under fewer values but
-    bring more strangers together; the number is chosen for the least sum of both at ``count``
-    fingerprints. Any choice gives the same links.
+    bring more strangers together; the number is chosen for the least weighted sum of both at
+    ``count`` fingerprints. Any choice gives the same links.
     """
     best = None
     for n in range(1, distance + 2):
@@ -91,7 +93,7 @@ def segments(count: int, distance: int) -> list[tuple[int, int, int]]:
         filed = [sum(_choose(w, r) for r in range(radius + 1)) for w, radius in zip(widths, radii)]
         if sum(filed) > 5000:
             continue
-        cost = count * sum(filed) + count * count / 2 * sum(f / 2.0**w for f, w in zip(filed, widths))
+        cost = FILING * count * sum(filed) + count * count / 2 * sum(f / 2.0**w for f, w in zip(filed, widths))
         if best is None or cost < best[0]:
             shifts = np.cumsum([0, *widths[:-1]])
             best = cost, [(int(s), w, r) for s, w, r in zip(shifts, widths, radii)]

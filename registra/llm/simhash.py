@@ -32,6 +32,8 @@ BLOCK_ROWS = 4096
 SMALL_GROUP = 256
 #: Comparisons that cost as much as filing a fingerprint under one value, which has to be shuffled and sorted.
 FILING = 20
+#: A fingerprint that more than one in so many rows has is joined by broadcast; there can be no more than this many.
+MOST_HOT = 10_000
 
 
 def fingerprints(column: pa.Array, shingle: int) -> np.ndarray:
@@ -248,16 +250,23 @@ def _near_duplicates(docs: DataFrame, key: str, text: str, shingle: int, distanc
     prints = written(
         docs.select(F.col(key).alias("id"), F.xxhash64(text).alias("tk"), fingerprint(text, shingle).alias("fp")), "fingerprints"
     )
-    nodes = written(prints.groupBy("fp").agg(F.min("id").alias("first")), "fingerprint-nodes")
-    roots = written(components(links(nodes, distance, segments(nodes.count(), distance))), "roots")
+    nodes = written(prints.groupBy("fp").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")), "fingerprint-nodes")
+    total = nodes.agg(F.count(F.lit(1)).alias("nodes"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
+    roots = written(components(links(nodes, distance, segments(total["nodes"], distance))), "roots")
     linked = roots.join(nodes, roots["node"] == nodes["fp"]).select("fp", "root", "first")
     least = linked.groupBy("root").agg(F.min("first").alias("least"))
     linked = linked.join(least, "root").select("fp", "root", "least")
-    classes = nodes.join(linked, "fp", "left").select(
-        "fp", F.coalesce("root", "fp").alias("root"), F.coalesce("least", "first").alias("component_id")
+    classes = written(
+        nodes.join(linked, "fp", "left").select(
+            "fp", F.coalesce("root", "fp").alias("root"), F.coalesce("least", "first").alias("component_id"),
+            (F.col("n") * MOST_HOT > total["rows"]).alias("hot"),
+        ),
+        "fingerprint-classes",
     )
-    found = prints.join(classes, "fp").select(F.col("id").alias(key), "tk", "fp", "root", "component_id")
-    return found, [prints, nodes, roots]
+    hot = F.broadcast(classes.where("hot"))  # fewer than MOST_HOT
+    rare = prints.join(hot, "fp", "left_anti").join(classes.where("not hot"), "fp")
+    found = prints.join(hot, "fp").unionByName(rare)
+    return found.select(F.col("id").alias(key), "tk", "fp", "root", "component_id"), [prints, nodes, roots, classes]
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 4, distance: int = 4) -> DataFrame:
@@ -274,13 +283,12 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", shingl
         "classes",
     )
     discard(*tables)
-    head = rows.where("id = component_id").groupBy(F.col("root").alias("r")).agg(F.min("tk").alias("head"))
-    odd = (
-        rows.where("component_id is not null").join(head, F.col("root") == F.col("r"))
-        .withColumn("stays", F.coalesce((F.col("id") == F.col("component_id")) & (F.col("tk") == F.col("head")), F.lit(False)))
-        .where("not stays or n > 1").select("id", "tk", "stays")
-    )
-    odd = written(odd, "going")
+    first = rows.where("id = component_id")
+    head = first.groupBy(F.col("root").alias("r")).agg(F.min("tk").alias("head"))
+    first = first.join(head, F.col("root") == F.col("r")).select("id", "tk", (F.col("tk") == F.col("head")).alias("stays"), "n")
+    others = rows.where("component_id is not null and (id is null or id <> component_id)")
+    odd = first.union(others.select("id", "tk", F.lit(False), "n"))
+    odd = written(odd.where("not stays or n > 1").select("id", "tk", "stays"), "going")
     discard(rows)
     sure, maybe = bitsets.split(docs, odd, key, text)
     known = bitsets.match(maybe, odd.withColumnRenamed("stays", "__stays"), key, "left")

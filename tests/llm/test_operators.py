@@ -396,7 +396,9 @@ def _near_table():
     return rows
 
 
-def test_fingerprints_and_classes_equal_brute_force(spark):
+@pytest.mark.parametrize("most_hot", [1, 40, 10_000])
+def test_fingerprints_and_classes_equal_brute_force(spark, most_hot, monkeypatch):
+    monkeypatch.setattr(simhash, "MOST_HOT", most_hot)
     rows = _near_table()
     prints = [_print(t) for _, t in rows]
     linked = _union((a, b) for a, b in itertools.combinations_with_replacement(set(prints), 2) if (a ^ b).bit_count() <= 4)

@@ -14,7 +14,7 @@ empty, for instance) gets the share of toxic texts as its score. Equal texts get
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterable
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -34,7 +34,7 @@ LEVEL = 6
 REPEAT = 3
 #: Least log-likelihood ratio of a word that marks toxic text, counted in different neighbourhoods.
 MARK = 18.0
-CACHED_WINDOWS = 50_000
+CACHED_WINDOWS = 1 << 20
 THRESHOLD = 0.3
 
 Bin = tuple[int, int, int]
@@ -49,7 +49,10 @@ class Model(NamedTuple):
 
 
 class _Lengths:
-    """Compressed lengths of windows, kept for as many windows as ``CACHED_WINDOWS``."""
+    """Compressed lengths of windows, kept by the hash of their word for as many as ``CACHED_WINDOWS``.
+
+    What is kept changes the speed only. A word has the number of its bin, which ``bins`` lists.
+    """
 
     def __init__(self, toxic: bytes, ordinary: bytes):
         self.pair = [
@@ -59,53 +62,66 @@ class _Lengths:
             )
             for content in (toxic, ordinary)
         ]
-        self.known: dict[bytes, Bin] = {}
-
-    def bin(self, word: bytes) -> Bin:
-        found = self.known.get(word)
-        if found is None:
-            window = b" " + (word + b" ") * REPEAT
-            toxic, ordinary = (len(c.compress(window)) for c in self.pair)
-            found = min(len(word), 24), max(-4, min(12, ordinary - toxic)), min(toxic, 40)
-            if len(self.known) >= CACHED_WINDOWS:
-                self.known.clear()
-            self.known[word] = found
-        return found
-
-
-def _bins(column: pa.Array, lengths: _Lengths) -> list[Counter]:
-    """For each text, how many of its windows fall into each bin. A word is compressed once per slice."""
-    out: list[Counter] = []
+        self.bins: dict[Bin, int] = {}
+        self.hashes, self.numbers = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+
+    def _measure(self, word: bytes) -> int:
+        window = b" " + (word + b" ") * REPEAT
+        toxic, ordinary = [len(c.compress(window)) for c in self.pair]
+        found = min(len(word), 24), max(-4, min(12, ordinary - toxic)), min(toxic, 40)
+        return self.bins.setdefault(found, len(self.bins))
+
+    def numbers_of(self, hashes: np.ndarray, blob: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The bin numbers of different words, which come with their hashes in order and their places in ``blob``."""
+        at = np.searchsorted(self.hashes, hashes)
+        known = at < len(self.hashes)
+        known[known] = self.hashes[at[known]] == hashes[known]
+        numbers = np.zeros(len(hashes), np.int32)
+        numbers[known] = self.numbers[at[known]]
+        new = np.flatnonzero(~known)
+        numbers[new] = [self._measure(blob[a:b]) for a, b in zip(starts[new].tolist(), ends[new].tolist())]
+        if len(self.hashes) + len(new) > CACHED_WINDOWS:
+            self.hashes, self.numbers = hashes[:CACHED_WINDOWS], numbers[:CACHED_WINDOWS]
+        elif len(new):
+            self.hashes = np.insert(self.hashes, at[new], hashes[new])
+            self.numbers = np.insert(self.numbers, at[new], numbers[new])
+        return numbers
+
+
+def _windows(column: pa.Array, lengths: _Lengths) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each slice: windows before each row and in all, and the bin number of each window."""
     for _, _, data, offsets in slices(column, prepare=pc.utf8_lower):
         starts, ends, before = spans(data, offsets, NOT_ALNUM)
-        hashes = word_hashes(data, starts, ends)
-        _, where, which = np.unique(hashes, return_index=True, return_inverse=True)
-        blob = data.tobytes()
-        bins = [lengths.bin(blob[a:b]) for a, b in zip(starts[where].tolist(), ends[where].tolist())]
-        names = list(dict.fromkeys(bins))
-        number = {b: i for i, b in enumerate(names)}
-        of_word = np.array([number[b] for b in bins], np.int64)[which] if bins else np.zeros(0, np.int64)
-        row = np.repeat(np.arange(len(offsets) - 1), np.diff(before))
-        cells, counts = np.unique(row * max(len(names), 1) + of_word, return_counts=True)
-        rows = [Counter() for _ in range(len(offsets) - 1)]
-        for cell, n in zip(cells.tolist(), counts.tolist()):
-            rows[cell // len(names)][names[cell % len(names)]] = n
-        out += rows
-    return out
-
-
-def _features(bins: Iterable[Counter], odds: dict[Bin, float]) -> np.ndarray:
-    rows = []
-    for counted in bins:
-        values = [(odds.get(b, 0.0), n) for b, n in counted.items()]
-        rows.append((
-            max((v for v, _ in values), default=0.0),
-            np.log1p(sum(n for v, n in values if v > 2)),
-            np.log1p(sum(n for v, n in values if v > 1)),
-            np.log1p(sum(n for _, n in values)),
-            1.0,
-        ))
-    return np.array(rows).reshape(-1, 5)
+        hashes, where, which = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        yield before, lengths.numbers_of(hashes, data.tobytes(), starts[where], ends[where])[which]
+
+
+def _seen(column: pa.Array, lengths: _Lengths) -> Counter:
+    """How many windows fall into each bin."""
+    total = np.zeros(0, np.int64)
+    for _, numbers in _windows(column, lengths):
+        counts = np.bincount(numbers, minlength=len(lengths.bins))
+        counts[: len(total)] += total
+        total = counts
+    return Counter({b: int(n) for b, n in zip(lengths.bins, total.tolist()) if n})
+
+
+def _features(column: pa.Array, lengths: _Lengths, odds: dict[Bin, float]) -> np.ndarray:
+    """For each text the strongest window, the logs of its numbers of strong, marked and all windows, and one."""
+    parts = [np.zeros((0, 5))]
+    for before, numbers in _windows(column, lengths):
+        count = np.diff(before)
+        some = np.flatnonzero(count)
+        x = np.zeros((len(count), 5))
+        if len(some):
+            values, at = np.array([odds.get(b, 0.0) for b in lengths.bins])[numbers], before[some]
+            x[some, 0] = np.maximum.reduceat(values, at)
+            for place, limit in ((1, 2), (2, 1)):
+                x[some, place] = np.log1p(np.add.reduceat(values > limit, at, dtype=np.int64))
+        x[:, 3] = np.log1p(count)
+        x[:, 4] = 1.0
+        parts.append(x)
+    return np.concatenate(parts)
 
 
 def _logistic(x: np.ndarray) -> np.ndarray:
@@ -168,17 +184,15 @@ def train(texts: list[str], toxic: list[int], share: float | None = None) -> Mod
     bad = b"".join(b" " + w for w in marks)[-DICTIONARY_BYTES:] + b" " + pad
     plain = "\n".join((t or "")[: DICTIONARY_BYTES // 16] for t in kinds[1].to_pylist()[:32]).lower().encode()
     good = b" " + plain[:DICTIONARY_BYTES] + pad
-    bins = _bins(column, _Lengths(bad, good))
-    seen = [Counter(), Counter()]
-    for counted, k in zip(bins, label.tolist()):
-        seen[k].update(counted)
+    lengths = _Lengths(bad, good)
+    seen = [_seen(kinds[1], lengths), _seen(kinds[0], lengths)]
     n_o, n_t = sum(seen[0].values()), sum(seen[1].values())
     odds: dict[Bin, float] = {}
     if n_o and n_t:
         prior = n_t / (n_t + n_o)
         for b in seen[0] | seen[1]:
             odds[b] = float(np.log((seen[1][b] + 0.2 * prior) / n_t) - np.log((seen[0][b] + 0.2 * (1 - prior)) / n_o))
-    x, w = _features(bins, odds), np.zeros(5)
+    x, w = _features(column, lengths, odds), np.zeros(5)
     if len(label):
         for _ in range(50):
             p = _logistic(x @ w)
@@ -231,9 +245,9 @@ def score(model, text: str) -> Column:
         if known is None:
             _MODELS.clear()
             known = _MODELS[m.weights] = _Lengths(m.toxic, m.ordinary)
-        bins = _bins(column, known)
-        scores = _logistic(_features(bins, m.odds) @ np.array(m.weights))
-        scores[[not b for b in bins]] = m.share
+        x = _features(column, known, m.odds)
+        scores = _logistic(x @ np.array(m.weights))
+        scores[x[:, 3] == 0] = m.share  # no window
         return pa.array(scores, pa.float64())
 
     return run.asNondeterministic()(F.col(text))  # else a filter on the score would work it out twice

@@ -75,17 +75,17 @@ def _candidates(texts: DataFrame, block: int, flags) -> DataFrame:
     """Windows of two blocks all of whose reference blocks are repeated.
 
     Rows with ``k`` are windows to be matched over the corpus: ``k`` holds the hash of the first half,
-    ``at`` the upper bits of that of the second half and the window's place. Where a task's batch itself holds a
+    ``at`` the upper bits of that of the second half and the window's place. Where the windows a task holds have a
     window in several documents, only the smallest goes on; for the others the answer is already known, and
     they come as ranges of words, from ``at`` to ``stop``, without ``k``. So a window of a third of all documents sends one
-    row per batch.
+    row per ``HELD_WINDOWS`` candidates.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held, rows = [], 0, 0
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             keys = batch.column(1).to_numpy(zero_copy_only=False)
-            parts, held = [], 0
             for first, before, at, hashes in _hashed(batch.column(2), block):
                 if not len(at):
                     continue
@@ -98,24 +98,26 @@ def _candidates(texts: DataFrame, block: int, flags) -> DataFrame:
                 index = np.flatnonzero(np.diff(before)[row] - place >= 2 * block)
                 ahead = -place[index] % block
                 index = index[shared[index + ahead] & shared[index + np.where(ahead == 0, block, ahead)]]
-                parts.append((first + row[index], place[index], hashes[index], hashes[index + block]))
+                of = first + row[index]
+                parts.append((rows + of, ids[of], keys[of], place[index], hashes[index], hashes[index + block]))
                 held += len(index)
                 if held >= HELD_WINDOWS:
-                    yield _settle(parts, ids, keys, 2 * block)
+                    yield _settle(parts, 2 * block)
                     parts, held = [], 0
-            if held:
-                yield _settle(parts, ids, keys, 2 * block)
+            rows += batch.num_rows
+        if held:
+            yield _settle(parts, 2 * block)
 
     return texts.mapInArrow(run, f"{ROW}, k bigint, at bigint, stop bigint")
 
 
-def _settle(parts, ids: np.ndarray, keys: np.ndarray, length: int) -> pa.RecordBatch:
-    row, place, h1, h2 = (np.concatenate(x) for x in zip(*parts))
-    order = np.lexsort((ids[row], h2, h1))
-    row, place, h1, h2 = row[order], place[order], h1[order], h2[order]
+def _settle(parts, length: int) -> pa.RecordBatch:
+    columns = [np.concatenate(x) for x in zip(*parts)]
+    order = np.lexsort((columns[1], columns[5], columns[4]))
+    row, ids, keys, place, h1, h2 = (c[order] for c in columns)
     new = np.ones(len(row), bool)
     new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
-    later = np.flatnonzero(ids[row] > ids[row[new]][np.cumsum(new) - 1])
+    later = np.flatnonzero(ids > ids[new][np.cumsum(new) - 1])
     on = np.ones(len(row), bool)
     on[later] = False
     on = np.flatnonzero(on)
@@ -124,8 +126,8 @@ def _settle(parts, ids: np.ndarray, keys: np.ndarray, length: int) -> pa.RecordB
     head = later[head]
     none = pa.nulls(len(head), pa.int64())
     columns = [
-        [pa.array(ids[row[head]]), pa.array(ids[row[on]])],
-        [pa.array(keys[row[head]]), pa.array(keys[row[on]])],
+        [pa.array(ids[head]), pa.array(ids[on])],
+        [pa.array(keys[head]), pa.array(keys[on])],
         [none, pa.array(h1[on].view(np.int64))],
         [pa.array(place[head]), pa.array((h2[on] >> np.uint64(32) << np.uint64(32) | place[on].astype(np.uint64)).view(np.int64))],
         [pa.array(stop), pa.nulls(len(on), pa.int64())],
@@ -227,7 +229,7 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: in
     index = spark.sparkContext.broadcast(bitsets.build(shared, "h", count))
     discard(shared)
     found = _candidates(texts, block, index)
-    # at most one document per batch and window gets here, so no window's group is large
+    # of the windows a task holds at a time only those of one document get here, so no window's group is large
     dealt = found.where("k is not null").select("k", "at", "id", "tk").repartition("k")
     same = Window.partitionBy("k", "half")
     start = F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import SparkSession
 
 SLICE_BYTES = 1 << 19
 #: Bytes that separate words: space and 0x09 to 0x0D.
@@ -19,11 +20,22 @@ BLANK = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 NOT_ALNUM = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 
+#: Bytes of the Arrow batches that tasks exchange with Python, where the session leaves Spark's default of 64 MB.
+#: A task holds several of them at a time, in Python and outside the heap.
+BATCH_BYTES = 8 << 20
+_BATCH_SETTING, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
 _STEP = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 _BACK = pow(_STEP, -1, 1 << 64)
 _BYTES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of this session. Changes memory only, never a result."""
+    if spark.conf.get(_BATCH_SETTING, None) == _BATCH_DEFAULT:
+        spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+
+
 def _offsets(column: pa.Array) -> np.ndarray:
     kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
     if column.buffers()[1] is None:

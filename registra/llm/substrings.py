@@ -27,7 +27,7 @@ from registra.sources.tables import discard, written
 
 ROW = "id bigint, tk bigint"
 #: Candidate windows that a task settles among themselves before it sends them on.
-HELD_WINDOWS = 1 << 18
+HELD_WINDOWS = 1 << 16
 
 
 def _hashed(column: pa.Array, block: int):

@@ -1,6 +1,6 @@
 """Words of Arrow text columns as flat numpy arrays: spans, hashes, rolling windows.
 
-All functions work on slices of half a megabyte, so a task's memory does not grow with the batch;
+All functions work on slices of a quarter of a megabyte, so a task's memory does not grow with the batch;
 a text longer than a slice is a slice of its own.
 """
 
@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import SparkSession
 
-SLICE_BYTES = 1 << 19
+SLICE_BYTES = 1 << 18
 #: Bytes that separate words: space and 0x09 to 0x0D.
 BLANK = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 #: Bytes that separate tokens: ASCII other than letters and digits.
@@ -69,6 +69,7 @@ def slices(column, limit: int = SLICE_BYTES, prepare=None) -> Iterator[tuple[int
         part = column.slice(first, last - first)
         yield first, last, *utf8(prepare(part) if prepare else part)
         first = last
+    pa.default_memory_pool().release_unused()  # workers are used again and would keep their peak
 
 
 def spans(data: np.ndarray, offsets: np.ndarray, blank: np.ndarray = BLANK):

@@ -16,7 +16,8 @@ from registra.functions.numeric import round_dec
 from registra.functions.text import is_blank, prefix
 from registra.functions.vectors import unit
 from registra.operators.paging import top_k_per_group
-from registra.sources.tables import KEY, written
+from registra.session import remove, shared_dir
+from registra.sources.tables import KEY, discard, written
 
 # ---- fixed values -------------------------------------------------------------------------
 TEXT_CUT = 2_000
@@ -26,7 +27,7 @@ LISTS = 100
 SOURCES = 5
 # ---- end of fixed values ------------------------------------------------------------------
 
-# Questions of one search: their vectors travel with every task.
+# Questions of one scan of the records: their vectors travel with every task.
 MAX_SENT_QUESTIONS = 2_000
 # Files that the rows of one cell are written to.
 FILES_PER_CELL = 4
@@ -122,17 +123,54 @@ def _arrow_matrix(column: pa.ListArray, dim: int) -> np.ndarray:
     return _unit_rows(flat.reshape(len(column), dim))
 
 
-def _asked(questions: DataFrame) -> pd.DataFrame:
-    """The questions that have a vector, checked: a bounded number, each id once."""
-    asked = questions.where(F.col("embedding").isNotNull()).select(F.col("question_id").cast("string"), "embedding")
-    sent = asked.limit(MAX_SENT_QUESTIONS + 1).toPandas()
+def _with_vector(questions: DataFrame) -> DataFrame:
+    return questions.where(F.col("embedding").isNotNull()).select(F.col("question_id").cast("string"), "embedding")
+
+
+def _sent(questions: DataFrame) -> pd.DataFrame | None:
+    """The questions that have a vector, each id once. None: more than one scan takes."""
+    sent = _with_vector(questions).limit(MAX_SENT_QUESTIONS + 1).toPandas()
     if len(sent) > MAX_SENT_QUESTIONS:
-        raise ValueError(f"a search takes at most {MAX_SENT_QUESTIONS} questions; ask in parts")
+        return None
     if sent["question_id"].isna().any() or not sent["question_id"].is_unique:
         raise ValueError("every question needs an id of its own")
     return sent
 
 
+def _in_blocks(questions: DataFrame, search: Callable[[pd.DataFrame], DataFrame]) -> DataFrame:
+    """What ``search`` finds for any number of questions, asked in blocks of ``MAX_SENT_QUESTIONS``.
+
+    The questions are written with their partition and place in it. The sizes of the partitions before
+    make that a number without gaps, which cuts the blocks whatever the ids are.
+    """
+    spark = questions.sparkSession
+    at = F.monotonically_increasing_id()
+    placed = written(
+        _with_vector(questions).withColumns(
+            {"part": F.shiftright(at, 33), "place": at.bitwiseAND(F.lit((1 << 33) - 1))}),
+        "placed-questions",
+    )
+    again = placed.groupBy("question_id").count().where("question_id IS NULL OR count > 1")
+    if not again.isEmpty():
+        raise ValueError("every question needs an id of its own")
+    sizes = placed.groupBy("part").count().orderBy("part").collect()  # as many as partitions
+    ends = np.cumsum([r["count"] for r in sizes]).tolist()
+    starts = spark.createDataFrame(
+        [(r["part"], end - r["count"]) for r, end in zip(sizes, ends)], "part bigint, before bigint")
+    block = F.floor((F.col("before") + F.col("place")) / MAX_SENT_QUESTIONS).cast("bigint").alias("block")
+    numbered = placed.join(F.broadcast(starts), "part").select("question_id", "embedding", block)
+    asked, found = shared_dir(spark, "question-blocks"), shared_dir(spark, "block-hits")
+    numbered.write.partitionBy("block").parquet(asked)
+    discard(placed)
+    schema = None
+    for i in range(-(-ends[-1] // MAX_SENT_QUESTIONS)):
+        hits = search(spark.read.parquet(f"{asked}/block={i}").toPandas())
+        schema = hits.schema
+        hits.write.mode("append").parquet(found)
+    remove(spark, asked)
+    return spark.read.schema(schema).parquet(found)
+
+
 def _best(q: np.ndarray, keys: np.ndarray, score: np.ndarray, k: int):
     """First ``k`` per question by score, then key. A missing score comes last."""
     order = np.lexsort((keys, -score, q))
@@ -192,21 +230,17 @@ def _first_hits(hits: DataFrame, k: int, key: str) -> DataFrame:
     return top_k_per_group(hits, ["question_id"], [F.desc_nulls_last("score"), F.asc(key)], k)
 
 
-def nearest(store: DataFrame, questions: DataFrame, k: int = 10, key: str = KEY) -> DataFrame:
-    """Exact nearest records: ``question_id, key, score, rank``.
-
-    ``questions`` holds ``question_id`` and ``embedding``, at most ``MAX_SENT_QUESTIONS`` rows; one
-    without a vector finds nothing. Every task multiplies its batches with the question matrix and
-    keeps the best ``k`` per question, so only those reach the shuffle. All vectors must have the
-    length of the questions'.
-    """
-    schema = _HITS.format(key=key)
-    records = store.where(F.col("embedding").isNotNull()).select(
+def _records(store: DataFrame, key: str) -> DataFrame:
+    return store.where(F.col("embedding").isNotNull()).select(
         F.col(key).cast("string").alias(key), "embedding"
     )
-    sent = _asked(questions)
+
+
+def _scan(records: DataFrame, sent: pd.DataFrame, k: int, key: str) -> DataFrame:
+    """One pass over the records for the questions in ``sent``."""
+    schema = _HITS.format(key=key)
     if sent.empty:
-        return store.sparkSession.createDataFrame([], schema + ", rank int")
+        return records.sparkSession.createDataFrame([], schema + ", rank int")
     ids, matrix = sent["question_id"].to_numpy(dtype=object), _matrix(sent["embedding"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,6 +253,35 @@ def nearest(store: DataFrame, questions: DataFrame, k: int = 10, key: str = KEY)
     return _first_hits(records.mapInArrow(scan, schema), k, key)
 
 
+def nearest(store: DataFrame, questions: DataFrame, k: int = 10, key: str = KEY) -> DataFrame:
+    """Exact nearest records: ``question_id, key, score, rank``.
+
+    ``questions`` holds ``question_id`` and ``embedding``, at most ``MAX_SENT_QUESTIONS`` rows (any
+    number: :func:`nearest_to_all`); one without a vector finds nothing. Every task multiplies its
+    batches with the question matrix and keeps the best ``k`` per question, so only those reach the
+    shuffle. All vectors must have the length of the questions'.
+    """
+    sent = _sent(questions)
+    if sent is None:
+        raise ValueError(f"one scan takes at most {MAX_SENT_QUESTIONS} questions; see nearest_to_all")
+    return _scan(_records(store, key), sent, k, key)
+
+
+def nearest_to_all(store: DataFrame, questions: DataFrame, k: int = 10, key: str = KEY) -> DataFrame:
+    """The result of :func:`nearest` for any number of questions.
+
+    More than ``MAX_SENT_QUESTIONS`` are answered at once, block by block: the keys and vectors of the
+    store are written, each block scans them, and its hits are added to a table.
+    """
+    sent = _sent(questions)
+    if sent is not None:
+        return _scan(_records(store, key), sent, k, key)
+    records = written(_records(store, key), "records")
+    hits = _in_blocks(questions, lambda block: _scan(records, block, k, key))
+    discard(records)
+    return hits
+
+
 def with_records(store: DataFrame, projects: DataFrame) -> DataFrame:
     """Store rows whose project exists. Rows without a key have none."""
     return store.where(F.col(KEY).isNotNull()).join(projects.select(KEY), KEY, "left_semi")
@@ -246,7 +309,7 @@ def semantic_search(
     """
     if not 1 <= k <= 50:
         raise ValueError("k must be 1 to 50")
-    hits = written(nearest(with_records(store, projects), questions, k), "hits")
+    hits = written(nearest_to_all(with_records(store, projects), questions, k), "hits")
     names = {"executor_name": "institution"}
     attributes = projects.select(
         KEY, *[F.col(c).alias(names.get(c, c)) for c in columns]
@@ -314,9 +377,16 @@ def ivf_search(index: IvfIndex, questions: DataFrame, k: int = 10, probes: int =
                key: str = KEY) -> DataFrame:
     """Nearest records within the ``probes`` cells closest to each question.
 
-    With as many probes as cells the result equals :func:`nearest`.
+    With as many probes as cells the result equals :func:`nearest_to_all`. Questions come in any
+    number; more than ``MAX_SENT_QUESTIONS`` are answered at once, block by block.
     """
-    sent = _asked(questions)
+    sent = _sent(questions)
+    if sent is None:
+        return _in_blocks(questions, lambda block: _probe(index, block, k, probes, key))
+    return _probe(index, sent, k, probes, key)
+
+
+def _probe(index: IvfIndex, sent: pd.DataFrame, k: int, probes: int, key: str) -> DataFrame:
     schema = _HITS.format(key=key)
     if sent.empty:
         return index.records.sparkSession.createDataFrame([], schema + ", rank int")

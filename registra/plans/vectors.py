@@ -105,7 +105,7 @@ def v06_unanswered(spark, sf):
     store = retrieval.with_records(vector_store(spark, sf), projects(spark, sf, KEY))
     questions = all_questions(spark, sf).withColumn(
         "embedding", F.when(F.col("question_id").cast("bigint") % 200 != 0, F.col("embedding")))
-    return retrieval.unanswered(questions, retrieval.nearest(store, questions, 5))
+    return retrieval.unanswered(questions, retrieval.nearest_to_all(store, questions, 5))
 
 
 _CONTEXT_SQL = f"""{STORE_SQL}, {LABEL_QUESTIONS_SQL}, {hits_sql(5)}, contexts AS (

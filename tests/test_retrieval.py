@@ -61,6 +61,25 @@ def test_question_tables_are_checked(spark, vectors, monkeypatch):
         retrieval.nearest(store, questions, 5)
 
 
+def test_any_number_of_questions(spark, vectors, tmp_path, monkeypatch):
+    store, questions, data = vectors
+    live = store.where(f"{KEY} != 'k007'")
+    index = retrieval.build_ivf(live, lists=6).save(str(tmp_path / "ivf"))
+    projects = store.select(
+        KEY, F.lit("n").alias("name"), F.lit(2020).alias("year"), F.lit("o").alias("executor_name"))
+    exact = _hits(retrieval.nearest(live, questions, 5))
+    monkeypatch.setattr(retrieval, "MAX_SENT_QUESTIONS", 13)
+    assert _hits(retrieval.nearest_to_all(store, questions, 5)) == _brute(data, 5)
+    assert _hits(retrieval.retrieve_context(store, projects, questions)) == _brute(data, 5)
+    assert _hits(retrieval.ivf_search(index, questions, 5, probes=6)) == exact
+    lost = questions.withColumn("embedding", F.when(F.col("question_id") != "k003", F.col("embedding")))
+    hits = retrieval.nearest_to_all(store, lost, 5)
+    assert [r.question_id for r in retrieval.unanswered(lost, hits).collect()] == ["k003"]
+    for odd in (questions.limit(1), questions.limit(1).withColumn("question_id", F.lit(None).cast("string"))):
+        with pytest.raises(ValueError, match="id of its own"):
+            retrieval.nearest_to_all(store, questions.union(odd), 5)
+
+
 def test_ivf_with_all_probes_is_exact(spark, vectors, tmp_path, capsys):
     store, questions, data = vectors
     live = store.where(f"{KEY} != 'k007'")

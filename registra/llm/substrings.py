@@ -2,9 +2,9 @@
 
 Each document is cut into non-overlapping reference blocks of half the window length. A window that
 stands in two documents contains a whole reference block of either, so probing the block index with
-every rolling window of block length marks each such place. Around the places the repeats are
-extended to their full length: the candidate windows are matched over the corpus by 96 bits of
-hash, and the union of matching windows is the maximal repeat.
+every rolling window of block length tells which blocks are shared. Places of hits are not extended
+word by word: all windows of shared blocks are matched over the corpus by 96 bits of hash, without
+comparing words, and the union of matching windows is the maximal repeat.
 
 Nothing is paired: all occurrences of a window meet through its smallest document only.
 """

@@ -20,7 +20,7 @@ from registra.llm.words import slices
 
 LENGTH = 64
 HIDDEN = 8
-#: Labelled texts that windows are drawn from, and windows drawn from each.
+#: Labelled texts of each language that windows are drawn from, and windows drawn from each.
 SAMPLE_TEXTS = 4000
 WINDOWS_PER_TEXT = 16
 STEPS, BATCH, RATE = 200, 192, 0.02
@@ -202,13 +202,22 @@ def probabilities(w: Weights, column: pa.Array) -> np.ndarray:
 
 
 def training_windows(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", lang: str = "lang"):
-    """Windows and languages of at most ``SAMPLE_TEXTS`` texts, those with the least hash of their key.
+    """Windows and languages of at most ``SAMPLE_TEXTS`` texts of each language, those with the least hash of their key.
 
+    So a language is learned however small its share; of a key with several languages the first counts.
     ``learn`` is a condition on ``__id``. ``WINDOWS_PER_TEXT`` windows are drawn from each text.
     """
     known = docs.select(F.col(key).alias("__id"), F.col(lang).alias("__lang")).where(learn).where("__id is not null and __lang is not null")
-    # bounded by SAMPLE_TEXTS
-    chosen = F.broadcast(known.orderBy(F.xxhash64("__id"), "__id", "__lang").limit(SAMPLE_TEXTS).dropDuplicates(["__id"]))
+    known = known.groupBy("__id").agg(F.min("__lang").alias("__lang")).withColumn("__h", F.xxhash64("__id"))
+    sizes = F.broadcast(known.groupBy("__lang").agg(F.count(F.lit(1)).alias("__n")))
+    # the least hashes of each language, about twice as many as are taken: bounded by SAMPLE_TEXTS and the languages
+    place = (F.col("__h") / 2.0**64 + 0.5) * F.col("__n")
+    least = known.join(sizes, "__lang").where(place < 2 * SAMPLE_TEXTS + 200).select("__lang", "__h", "__id").toArrow()
+    least = least.sort_by([(name, "ascending") for name in least.column_names])
+    names = least["__lang"].to_pylist()
+    first = {name: i for i, name in reversed(list(enumerate(names)))}
+    least = least.filter(pa.array([i - first[name] < SAMPLE_TEXTS for i, name in enumerate(names)], pa.bool_()))
+    chosen = F.broadcast(docs.sparkSession.createDataFrame(least.select(["__id", "__lang"])))
     texts = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text")).join(chosen, F.col("__key") == F.col("__id"))
 
     @F.arrow_udf("binary")

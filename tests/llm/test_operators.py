@@ -327,6 +327,15 @@ def test_language_held_out(spark):
     assert got[1003, rows[-1][1]]["pred"] == rows[2][2]
 
 
+def test_small_languages_are_learned(spark, monkeypatch):
+    monkeypatch.setattr(language, "SAMPLE_TEXTS", 20)
+    rows = [(i, "abc", "xx") for i in range(2000)] + [(i, "éçü", "rr") for i in range(5000, 5010)] + [(7, "abc", "xx")] * 30
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    _, label, names = language.training_windows(df.where("doc_id <> 7"), F.lit(True))
+    assert names == ["rr", "xx"] and np.bincount(label).tolist() == [10, 20]
+    assert language.training_windows(df, F.lit(True))[2] == ["rr", "xx"]
+
+
 @pytest.mark.parametrize("rows", [[], [(1, "abc", None)], [(1, "abc", "xx"), (2, None, "xx")]])
 def test_language_little_to_learn(spark, rows):
     df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")

@@ -273,7 +273,7 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", shingl
     """``docs`` with one row of each class of near duplicates: that of the smallest key.
 
     Of several rows with that key the one whose text has the least hash stays, and of equal rows
-    one. Rows of a class without any key all stay. Only rows that may go are shuffled.
+    one; so it is for all rows of a class without any key. Only rows that may go are shuffled.
     """
     found, tables = _near_duplicates(docs.select(key, text), key, text, shingle, distance)
     rows = written(
@@ -283,10 +283,10 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", shingl
         "classes",
     )
     discard(*tables)
-    first = rows.where("id = component_id")
+    first = rows.where("id <=> component_id")
     head = first.groupBy(F.col("root").alias("r")).agg(F.min("tk").alias("head"))
     first = first.join(head, F.col("root") == F.col("r")).select("id", "tk", (F.col("tk") == F.col("head")).alias("stays"), "n")
-    others = rows.where("component_id is not null and (id is null or id <> component_id)")
+    others = rows.where("not id <=> component_id")
     odd = first.union(others.select("id", "tk", F.lit(False), "n"))
     odd = written(odd.where("not stays or n > 1").select("id", "tk", "stays"), "going")
     discard(rows)

@@ -451,6 +451,19 @@ def test_links_of_any_plan(spark, block_rows, count, monkeypatch):
     assert _union(found) == want
 
 
+def test_one_stays_of_a_class_without_keys(spark):
+    rng = random.Random(18)
+    base = text(rng, 300).split()
+    near = [" ".join(base[:i] + ["changed"] + base[i + 1:]) for i in (3, 150)]
+    rows = [(None, t) for t in (" ".join(base), *near, " ".join(base))] + [(None, "only here"), (5, "with a key"), (None, "with a key")]
+    prints = [_print(t) for _, t in rows]
+    linked = _union((a, b) for a, b in itertools.combinations_with_replacement(set(prints), 2) if (a ^ b).bit_count() <= 4)
+    kept = simhash.one_of_each(frame(spark, rows)).collect()
+    assert len({linked[f] for f in prints[:4]}) == 1
+    assert sorted(linked[_print(r.text)] for r in kept) == sorted({linked[f] for f in prints})
+    assert [r.doc_id for r in kept if r.text == "with a key"] == [5]
+
+
 def test_simhash_empty(spark):
     assert simhash.near_duplicates(frame(spark, [])).count() == 0
     assert simhash.one_of_each(frame(spark, [])).count() == 0

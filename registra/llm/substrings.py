@@ -239,7 +239,8 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: in
     )
     known = found.where("k is null").select("id", "tk", F.col("at").cast("int").alias("start"), F.col("stop").cast("int").alias("stop"))
     gone = known.union(later)
-    ranges = written(gone.groupBy("id", "tk").agg(F.collect_list(F.struct("start", "stop")).alias("ranges")), "ranges")
+    # repeated rows give the same ranges: each is kept once, so an array is bounded by one text
+    ranges = written(gone.groupBy("id", "tk").agg(F.collect_set(F.struct("start", "stop")).alias("ranges")), "ranges")
     return ranges
 
 

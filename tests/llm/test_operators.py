@@ -614,6 +614,18 @@ def test_contaminated_documents(spark):
     assert decontam.contaminated(frame(spark, rows), bench.limit(0)).count() == 0
 
 
+def test_ranges_of_repeated_rows_come_once(spark):
+    rng = random.Random(19)
+    passage = text(rng, 80, 10**9)
+    rows = [(1, passage)] + [(2, "before " + passage + " after")] * 200
+    found = substrings.repeats(frame(spark, rows).repartition(8)).collect()
+    assert [r.id for r in found] == [2]
+    pairs = [(p.start, p.stop) for p in found[0].ranges]
+    assert len(pairs) == len(set(pairs)) <= 82 * 82
+    got = substrings.remove_repeats(frame(spark, rows)).where("doc_id = 2").select("__cut.*").collect()
+    assert len(got) == 200 and {(r.n_words, r.n_removed, r.kept) for r in got} == {(82, 80, "before after")}
+
+
 def test_kept_hash_is_of_the_joined_words(spark):
     row = substrings.remove_repeats(frame(spark, [(1, " a\tb  ")])).select(F.sha2("__cut.kept", 256).alias("h")).first()
     assert row["h"] == hashlib.sha256(b"a b").hexdigest()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from registra.llm import chat, decontam, language, mixing, quality, simhash, substrings, tokens, toxicity, urls
+from registra.llm import chat, decontam, language, merkle, mixing, quality, simhash, substrings, tokens, toxicity, urls
 from registra.llm.words import small_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -115,6 +115,23 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).drop("tk")
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests and proofs of all documents, and what a tampered copy of a part of them folds to."""
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+
+    def leaf(text: Column) -> Column:
+        return merkle.leaf_digest(F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), text)
+
+    original = leaf(F.col("text"))
+    seen = F.when(tampered, leaf(F.translate("text", "\n", ""))).otherwise(original)
+    rows = merkle.manifest(docs, "doc_id", "source", original, seen)
+    return rows.withColumn("folded", merkle.folded_root(F.col("carried"), F.col("path"))).select(
+        "doc_id", *[F.lower(F.hex(c)).alias(c) for c in ("leaf", "subroot", "root")], merkle.proof_digest(F.col("path")).alias("proof_sha256"),
+        F.lower(F.hex("folded")).alias("folded_root"), (F.col("folded") == F.col("root")).alias("verified"),
+    )
+
+
 def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -126,6 +143,7 @@ QUERIES: dict[str, Query] = {
     for f in (
         op1_quality_rules, op2_toxicity, op3_source_mix, op4_substring_dedup, op5_language_id,
         op6_token_counts, op7_simhash_near_dedup, op8_url_filter, op9_chat_format, op10_decontamination,
+        op12_merkle_manifest,
     )
 } | {"pipeline": _pipeline}
 
@@ -199,4 +217,58 @@ r AS (
 SELECT page_id, host, path, rule,
        CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN strict OR soft >= 2 THEN 'block' ELSE 'allow' END AS verdict
 FROM r""",
+    "op12_merkle_manifest": r"""
+WITH RECURSIVE crc AS (
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+    FROM range(256) r(i))),
+d AS (
+  SELECT *, doc_id IS NOT NULL AND xor(list_reduce(
+           list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+           lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) % 2 = 0 AS tampered
+  FROM documents, crc),
+f AS (
+  SELECT doc_id, source, tampered, coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+         || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS head,
+         coalesce(strlen(text) || ':' || text, '-') AS body, coalesce(strlen(replace(text, chr(10), '')) || ':' || replace(text, chr(10), ''), '-') AS cut
+  FROM d),
+leaves AS (
+  SELECT doc_id, source, sha256(head || body) AS h, sha256(head || CASE WHEN tampered THEN cut ELSE body END) AS seen,
+         row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, sha256(head || body)) - 1 AS idx, count(*) OVER (PARTITION BY source) AS n
+  FROM f),
+nodes AS (
+  SELECT source, 0 AS level, idx, n, h FROM leaves
+  UNION ALL
+  SELECT source, level + 1, idx // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY idx)) FROM nodes WHERE n > 1 GROUP BY source, level, idx // 3, n),
+tops AS (
+  SELECT source, h, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS idx, count(*) OVER () AS n FROM nodes WHERE n = 1),
+upper AS (
+  SELECT 0 AS level, idx, n, h FROM tops
+  UNION ALL
+  SELECT level + 1, idx // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY idx)) FROM upper WHERE n > 1 GROUP BY level, idx // 3, n),
+steps AS (
+  SELECT a.source, 0 AS tree, a.level, a.idx, coalesce(string_agg(b.h, '' ORDER BY b.idx) FILTER (b.idx < a.idx), '') AS l,
+         coalesce(string_agg(b.h, '' ORDER BY b.idx) FILTER (b.idx > a.idx), '') AS r
+  FROM nodes a JOIN nodes b ON a.source IS NOT DISTINCT FROM b.source AND a.level = b.level AND a.idx // 3 = b.idx // 3 AND a.n > 1
+  GROUP BY a.source, a.level, a.idx
+  UNION ALL
+  SELECT NULL, 1, a.level, a.idx, coalesce(string_agg(b.h, '' ORDER BY b.idx) FILTER (b.idx < a.idx), ''),
+         coalesce(string_agg(b.h, '' ORDER BY b.idx) FILTER (b.idx > a.idx), '')
+  FROM upper a JOIN upper b ON a.level = b.level AND a.idx // 3 = b.idx // 3 AND a.n > 1 GROUP BY a.level, a.idx),
+path AS (
+  SELECT v.source, v.idx, 0 AS tree, s.level, s.l, s.r
+  FROM leaves v JOIN steps s ON s.tree = 0 AND v.source IS NOT DISTINCT FROM s.source AND s.idx = v.idx // CAST(power(3, s.level) AS BIGINT)
+  UNION ALL
+  SELECT v.source, v.idx, 1, s.level, s.l, s.r
+  FROM leaves v JOIN tops t ON v.source IS NOT DISTINCT FROM t.source JOIN steps s ON s.tree = 1 AND s.idx = t.idx // CAST(power(3, s.level) AS BIGINT)),
+paths AS (
+  SELECT source, idx, list({'l': l, 'r': r} ORDER BY tree, level) AS p, string_agg(l || r, '' ORDER BY tree, level) AS proof FROM path GROUP BY source, idx),
+folded AS (
+  SELECT v.doc_id, v.source, v.h, 1 AS k, v.seen AS x, coalesce(p, []) AS p, coalesce(proof, '') AS proof
+  FROM leaves v LEFT JOIN paths ON v.source IS NOT DISTINCT FROM paths.source AND v.idx = paths.idx
+  UNION ALL
+  SELECT doc_id, source, h, k + 1, sha256(p[k].l || x || p[k].r), p, proof FROM folded WHERE k <= len(p)),
+whole AS (SELECT h AS root FROM upper WHERE n = 1)
+SELECT doc_id, folded.h AS leaf, tops.h AS subroot, root, sha256(proof) AS proof_sha256, x AS folded_root, x = root AS verified
+FROM folded JOIN tops ON folded.source IS NOT DISTINCT FROM tops.source, whole WHERE k = len(p) + 1""",
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from registra.llm import chat, decontam, language, merkle, mixing, quality, simhash, substrings, tokens, toxicity, urls
+from registra.llm import chat, decontam, language, merkle, mixing, packing, quality, simhash, substrings, tokens, toxicity, urls
 from registra.llm.words import small_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -132,6 +132,12 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the pieces of all documents stand in sequences of 1024 tokens."""
+    rows = packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -143,7 +149,7 @@ QUERIES: dict[str, Query] = {
     for f in (
         op1_quality_rules, op2_toxicity, op3_source_mix, op4_substring_dedup, op5_language_id,
         op6_token_counts, op7_simhash_near_dedup, op8_url_filter, op9_chat_format, op10_decontamination,
-        op12_merkle_manifest,
+        op12_merkle_manifest, op13_harmonic_packing,
     )
 } | {"pipeline": _pipeline}
 

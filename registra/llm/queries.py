@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from registra.llm import chat, decontam, language, merkle, mixing, packing, quality, simhash, substrings, tokens, toxicity, urls
+from registra.llm import chat, collocations, decontam, language, merkle, mixing, packing, quality, simhash, substrings, tokens, toxicity, urls
 from registra.llm.words import small_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -115,6 +115,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).drop("tk")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best phrases of each language by how much more often they occur than their parts would have it."""
+    return collocations.collocations(table(spark, sf_dir, "documents").select("text", "lang"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests and proofs of all documents, and what a tampered copy of a part of them folds to."""
     docs = table(spark, sf_dir, "documents")
@@ -149,7 +154,7 @@ QUERIES: dict[str, Query] = {
     for f in (
         op1_quality_rules, op2_toxicity, op3_source_mix, op4_substring_dedup, op5_language_id,
         op6_token_counts, op7_simhash_near_dedup, op8_url_filter, op9_chat_format, op10_decontamination,
-        op12_merkle_manifest, op13_harmonic_packing,
+        op11_collocations, op12_merkle_manifest, op13_harmonic_packing,
     )
 } | {"pipeline": _pipeline}
 
@@ -223,6 +228,31 @@ r AS (
 SELECT page_id, host, path, rule,
        CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN strict OR soft >= 2 THEN 'block' ELSE 'allow' END AS verdict
 FROM r""",
+    "op11_collocations": rf"""
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), '{urls.UPPER}', '{urls.LOWER}'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM d),
+totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+f AS (
+  SELECT lang, phrase, k, count(*) AS f
+  FROM (SELECT lang, k, array_to_string(list_slice(w, i, i + k - 1), ' ') AS phrase FROM (
+    SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (SELECT unnest(range(1, 6)) AS k)))
+  GROUP BY ALL HAVING count(*) >= 100),
+c AS (SELECT lang, phrase, k, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+cuts AS (
+  SELECT c.lang, c.phrase, a, cut, l.f AS l, r.f AS r, n, (CAST(1000 AS HUGEINT) * a * n) // (CAST(l.f AS HUGEINT) * r.f) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS cut FROM c) AS c JOIN totals USING (lang)
+  JOIN f AS l ON l.lang = c.lang AND l.phrase = array_to_string(list_slice(w, 1, cut), ' ')
+  JOIN f AS r ON r.lang = c.lang AND r.phrase = array_to_string(list_slice(w, cut + 1, k), ' ')),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+inner_parts AS (
+  SELECT DISTINCT lang, array_to_string(list_slice(w, i, i + m - 1), ' ') AS phrase, a
+  FROM (SELECT lang, w, a, m, unnest(range(1, k - m + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS m FROM c))),
+held AS (SELECT lang, phrase, max(a) AS most FROM inner_parts GROUP BY ALL),
+kept AS (SELECT best.* FROM best LEFT JOIN held USING (lang, phrase) WHERE most IS NULL OR 100 * most < 100 * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score
+FROM kept QUALIFY rank <= 2000""",
     "op12_merkle_manifest": r"""
 WITH RECURSIVE crc AS (
   SELECT list(c ORDER BY i) AS t FROM (

@@ -18,27 +18,30 @@ each on its own. An empty table gives no pieces.
 from __future__ import annotations
 
 import os
-import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from registra.session import shared_dir
+from registra.llm.words import slices
+from registra.sources.tables import written
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 CAPACITY = 1024
 #: Identifier that closes every document.
 CLOSING = 0
-#: Characters that are encoded at a time.
-ENCODED_AT_ONCE = 1 << 17
+#: Bytes of text whose words are looked up together.
+READ_AT_ONCE = 1 << 21
+#: Words whose identifiers a task remembers, and the longest.
+REMEMBERED, MEMORABLE = 1 << 18, 24
+#: Words that are encoded in one call.
+ENCODED_AT_ONCE = 1 << 12
 #: Bytes of identifiers that a task gives out at a time.
 GIVEN_AT_ONCE = 1 << 21
-# The tokenizer starts a new part at a blank after any other character, so texts may be cut there.
-_CUT = re.compile(r"\S ")
 
 
 def class_end(length: int, capacity: int) -> int:
@@ -55,44 +58,106 @@ def rest_lengths(capacity: int) -> list[list[int]]:
     return cuts
 
 
-def text_parts(text: str, limit: int = ENCODED_AT_ONCE) -> list[str]:
-    """The text in parts of at least ``limit`` characters that are encoded alike apart and together."""
-    parts, start = [], 0
-    while found := _CUT.search(text, start + limit):
-        parts.append(text[start: found.start() + 1])
-        start = found.start() + 1
-    return [*parts, text[start:]]
-
-
-def _encoded(encoder, column: pa.Array) -> Iterator[np.ndarray]:
-    """Identifiers of every text of a column, a bounded number of characters at a time."""
-    asked: list[str] = []
-    counts: list[int] = []
-    size = 0
-    held: list[np.ndarray] = []  # of the parts of a text whose last part is still to come
-
-    def encode() -> Iterator[np.ndarray]:
-        coded = iter(encoder.encode_batch_fast(asked, add_special_tokens=False))
-        for last in counts:
-            held.append(np.array(next(coded).ids, np.uint32))
-            if last:
-                yield np.concatenate(held)
-                held.clear()
-
-    for value in column:
-        parts = text_parts(value.as_py() or "")
-        for i, part in enumerate(parts):
-            asked.append(part)
-            counts.append(i == len(parts) - 1)
-            size += len(part)
-            if size >= ENCODED_AT_ONCE:
-                yield from encode()
-                asked, counts, size = [], [], 0
-    yield from encode()
-
-
-def cut(docs: DataFrame, key: str, text: str, vocabulary: str = VOCABULARY, capacity: int = CAPACITY, closing: int = CLOSING) -> DataFrame:
-    """Pieces of all documents, written to the shared folder.
+_LETTER = np.array([b < 128 and chr(b).isalpha() for b in range(256)])
+# without those of the special token, which must stay whole
+_MARK = np.array([0x21 <= b < 0x7F and not chr(b).isalnum() and chr(b) not in "<|>" for b in range(256)])
+_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+
+
+def part_starts(data: np.ndarray) -> np.ndarray:
+    """Places of a text's bytes before which it may be cut: its parts are encoded alike apart and together.
+
+    The tokenizer starts anew at white space after another character, at a mark after a letter, and at
+    a letter after a single line break. For characters other than white space only ASCII and those of two
+    bytes from U+00C0 on are taken, so nothing is cut after others.
+    """
+    cut = np.zeros(len(data), bool)
+    plain = (data > 0x20) & (data < 0x7F)
+    plain[1:] |= (data[1:] >= 0x80) & (data[:-1] >= 0xC3) & (data[:-1] < 0xE0)
+    cut[1:] = (_SPACE[data[1:]] & plain[:-1]) | (_MARK[data[1:]] & _LETTER[data[:-1]])
+    cut[2:] |= _LETTER[data[2:]] & (data[1:-1] == 0x0A) & plain[:-2]
+    return np.flatnonzero(cut)
+
+
+def _sections(column) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """Bytes, row boundaries and whether the last row ends here, of slices; a longer text comes in several."""
+    for first, last, data, offsets in slices(column, READ_AT_ONCE):
+        start = 0
+        while last - first == 1 and len(data) - start > READ_AT_ONCE:
+            size = READ_AT_ONCE
+            while not len(at := part_starts(data[start: start + size])) and start + size < len(data):
+                size *= 2
+            if not len(at):
+                break
+            stop = start + int(at[-1])
+            yield data[start:stop], np.array([0, stop - start]), False
+            start = stop
+        yield data[start:], offsets if last - first > 1 else np.array([0, len(data) - start]), True
+
+
+class _Encoder:
+    """Identifiers of texts; every distinct part of a slice is encoded once, and short parts are remembered."""
+
+    def __init__(self, vocabulary: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_str(vocabulary)
+        self.special_id, special = next(iter(self.tokenizer.get_added_tokens_decoder().items()))
+        self.special = special.content
+        self.known: dict[str, bytes] = {}
+
+    def _encode(self, parts: list[str]) -> list[bytes]:
+        """Identifiers of each part; the vocabulary's special token between them keeps them apart."""
+        if self.special in "".join(parts):
+            return [array("I", self.tokenizer.encode(p, add_special_tokens=False).ids).tobytes() for p in parts]
+        coded = self.tokenizer.encode_batch_fast([self.special.join(parts)], add_special_tokens=False)[0]
+        ids = array("I", coded.ids)
+        at = np.flatnonzero(np.frombuffer(ids, np.uint32) == self.special_id).tolist()
+        blob = ids.tobytes()
+        return [blob[4 * i: 4 * j] for i, j in zip([0, *(x + 1 for x in at)], [*at, len(ids)])]
+
+    def _parts(self, parts: list[str]) -> list[bytes]:
+        found = list(map(self.known.get, parts))
+        new = [i for i, x in enumerate(found) if x is None]
+        for start in range(0, len(new), ENCODED_AT_ONCE):
+            some = new[start: start + ENCODED_AT_ONCE]
+            for i, blob in zip(some, self._encode([parts[i] for i in some])):
+                found[i] = blob
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+            new = range(len(parts))
+        self.known.update((parts[i], found[i]) for i in new if len(parts[i]) <= MEMORABLE)
+        return found
+
+    def rows(self, column) -> Iterator[np.ndarray]:
+        """Identifiers of every text of a column; null is empty."""
+        held: list[np.ndarray] = []  # of a text whose last section is still to come
+        for data, offsets, ends in _sections(column):
+            cut = np.zeros(len(data), bool)
+            cut[part_starts(data)] = True
+            cut[offsets[:-1][np.diff(offsets) > 0]] = True
+            starts = np.flatnonzero(cut)
+            bounds = np.append(starts, len(data)).astype(np.int32)
+            parts = pa.StringArray.from_buffers(len(starts), pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data)))
+            coded = parts.dictionary_encode()
+            which = coded.indices.to_numpy()
+            blobs = self._parts(coded.dictionary.to_pylist())
+            sizes = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
+            flat = np.frombuffer(b"".join(blobs), "<u4")
+            size = sizes[which]
+            before = np.concatenate([[0], np.cumsum(size)])
+            first = np.cumsum(sizes) - sizes
+            ids = flat[np.repeat(first[which] - before[:-1], size) + np.arange(before[-1])]
+            cuts = before[np.searchsorted(starts, offsets)]
+            for i in range(len(offsets) - 1):
+                held.append(ids[cuts[i]: cuts[i + 1]])
+                if ends or i < len(offsets) - 2:
+                    yield np.concatenate(held)
+                    held.clear()
+
+
+def cut(docs: DataFrame, key: str, text: str, vocabulary: str, capacity: int, closing: int) -> DataFrame:
+    """Pieces of all documents.
 
     ``key``, ``start`` (identifiers of the document before the piece), ``length``, ``ids``
     (little-endian unsigned 32-bit), ``doc_tokens``, and the piece's task ``part`` and its number
@@ -104,9 +169,7 @@ def cut(docs: DataFrame, key: str, text: str, vocabulary: str = VOCABULARY, capa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from tokenizers import Tokenizer
-
-        encoder = Tokenizer.from_str(table.value)
+        encoder = _Encoder(table.value)
         rests, used = rest_lengths(capacity), np.zeros(capacity + 1, np.int64)
         part = TaskContext.get().partitionId()
         rows, starts, lengths, totals, blobs, size = [], [], [], [], [], 0
@@ -127,8 +190,8 @@ def cut(docs: DataFrame, key: str, text: str, vocabulary: str = VOCABULARY, capa
             return pa.record_batch(columns, names=names)
 
         for batch in batches:
-            for row, ids in enumerate(_encoded(encoder, batch.column(1))):
-                ids = np.append(ids, np.uint32(closing)).astype("<u4")
+            for row, ids in enumerate(encoder.rows(batch.column(1))):
+                ids = np.append(ids, np.array([closing], "<u4"))
                 start = 0
                 whole, rest = divmod(len(ids), capacity)
                 for length in [capacity] * whole + rests[rest]:
@@ -147,10 +210,7 @@ def cut(docs: DataFrame, key: str, text: str, vocabulary: str = VOCABULARY, capa
 
     kind = docs.schema[key].dataType.simpleString()
     schema = f"key {kind}, start bigint, length bigint, ids binary, doc_tokens bigint, part bigint, at bigint"
-    pieces = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, schema)
-    path = shared_dir(docs.sparkSession, "pieces")
-    pieces.write.option("compression", "zstd").parquet(path)
-    return docs.sparkSession.read.schema(pieces.schema).parquet(path)
+    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, schema)
 
 
 def first_fit(left: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int]], int]:
@@ -173,17 +233,24 @@ def first_fit(left: dict[int, int], capacity: int) -> tuple[list[tuple[int, int,
     return places, len(fill)
 
 
-def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY, capacity: int = CAPACITY, closing: int = CLOSING) -> DataFrame:
+def pack(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY, capacity: int = CAPACITY, closing: int = CLOSING,
+    value: Column | None = None,
+) -> DataFrame:
     """Pieces of all documents with their place: ``sequence_id`` (from 0, without gaps) and ``offset``.
 
-    Besides ``key``, ``start``, ``length``, ``ids`` and ``doc_tokens`` as in :func:`cut`. Pieces stand in a
-    sequence one after another from 0. Only the number of pieces of each length comes to the driver.
+    Besides ``key``, ``start``, ``length``, ``ids`` and ``doc_tokens`` as in :func:`cut`; ``value``, an expression
+    over these, takes the place of ``ids`` where the identifiers themselves are not wanted and need not
+    be written. Pieces stand in a sequence one after another from 0. Only the number of pieces of
+    each length comes to the driver.
     """
     spark = docs.sparkSession
     pieces = cut(docs, key, text, vocabulary, capacity, closing)
+    pieces = written(pieces if value is None else pieces.withColumn("ids", value), "pieces")
     counts = pieces.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select(F.col("part").alias("p"), F.col("length").alias("l"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"), "n")
+    counts = written(counts, "piece-counts")  # a row per task and class end; its size decides whether it is sent to the pieces
     totals = {r["l"]: r["n"] for r in counts.groupBy("l").agg(F.sum("n").alias("n")).collect()}  # as many as class ends
 
     bases, base, left = [], 0, {}

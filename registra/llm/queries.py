@@ -139,8 +139,8 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op13_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where the pieces of all documents stand in sequences of 1024 tokens."""
-    rows = packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return rows.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    rows = packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), value=F.crc32("ids"))
+    return rows.select("doc_id", "start", "length", F.col("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
 def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -244,7 +244,7 @@ cuts AS (
   SELECT c.lang, c.phrase, a, cut, l.f AS l, r.f AS r, n, (CAST(1000 AS HUGEINT) * a * n) // (CAST(l.f AS HUGEINT) * r.f) AS score
   FROM (SELECT *, unnest(range(1, k)) AS cut FROM c) AS c JOIN totals USING (lang)
   JOIN f AS l ON l.lang = c.lang AND l.phrase = array_to_string(list_slice(w, 1, cut), ' ')
-  JOIN f AS r ON r.lang = c.lang AND r.phrase = array_to_string(list_slice(w, cut + 1, k), ' ')),
+  JOIN f AS r ON r.lang = c.lang AND r.phrase = array_to_string(list_slice(w, cut + 1, c.k), ' ')),
 best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
 inner_parts AS (
   SELECT DISTINCT lang, array_to_string(list_slice(w, i, i + m - 1), ' ') AS phrase, a

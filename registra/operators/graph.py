@@ -25,6 +25,9 @@ SHOWN_NEIGHBOURS = 5
 DRAWN_EDGES = 300
 # ---- end of fixed values ------------------------------------------------------------------
 
+# Words that a plan names at most.
+CHOSEN_WORDS = 5_000
+
 
 def institution_id() -> Column:
     return F.coalesce("executor_ogrn", "executor_name")
@@ -122,22 +125,58 @@ def pair_weights(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("source", "target").agg(F.count(F.lit(1)).alias("weight"))
 
 
+def _pair_bounds(words: DataFrame) -> DataFrame:
+    """``id`` and ``most``: a word pairs with any other at most so often.
+
+    Its occurrences count as often as the record repeats its most repeated word; where no record
+    repeats a word, that is the number of occurrences.
+    """
+    repeated = F.size("words") > F.size(F.array_distinct("words"))
+    times = F.transform(F.array_distinct("words"), lambda w: F.size(F.filter("words", lambda x: x == w)))
+    most = F.when(repeated, F.array_max(times)).otherwise(1)
+    rows = words.select(F.explode("words").alias("id"), most.alias("times"))
+    return rows.groupBy("id").agg(F.sum("times").alias("most"))
+
+
+def frequent_words(words: DataFrame, k: int = EDGE_LIST) -> DataFrame:
+    """The records' words that can be in one of the ``k`` most frequent pairs; no others pair up.
+
+    A pair is no more frequent than its rarer word allows, and the pairs of the most frequent words
+    alone give a weight that the ``k``-th pair reaches in any case. Their number, ``sqrt(8 k) + 2``, and of the
+    words that reach the weight, ``CHOSEN_WORDS``, are the most that travel with the plan; where more
+    words reach it, none is left out.
+    """
+    bounds = written(_pair_bounds(words), "pair-bounds")
+    probed = bounds.orderBy(F.desc("most"), F.asc("id")).limit(int((8 * k) ** 0.5) + 2)
+    reached = pair_weights(cooccurrence_pairs(_only(words, [r["id"] for r in probed.collect()])))
+    last = reached.orderBy(F.desc("weight")).offset(k - 1).limit(1).select("weight").first()
+    if last is None:
+        return words
+    chosen = [r["id"] for r in bounds.where(F.col("most") >= last["weight"]).select("id").limit(CHOSEN_WORDS + 1).collect()]
+    return words if len(chosen) > CHOSEN_WORDS else _only(words, chosen)
+
+
+def _only(words: DataFrame, ids: list[str]) -> DataFrame:
+    kept = F.filter("words", lambda w: w.isin(ids)) if ids else F.filter("words", lambda w: F.lit(False))
+    return words.select(kept.alias("words")).where(F.size("words") > 1)
+
+
 def topic_edges(words: DataFrame, nodes: DataFrame, k: int = EDGE_LIST) -> DataFrame:
     """The ``k`` most frequent pairs, then those between nodes that occur often enough."""
     common = (
-        pair_weights(cooccurrence_pairs(words))
+        pair_weights(cooccurrence_pairs(frequent_words(words, k)))
         .orderBy(F.desc("weight"), F.asc("source"), F.asc("target"))
         .limit(k)
     )
     return keep_internal_edges(common.where(F.col("weight") >= MIN_TOPIC_WEIGHT), nodes)
 
 
-def institution_graph(
+def institution_graph_nodes(
     df: DataFrame, at_least: int = 10, limit: int = 100, merge_ids: bool = False
-) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges; both empty when fewer than two institutions qualify.
+) -> DataFrame:
+    """Nodes of the graph; none when fewer than two institutions qualify.
 
-    One id under two names gives two nodes unless ``merge_ids``.
+    One id under two names gives two nodes unless ``merge_ids``. Edges are not worked out.
     """
     raw = institution_nodes(df, at_least, limit)
     enough = raw.agg(F.count_distinct("id") >= 2).scalar()
@@ -147,9 +186,15 @@ def institution_graph(
             F.sum("projects").alias("projects"),
             F.sum("budget_billions").alias("budget_billions"),
         )
-    raw = raw.where(enough)
-    nodes = raw.withColumn("label", clean_org_label(F.col("label")))
-    return nodes, keep_internal_edges(institution_edges(df), raw)
+    return raw.where(enough).withColumn("label", clean_org_label(F.col("label")))
+
+
+def institution_graph(
+    df: DataFrame, at_least: int = 10, limit: int = 100, merge_ids: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges; both empty when fewer than two institutions qualify."""
+    nodes = institution_graph_nodes(df, at_least, limit, merge_ids)
+    return nodes, keep_internal_edges(institution_edges(df), nodes)
 
 
 def topic_graph(

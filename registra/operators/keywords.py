@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 from operator import and_
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -13,8 +16,11 @@ from registra.functions.numeric import MONEY, money_sum, round_dec
 from registra.functions.text import norm_keyword, strip
 from registra.operators.filters import valid_keyword, year_between
 from registra.operators.metrics import BUDGET, BUDGET_YEARS
+from registra.sources.tables import discard, written
 
 KEYWORDS = "keyword_list"
+# Most frequent terms that a task sends, and terms that it holds while it counts.
+KEPT_TERMS, HELD_TERMS = 4_096, 1 << 17
 
 
 def explode_keywords(df: DataFrame, column: str = KEYWORDS, sep: str = ";") -> DataFrame:
@@ -167,13 +173,82 @@ def share_of_max(df: DataFrame, column: str, by: list[str] | None = None) -> Dat
     return df.join(best, same).select(*df.columns, share.alias("share"))
 
 
-def top_terms(df: DataFrame, column: str = KEYWORDS, sep: str = "[;,]", n: int = 20) -> DataFrame:
-    """Most frequent stripped lower-cased parts."""
-    parts = df.where(F.col(column).isNotNull()).select(
-        F.explode(F.split(F.col(column), sep)).alias("part")
-    )
-    # count parts as written first: far fewer distinct parts are left to normalise
+def _terms(df: DataFrame, column: str, sep: str) -> Column:
+    return F.transform(F.split(F.col(column), sep), lambda w: F.lower(strip(w)))
+
+
+def _summaries(df: DataFrame, column: str, sep: str, kept: int) -> DataFrame:
+    """What each task counted of its ``kept`` most frequent terms.
+
+    ``term``, ``n`` (its count at least) and ``credit``; where ``term`` is null, ``n`` is the count that a term
+    may have in the task without being listed. A listed term may have up to ``n + that - credit``.
+    A task holds ``HELD_TERMS`` terms, or four times ``kept``; beyond that it drops the rarer half, and what
+    a dropped term may have had counts for all.
+    """
+    most = max(HELD_TERMS, 4 * kept)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, lost = pa.table({"values": pa.array([], pa.string()), "counts": pa.array([], pa.int64())}), 0
+
+        def largest(table: pa.Table, size: int) -> tuple[pa.Table, int]:
+            """The ``size`` most frequent rows, and the count of the next."""
+            if len(table) <= size:
+                return table, 0
+            order = pc.sort_indices(table, [("counts", "descending")])
+            return table.take(order[:size]), table["counts"][order[size].as_py()].as_py()
+
+        for batch in batches:
+            found = pa.Table.from_struct_array(pc.value_counts(pc.list_flatten(batch.column(0))))
+            both = pa.concat_tables([held, found.cast(held.schema)])
+            held = both.group_by("values").aggregate([("counts", "sum")]).rename_columns(["values", "counts"])
+            if len(held) > most:
+                held, dropped = largest(held, most // 2)
+                lost += dropped
+        held = held.filter(pc.and_kleene(pc.is_valid(held["values"]), pc.not_equal(held["values"], "")))
+        held, unlisted = largest(held, kept)
+        size = len(held)
+        yield pa.record_batch(
+            [pa.concat_arrays([*held["values"].chunks, pa.nulls(1, pa.string())]),
+             pa.concat_arrays([*held["counts"].chunks, pa.array([unlisted + lost])]),
+             pa.array([unlisted] * size + [0], pa.int64())], names=["term", "n", "credit"])
+
+    return df.where(F.col(column).isNotNull()).select(_terms(df, column, sep)).mapInArrow(
+        count, "term string, n bigint, credit bigint")
+
+
+def top_terms(df: DataFrame, column: str = KEYWORDS, sep: str = "[;,]", n: int = 20, kept: int = KEPT_TERMS) -> DataFrame:
+    """Most frequent stripped lower-cased parts.
+
+    Every task sends its ``kept`` most frequent terms, so rare ones are not shuffled, and a bound on
+    what it does not send. Terms that may be among the first ``n`` by these bounds are candidates. If a term
+    that no task sent might be, more is asked for once, and failing that all terms are counted. Where the bounds
+    of the candidates are not exact, one more pass counts them alone.
+    """
+    best = [F.desc("count"), F.asc("term")]
+    for size in (kept, 16 * kept):
+        sent = written(_summaries(df, column, sep, size), "term-summaries")
+        unseen = sent.where("term IS NULL").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+        bounds = sent.where("term IS NOT NULL").groupBy("term").agg(
+            F.sum("n").alias("count"), (F.sum(-F.col("credit")) + unseen).alias("slack"))
+        bounds = written(bounds, "term-bounds")
+        discard(sent)
+        last = bounds.orderBy(F.desc("count")).offset(n - 1).limit(1).select("count").first()
+        least = last["count"] if last else 0
+        if unseen < least or unseen == 0:
+            break
+    else:
+        return _counted(df.where(F.col(column).isNotNull()).select(
+            F.explode(F.split(F.col(column), sep)).alias("part"))).orderBy(*best).limit(n)
+    chosen = bounds.where(F.col("count") + F.col("slack") >= least)
+    if chosen.where("slack > 0").isEmpty():
+        return chosen.select("term", "count").orderBy(*best).limit(n)
+    terms = df.where(F.col(column).isNotNull()).select(F.explode(_terms(df, column, sep)).alias("term"))
+    asked = terms.join(chosen.select("term"), "term", "left_semi")
+    return asked.groupBy("term").agg(F.count(F.lit(1)).alias("count")).orderBy(*best).limit(n)
+
+
+def _counted(parts: DataFrame) -> DataFrame:
+    """``term`` and ``count`` of all parts; parts as written are counted first, as far fewer are left to normalise."""
     raw = parts.groupBy("part").agg(F.count(F.lit(1)).alias("count"))
     terms = raw.select(F.lower(strip(F.col("part"))).alias("term"), "count")
-    counts = terms.where(F.col("term") != "").groupBy("term").agg(F.sum("count").alias("count"))
-    return counts.orderBy(F.desc("count"), F.asc("term")).limit(n)
+    return terms.where(F.col("term") != "").groupBy("term").agg(F.sum("count").alias("count"))

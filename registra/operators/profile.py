@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+import struct
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from registra.functions.numeric import money_sum, round_dec
 from registra.operators.metrics import BUDGET, top_groups
-from registra.sources.tables import KEY
+from registra.sources.tables import KEY, discard, written
+
+DIGIT_BITS = 16
 
 
 def _filled(df: DataFrame):
@@ -116,10 +124,73 @@ def exact_median(
     return (middle[0] + middle[1]) / 2
 
 
+def _ordered(values: np.ndarray) -> np.ndarray:
+    """Unsigned integers in the order of the doubles."""
+    bits = values.view(np.int64)
+    return np.where(bits < 0, ~bits, bits | np.int64(-(1 << 63))).view(np.uint64)
+
+
+def _double(ordered: int) -> float:
+    bits = ordered ^ (1 << 63) if ordered >> 63 else ~ordered & ((1 << 64) - 1)
+    return struct.unpack("<d", struct.pack("<Q", bits))[0]
+
+
+def _digit_counts(values: DataFrame, shift: int, above: list[int]) -> dict[int, np.ndarray]:
+    """How often each digit at ``shift`` occurs among the values whose upper digits are ``above``."""
+    size = 1 << DIGIT_BITS
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros((len(above), size), np.int64)
+        for batch in batches:
+            x = _ordered(batch.column(0).to_numpy(zero_copy_only=False))
+            digits = ((x >> np.uint64(shift)) & np.uint64(size - 1)).astype(np.int64)
+            upper = x >> np.uint64(shift) >> np.uint64(DIGIT_BITS)  # two steps: a shift by 64 is not defined
+            for i, prefix in enumerate(above):
+                counts[i] += np.bincount(digits[upper == np.uint64(prefix)], minlength=size)
+        at, digit = np.nonzero(counts)
+        columns = [pa.array(at), pa.array(digit), pa.array(counts[at, digit])]
+        yield pa.record_batch(columns, names=["i", "digit", "n"])
+
+    found = values.mapInArrow(count, "i bigint, digit bigint, n bigint")
+    rows = found.groupBy("i", "digit").agg(F.sum("n").alias("n")).toArrow()  # at most 2 x 65,536
+    out = {prefix: np.zeros(size, np.int64) for prefix in above}
+    for i, prefix in enumerate(above):
+        mine = rows.filter(pc.equal(rows["i"], i))
+        out[prefix][mine["digit"].to_numpy()] = mine["n"].to_numpy()
+    return out
+
+
+def radix_median(df: DataFrame, column: str) -> float | None:
+    """Median by radix selection over the bits of the values, in four passes whatever they are.
+
+    Each pass counts one digit of 16 bits of the values that agree with a middle one in the digits
+    before, which gives its next digit. Tasks send counts, and only counts come to the driver. The values
+    are written once, so the passes do not repeat the plan behind them. Null and NaN are left out.
+    """
+    numbers = df.select(F.col(column).cast("double").alias("v"))
+    values = written(numbers.where(F.col("v").isNotNull() & ~F.isnan("v")), "values")
+    ranks: list[int] = []
+    middle = [0, 0]
+    for shift in range(64 - DIGIT_BITS, -1, -DIGIT_BITS):
+        counts = _digit_counts(values, shift, sorted(set(middle)))
+        if not ranks:
+            n = int(counts[0].sum())
+            if n == 0:
+                return None
+            ranks = [(n - 1) // 2, n // 2]
+        for i, prefix in enumerate(middle):
+            upto = np.cumsum(counts[prefix])
+            digit = int(np.searchsorted(upto, ranks[i], side="right"))
+            ranks[i] -= int(upto[digit - 1]) if digit else 0
+            middle[i] = prefix << DIGIT_BITS | digit
+    discard(values)
+    return (_double(middle[0]) + _double(middle[1])) / 2
+
+
 def numeric_profile(df: DataFrame, column: str = BUDGET) -> DataFrame:
     """Non-null count and share, sum, mean and exact median."""
     count, rows = F.count(column), F.count(F.lit(1))
-    median = exact_median(df, column)
+    median = radix_median(df, column)
     return df.agg(
         count.alias("filled"),
         round_dec(count / rows, 6).alias("share"),

@@ -8,6 +8,8 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,8 +29,10 @@ LISTS = 100
 SOURCES = 5
 # ---- end of fixed values ------------------------------------------------------------------
 
-# Questions of one scan of the records: their vectors travel with every task.
+# Questions whose vectors travel with every task; more are read by the tasks, so many at a time.
 MAX_SENT_QUESTIONS = 2_000
+# Numbers of the vectors that a task holds while it goes through all questions.
+HELD_NUMBERS = 1 << 23
 # Files that the rows of one cell are written to.
 FILES_PER_CELL = 4
 # Similarities worked out at a time in one task.
@@ -123,13 +127,13 @@ def _arrow_matrix(column: pa.ListArray, dim: int) -> np.ndarray:
     return _unit_rows(flat.reshape(len(column), dim))
 
 
-def _with_vector(questions: DataFrame) -> DataFrame:
-    return questions.where(F.col("embedding").isNotNull()).select(F.col("question_id").cast("string"), "embedding")
+def _with_vector(questions: DataFrame, *more: str) -> DataFrame:
+    return questions.where(F.col("embedding").isNotNull()).select(F.col("question_id").cast("string"), "embedding", *more)
 
 
-def _sent(questions: DataFrame) -> pd.DataFrame | None:
-    """The questions that have a vector, each id once. None: more than one scan takes."""
-    sent = _with_vector(questions).limit(MAX_SENT_QUESTIONS + 1).toPandas()
+def _sent(questions: DataFrame, *more: str) -> pd.DataFrame | None:
+    """The questions that have a vector, each id once. None: more than travel with the tasks."""
+    sent = _with_vector(questions, *more).limit(MAX_SENT_QUESTIONS + 1).toPandas()
     if len(sent) > MAX_SENT_QUESTIONS:
         return None
     if sent["question_id"].isna().any() or not sent["question_id"].is_unique:
@@ -137,8 +141,45 @@ def _sent(questions: DataFrame) -> pd.DataFrame | None:
     return sent
 
 
-def _in_blocks(questions: DataFrame, search: Callable[[pd.DataFrame], DataFrame]) -> DataFrame:
-    """What ``search`` finds for any number of questions, asked in blocks of ``MAX_SENT_QUESTIONS``.
+@dataclass(frozen=True)
+class _Asked:
+    """Questions in blocks: a frame that travels with the tasks, or numbered folders that tasks read.
+
+    A folder is opened by ``pyarrow.fs``, so the shared folder must be in a store that knows.
+    """
+
+    sent: pd.DataFrame | None = None
+    folder: str | None = None
+    blocks: int = 1
+
+    @staticmethod
+    def of(questions: DataFrame, *more: str) -> _Asked:
+        """The questions with an id of their own and a vector, and the columns ``more``."""
+        sent = _sent(questions, *more)
+        return _Asked(sent) if sent is not None else _Asked(None, *_written_blocks(questions, *more))
+
+    def empty(self) -> bool:
+        return self.sent is not None and self.sent.empty
+
+    def each(self) -> Iterator[pd.DataFrame]:
+        for i in range(self.blocks):
+            if self.sent is not None:
+                yield self.sent
+            else:
+                where, root = fs.FileSystem.from_uri(self.folder) if ":" in self.folder else (fs.LocalFileSystem(), self.folder)
+                yield pq.read_table(f"{root}/block={i}", filesystem=where, partitioning=None).to_pandas()
+
+    def settled(self, hits: DataFrame) -> DataFrame:
+        """The hits; where they read question folders they are written and those deleted."""
+        if self.folder is None:
+            return hits
+        hits = written(hits, "hits")
+        remove(hits.sparkSession, self.folder)
+        return hits
+
+
+def _written_blocks(questions: DataFrame, *more: str) -> tuple[str, int]:
+    """Folder and number of blocks of ``MAX_SENT_QUESTIONS`` questions.
 
     The questions are written with their partition and place in it. The sizes of the partitions before
     make that a number without gaps, which cuts the blocks whatever the ids are.
@@ -146,7 +187,7 @@ def _in_blocks(questions: DataFrame, search: Callable[[pd.DataFrame], DataFrame]
     spark = questions.sparkSession
     at = F.monotonically_increasing_id()
     placed = written(
-        _with_vector(questions).withColumns(
+        _with_vector(questions, *more).withColumns(
             {"part": F.shiftright(at, 33), "place": at.bitwiseAND(F.lit((1 << 33) - 1))}),
         "placed-questions",
     )
@@ -158,17 +199,11 @@ def _in_blocks(questions: DataFrame, search: Callable[[pd.DataFrame], DataFrame]
     starts = spark.createDataFrame(
         [(r["part"], end - r["count"]) for r, end in zip(sizes, ends)], "part bigint, before bigint")
     block = F.floor((F.col("before") + F.col("place")) / MAX_SENT_QUESTIONS).cast("bigint").alias("block")
-    numbered = placed.join(F.broadcast(starts), "part").select("question_id", "embedding", block)
-    asked, found = shared_dir(spark, "question-blocks"), shared_dir(spark, "block-hits")
-    numbered.write.partitionBy("block").parquet(asked)
+    numbered = placed.join(F.broadcast(starts), "part").select("question_id", "embedding", *more, block)
+    folder, blocks = shared_dir(spark, "question-blocks"), -(-ends[-1] // MAX_SENT_QUESTIONS)
+    numbered.repartition("block").write.partitionBy("block").parquet(folder)
     discard(placed)
-    schema = None
-    for i in range(-(-ends[-1] // MAX_SENT_QUESTIONS)):
-        hits = search(spark.read.parquet(f"{asked}/block={i}").toPandas())
-        schema = hits.schema
-        hits.write.mode("append").parquet(found)
-    remove(spark, asked)
-    return spark.read.schema(schema).parquet(found)
+    return folder, blocks
 
 
 def _best(q: np.ndarray, keys: np.ndarray, score: np.ndarray, k: int):
@@ -236,21 +271,50 @@ def _records(store: DataFrame, key: str) -> DataFrame:
     )
 
 
-def _scan(records: DataFrame, sent: pd.DataFrame, k: int, key: str) -> DataFrame:
-    """One pass over the records for the questions in ``sent``."""
-    schema = _HITS.format(key=key)
-    if sent.empty:
-        return records.sparkSession.createDataFrame([], schema + ", rank int")
-    ids, matrix = sent["question_id"].to_numpy(dtype=object), _matrix(sent["embedding"])
+def _held(batches: Iterator[pa.RecordBatch], dim: int, key: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray | None]]:
+    """Keys, unit vectors and cells (if there are any) of as many records as a task holds."""
+    parts, numbers = [], 0
+
+    def joined():
+        return tuple(None if p[0] is None else np.concatenate(p) for p in zip(*parts))
+
+    for b in batches:
+        if not len(b):
+            continue
+        cells = b.column("cell").to_numpy() if "cell" in b.schema.names else None
+        parts.append((_keys(b.column(key)), _arrow_matrix(b.column("embedding"), dim), cells))
+        numbers += len(b) * dim
+        if numbers >= HELD_NUMBERS:
+            yield joined()
+            parts, numbers = [], 0
+    if parts:
+        yield joined()
+
+
+def _scan(
+    records: DataFrame, asked: _Asked, k: int, key: str,
+    allowed: Callable[[pd.DataFrame, np.ndarray], np.ndarray] | None = None,
+) -> DataFrame:
+    """One pass over the records for all questions.
+
+    A task goes through the blocks of questions for the vectors it holds and gives out the best ``k``
+    of each question; Spark ranks them, spilling where needed. ``allowed`` says which cells a
+    question may take records from.
+    """
+    if asked.empty():
+        return records.sparkSession.createDataFrame([], _HITS.format(key=key) + ", rank int")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = _TopK(matrix, k)
-        for b in batches:
-            if len(b):
-                best.add(_keys(b.column(key)), _arrow_matrix(b.column("embedding"), matrix.shape[1]))
-        yield best.batch(ids, key)
+        first = next(asked.each())
+        dim = len(first["embedding"].iloc[0])
+        for keys, vectors, cells in _held(batches, dim, key):
+            for block in asked.each():
+                matrix = _matrix(block["embedding"])
+                best = _TopK(matrix, k)
+                best.add(keys, vectors, None if allowed is None else allowed(block, matrix)[:, cells].T)
+                yield best.batch(block["question_id"].to_numpy(dtype=object), key)
 
-    return _first_hits(records.mapInArrow(scan, schema), k, key)
+    return _first_hits(records.mapInArrow(scan, _HITS.format(key=key)), k, key)
 
 
 def nearest(store: DataFrame, questions: DataFrame, k: int = 10, key: str = KEY) -> DataFrame:
@@ -263,23 +327,18 @@ def nearest(store: DataFrame, questions: DataFrame, k: int = 10, key: str = KEY)
     """
     sent = _sent(questions)
     if sent is None:
-        raise ValueError(f"one scan takes at most {MAX_SENT_QUESTIONS} questions; see nearest_to_all")
-    return _scan(_records(store, key), sent, k, key)
+        raise ValueError(f"at most {MAX_SENT_QUESTIONS} questions travel with the tasks; see nearest_to_all")
+    return _scan(_records(store, key), _Asked(sent), k, key)
 
 
 def nearest_to_all(store: DataFrame, questions: DataFrame, k: int = 10, key: str = KEY) -> DataFrame:
-    """The result of :func:`nearest` for any number of questions.
+    """The result of :func:`nearest` for any number of questions, by one scan of the store.
 
-    More than ``MAX_SENT_QUESTIONS`` are answered at once, block by block: the keys and vectors of the
-    store are written, each block scans them, and its hits are added to a table.
+    More than ``MAX_SENT_QUESTIONS`` are written in blocks to the shared folder, where the tasks read
+    them, and answered at once.
     """
-    sent = _sent(questions)
-    if sent is not None:
-        return _scan(_records(store, key), sent, k, key)
-    records = written(_records(store, key), "records")
-    hits = _in_blocks(questions, lambda block: _scan(records, block, k, key))
-    discard(records)
-    return hits
+    asked = _Asked.of(questions)
+    return asked.settled(_scan(_records(store, key), asked, k, key))
 
 
 def with_records(store: DataFrame, projects: DataFrame) -> DataFrame:
@@ -343,10 +402,15 @@ def unanswered(questions: DataFrame, hits: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class IvfIndex:
-    """Records with the ``cell`` they fall in, and the centre of every cell."""
+    """Records with the ``cell`` they fall in, the centre of every cell, and its radius.
+
+    The radius is the distance of the cell's farthest unit vector from the centre, so no record of a
+    cell is nearer to a question than the centre's distance less the radius.
+    """
 
     records: DataFrame
     centres: np.ndarray
+    radii: np.ndarray
 
     def save(self, path: str) -> IvfIndex:
         """Write the records by cell, so that a search reads the probed cells only.
@@ -357,7 +421,20 @@ class IvfIndex:
         dealt = self.records.repartition("cell", salt)
         dealt.write.mode("overwrite").partitionBy("cell").parquet(path)
         spark = self.records.sparkSession
-        return IvfIndex(spark.read.parquet(path), self.centres)
+        return IvfIndex(spark.read.parquet(path), self.centres, self.radii)
+
+    def probed(self, matrix: np.ndarray, probes: int) -> np.ndarray:
+        """Which cells (columns) are among the ``probes`` closest to each question (row)."""
+        closest = np.argsort(-np.nan_to_num(matrix @ self.centres.T), axis=1, kind="stable")
+        probed = np.zeros((len(matrix), len(self.centres)), dtype=bool)
+        np.put_along_axis(probed, closest[:, : min(probes, len(self.centres))], True, axis=1)
+        return probed
+
+    def most_similar(self, matrix: np.ndarray) -> np.ndarray:
+        """The similarity that a record of each cell (column) can have at most to each question (row)."""
+        squares = (matrix**2).sum(1)[:, None] + (self.centres**2).sum(1)[None] - 2 * matrix @ self.centres.T
+        gap = np.maximum(np.sqrt(np.maximum(squares, 0)) - self.radii, 0)
+        return np.nan_to_num(1 - gap**2 / 2, nan=1.0)
 
 
 def build_ivf(store: DataFrame, lists: int = LISTS, seed: int = 42, rounds: int = 20) -> IvfIndex:
@@ -370,45 +447,78 @@ def build_ivf(store: DataFrame, lists: int = LISTS, seed: int = 42, rounds: int
         k=lists, seed=seed, maxIter=rounds, featuresCol="_point", predictionCol="cell"
     )
     model = means.fit(points.select("_point"))
-    return IvfIndex(model.transform(points).drop("_point"), np.array(model.clusterCenters()))
+    centres = np.array(model.clusterCenters())
+    records = model.transform(points).drop("_point")
+    return IvfIndex(records, centres, _radii(records, centres))
+
+
+def _radii(records: DataFrame, centres: np.ndarray) -> np.ndarray:
+    def farthest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        most = np.zeros(len(centres))
+        for b in batches:
+            cells = b.column("cell").to_numpy()
+            if len(cells):
+                away = np.linalg.norm(_arrow_matrix(b.column("embedding"), centres.shape[1]) - centres[cells], axis=1)
+                np.maximum.at(most, cells, np.nan_to_num(away, nan=2.0))
+        yield pa.record_batch([pa.array(np.arange(len(centres))), pa.array(most)], names=["cell", "away"])
+
+    far = records.select("cell", "embedding").mapInArrow(farthest, "cell bigint, away double")
+    rows = far.groupBy("cell").agg(F.max("away").alias("away")).collect()  # as many as cells
+    radii = np.zeros(len(centres))
+    for r in rows:
+        radii[r["cell"]] = r["away"]
+    return radii
 
 
 def ivf_search(index: IvfIndex, questions: DataFrame, k: int = 10, probes: int = 10,
                key: str = KEY) -> DataFrame:
     """Nearest records within the ``probes`` cells closest to each question.
 
-    With as many probes as cells the result equals :func:`nearest_to_all`. Questions come in any
-    number; more than ``MAX_SENT_QUESTIONS`` are answered at once, block by block.
+    With as many probes as cells the result equals :func:`nearest_to_all`. Questions come in any number.
     """
-    sent = _sent(questions)
-    if sent is None:
-        return _in_blocks(questions, lambda block: _probe(index, block, k, probes, key))
-    return _probe(index, sent, k, probes, key)
+    asked = _Asked.of(questions)
 
+    def allowed(block: pd.DataFrame, matrix: np.ndarray) -> np.ndarray:
+        return probed(matrix, probes)
 
-def _probe(index: IvfIndex, sent: pd.DataFrame, k: int, probes: int, key: str) -> DataFrame:
-    schema = _HITS.format(key=key)
-    if sent.empty:
-        return index.records.sparkSession.createDataFrame([], schema + ", rank int")
-    ids, matrix = sent["question_id"].to_numpy(dtype=object), _matrix(sent["embedding"])
-    cells = len(index.centres)
-    closest = np.argsort(-np.nan_to_num(matrix @ index.centres.T), axis=1, kind="stable")
-    probed = np.zeros((len(ids), cells), dtype=bool)
-    np.put_along_axis(probed, closest[:, : min(probes, cells)], True, axis=1)
-    wanted = [int(c) for c in np.flatnonzero(probed.any(axis=0))]
+    probed = _without_records(index).probed
+    return asked.settled(_scan(_cells(index, asked, allowed, key), asked, k, key, allowed))
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = _TopK(matrix, k)
-        for b in batches:
-            if len(b):
-                allowed = probed[:, b.column("cell").to_numpy()].T
-                best.add(_keys(b.column(key)), _arrow_matrix(b.column("embedding"), matrix.shape[1]), allowed)
-        yield best.batch(ids, key)
 
-    pruned = index.records.where(F.col("cell").isin(wanted)).select(
-        F.col(key).cast("string").alias(key), "embedding", "cell"
-    )
-    return _first_hits(pruned.mapInArrow(scan, schema), k, key)
+def _without_records(index: IvfIndex) -> IvfIndex:
+    """Centres and radii alone, which travel with the tasks."""
+    return IvfIndex(None, index.centres, index.radii)
+
+
+def _cells(index: IvfIndex, asked: _Asked, allowed, key: str) -> DataFrame:
+    """The records to scan: those of the wanted cells, where the questions are at hand."""
+    records = index.records.select(F.col(key).cast("string").alias(key), "embedding", "cell")
+    if asked.sent is None or asked.sent.empty:
+        return records
+    wanted = allowed(asked.sent, _matrix(asked.sent["embedding"])).any(axis=0)
+    return records.where(F.col("cell").isin([int(c) for c in np.flatnonzero(wanted)]))
+
+
+def bounded_search(index: IvfIndex, questions: DataFrame, k: int = 10, probes: int = 2,
+                   key: str = KEY) -> DataFrame:
+    """Exact nearest records, reading only cells that can hold one.
+
+    The closest ``probes`` cells give each question a ``k``-th similarity. A cell that was not read
+    can improve on it only if its centre's distance less its radius allows; those cells are read as well.
+    """
+    first = written(ivf_search(index, questions, k, probes, key), "first-hits")
+    reached = first.groupBy("question_id").agg(
+        F.when(F.count("score") == k, F.min("score")).alias("floor"))
+    limits = _with_vector(questions).join(reached, "question_id", "left").withColumn(
+        "floor", F.coalesce("floor", F.lit(-2.0)))
+    asked, bounds = _Asked.of(limits, "floor"), _without_records(index)
+
+    def allowed(block: pd.DataFrame, matrix: np.ndarray) -> np.ndarray:
+        reach = bounds.most_similar(matrix) >= block["floor"].to_numpy()[:, None] - 10.0 ** (1 - TIE_DIGITS)
+        return reach & ~bounds.probed(matrix, probes)
+
+    more = asked.settled(_scan(_cells(index, asked, allowed, key), asked, k, key, allowed))
+    return _first_hits(first.drop("rank").unionByName(more.drop("rank")), k, key)
 
 
 def recall(found: DataFrame, exact: DataFrame, key: str = KEY) -> DataFrame:

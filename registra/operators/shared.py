@@ -1,37 +1,55 @@
 """Pairs of groups that share members, without spelling out every pair of a large member.
 
-A member that belongs to ``d`` groups would yield ``d * (d - 1) / 2`` pairs. A member of more than
-``heavy`` groups is called heavy; the others make at most ``heavy`` pairs per link. What follows
-keeps the heavy ones in bounds and is exact.
+A member that belongs to ``d`` groups would yield ``d * (d - 1) / 2`` pairs. Both forms below are
+exact and rest on the same index: members are ordered by how many groups they have, and a group is
+filed only under those members that a pair of the wanted weight must share.
 
-All pairs (:func:`shared_member_pairs`): pairs must share at least two members, so each group may
-leave one member out of the pair join, and whatever pair shares two members still meets through the
-other one. The one left out is the group's largest heavy member. Whether a pair shares that member
-too is settled afterwards by comparing it, or by one lookup join on (group, member). A heavy member
-that remains is split over several tasks by blocks of one side.
+A pair of weight ``w`` shares a member besides the ``w - 1`` most frequent ones of either group, so
+each group may leave these aside. With ``cut`` as the least member that a group leaves aside, all
+shared members below both cuts meet in the index, and all others are left aside by the group with
+the lesser cut.
+
+All pairs (:func:`shared_member_pairs`): only heavy members, of more than ``heavy`` groups, are left
+aside; the others make at most ``heavy`` pairs per link. How many of the members left aside a pair
+shares is settled by comparing the two lists and looking up the rest of the lesser-cut one.
 
 The best ``k`` pairs (:func:`top_shared_pairs`):
 
-* *Small groups are dropped.* A pair shares no more members than its smaller group has. The pairs of
-  a few dozen large groups give a weight that the list reaches in any case.
-* *Pairs with a light member in common* are met through it; the heavy members they share are added
-  by a lookup.
-* *Pairs with heavy members only* all tie when their groups have the same heavy members. Groups are
-  therefore reduced to classes of equal heavy members, overlaps are worked out per pair of classes,
-  and a pair of classes is spelled out only as far as a top list can reach: ties are broken by id,
-  so the pair of the i-th and the j-th id is preceded by all pairs of earlier ids.
+* *Equal groups are one class.* Overlaps are worked out per pair of classes, and a pair of classes is
+  spelled out only as far as a top list can reach: ties are broken by id, so the pair of the i-th and
+  the j-th id is preceded by all pairs of earlier ids.
+* *The weight to reach rises.* The best pairs among the largest classes give a weight that the list
+  reaches in any case. It drops smaller classes, shortens what the others are filed under, and so
+  lets more classes be compared, which raises it again.
+* *Pairs that meet are sifted by signatures*, bit sets of the members of a class: members of one that
+  are not in the other are known to be missing. What passes is counted exactly.
+
+A member that many groups are filed under is dealt out as blocks of one side, and the number of
+tasks follows the number of pairs, not the number of links.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from registra.operators.paging import top_k_per_group
-from registra.sources.tables import written
+from registra.sources.tables import discard, written
 
 HEAVY = 2_000
+#: Pairs that a task works out.
+PAIRS_PER_TASK = 4_000_000
+#: Pairs that the blocks of a member make; a member of more than ``heavy`` groups makes more.
+PAIRS_PER_BLOCK = 1_000_000
+#: Pairs worked out to raise the weight before all classes are compared.
+PROBED_PAIRS = 20_000_000
+#: Longs in the bit set of a class.
+SIGNATURE = 4
+_BITS = tuple(f"s{i}" for i in range(SIGNATURE))
 
 
 def memberships(df: DataFrame, member: Column, group: Column) -> DataFrame:
@@ -40,14 +58,35 @@ def memberships(df: DataFrame, member: Column, group: Column) -> DataFrame:
     return pairs.where(F.col("member").isNotNull() & F.col("grp").isNotNull()).distinct()
 
 
-def _spread(rows: DataFrame, *keys: str) -> DataFrame:
-    """Rows by key over a fixed number of partitions.
+def _sizes(links: DataFrame) -> DataFrame:
+    """Members of two groups or more, with their number."""
+    return links.groupBy("member").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+
+
+def _met(rows: DataFrame, carried: tuple[str, ...], heavy: int) -> DataFrame:
+    """Pairs ``source < target`` that meet in a member, once per member, with what each row carried.
 
-    Few links make many pairs. The fixed number keeps adaptive execution from merging the
-    small-looking inputs of a pair join into a few tasks.
+    Few links make many pairs, so both sides are dealt to a number of tasks that follows the pairs;
+    it also keeps adaptive execution from merging the small-looking inputs.
     """
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, *keys)
+    sizes = written(_sizes(rows), "sizes")
+    pairs = sizes.agg(F.sum(F.col("size").cast("double") * F.col("size")) / 2).first()[0] or 0.0
+    spark = rows.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(pairs) // PAIRS_PER_TASK))
+    rows = rows.join(sizes, "member")
+    cut = F.ceil(F.col("size") * F.least("size", F.lit(heavy)) / PAIRS_PER_BLOCK)
+    blocks = F.greatest(F.ceil(F.col("size") / heavy), cut).cast("int")
+    left = rows.select(
+        "member", F.col("grp").alias("source"), F.struct(*carried).alias("a"),
+        F.pmod(F.xxhash64("grp"), blocks).cast("int").alias("block"),
+    )
+    right = rows.select(
+        "member", F.col("grp").alias("target"), F.struct(*carried).alias("b"),
+        F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"),
+    )
+    place = ["member", "block"]
+    both = left.repartition(tasks, *place).join(right.repartition(tasks, *place), place)
+    return both.where(F.col("source") < F.col("target")).drop(*place)
 
 
 def shared_member_pairs(
@@ -61,58 +100,40 @@ def shared_member_pairs(
     if at_least < 2:
         raise ValueError("pairs must share at least two members")
     links = written(links, "links")
-    sizes = links.groupBy("member").agg(F.count(F.lit(1)).alias("size"))
-    heavy_links = links.join(sizes.where(F.col("size") > heavy), "member")
-    aside = (
-        heavy_links.groupBy("grp")
-        .agg(F.max(F.struct("size", "member")).alias("aside"))
-        .select("grp", "aside")
-    )
-
-    # Every row knows which member its group leaves aside and, when heavy, its own size.
-    rows = (
-        links.join(sizes.where(F.col("size") > 1), "member")
-        .join(aside, "grp", "left")
-        .where(F.col("aside").isNull() | (F.col("member") != F.col("aside.member")))
-    )
-    blocks = F.when(F.col("size") > heavy, F.ceil(F.col("size") / heavy)).otherwise(1).cast("int")
-    left = rows.select(
-        "member",
-        F.col("grp").alias("source"),
-        F.col("aside").alias("source_aside"),
-        F.pmod(F.xxhash64("grp"), blocks).cast("int").alias("block"),
-    )
-    right = rows.select(
-        "member",
-        F.col("grp").alias("target"),
-        F.col("aside").alias("target_aside"),
-        F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"),
-    )
+    sizes = _sizes(links)
+    heavy_links = written(links.join(sizes.where(F.col("size") > heavy), "member"), "heavy_links")
+    order = [F.desc("size"), F.desc("member")]
+    kept_aside = top_k_per_group(heavy_links, ["grp"], order, at_least - 1, "place")
+    asides = kept_aside.groupBy("grp").agg(F.sort_array(F.collect_list(F.struct("size", "member"))).alias("aside"))
+
+    # a group files the links below the members it leaves aside; at most at_least - 1 are listed
+    none = F.array().cast(asides.schema["aside"].dataType)
+    rows = links.join(sizes, "member").join(asides, "grp", "left")
+    below = F.col("aside").isNull() | (F.struct("size", "member") < F.get("aside", F.lit(0)))
+    rows = rows.where(below).select("member", "grp", F.coalesce("aside", none).alias("aside"))
     met = (
-        _spread(left, "member", "block")
-        .join(_spread(right, "member", "block"), ["member", "block"])
-        .where(F.col("source") < F.col("target"))
-        .groupBy("source", "target", "source_aside", "target_aside")
+        _met(rows, ("aside",), heavy)
+        .groupBy("source", "target", F.col("a.aside").alias("a"), F.col("b.aside").alias("b"))
         .agg(F.count(F.lit(1)).alias("met"))
     )
 
-    # At most one further member can be shared: the smaller of the two left aside. (The larger
-    # one cannot belong to the other group, whose largest heavy member is the smaller one.)
-    a, b = F.col("source_aside"), F.col("target_aside")
-    differ = a.isNotNull() & b.isNotNull() & (a.member != b.member)
-    same = F.coalesce((a.member == b.member).cast("bigint"), F.lit(0))
-    settled = met.where(~differ).select("source", "target", (F.col("met") + same).alias("weight"))
-    smaller = F.least(a, b)
-    asked = met.where(differ).select(
-        "source",
-        "target",
-        "met",
-        smaller.member.alias("member"),
-        F.when(smaller == a, F.col("target")).otherwise(F.col("source")).alias("grp"),
+    # a shared member that did not meet is left aside by the group with the lesser cut; no cut is the greatest
+    a, b = F.col("a"), F.col("b")
+    a_first = (F.size(b) == 0) | ((F.size(a) > 0) & (F.get(a, F.lit(0)) <= F.get(b, F.lit(0))))
+    lesser, other = F.when(a_first, a).otherwise(b), F.when(a_first, b).otherwise(a)
+    both = (F.size(a) > 0) | (F.size(b) > 0)
+    met = met.select(
+        "source", "target", (F.col("met") + F.size(F.array_intersect(a, b))).alias("met"),
+        F.when(both, F.filter(F.array_except(lesser, other), lambda m: (F.size(other) == 0) | (m < F.get(other, F.lit(0))))).alias("asked"),
+        F.when(a_first, F.col("target")).otherwise(F.col("source")).alias("grp"),
     )
-    known = heavy_links.select("member", "grp", F.lit(1).cast("bigint").alias("hit"))
-    looked_up = asked.join(known, ["member", "grp"], "left").select(
-        "source", "target", (F.col("met") + F.coalesce("hit", F.lit(0))).alias("weight")
+    open_ones = F.size("asked") > 0
+    settled = met.where(~F.coalesce(open_ones, F.lit(False))).select("source", "target", F.col("met").alias("weight"))
+    asked = met.where(open_ones).select("source", "target", "met", "grp", F.explode("asked.member").alias("member"))
+    known = heavy_links.select("member", "grp", F.lit(1).alias("hit"))
+    looked_up = (
+        asked.join(known, ["member", "grp"], "left").groupBy("source", "target", "met")
+        .agg(F.count("hit").alias("hits")).select("source", "target", (F.col("met") + F.col("hits")).alias("weight"))
     )
     return settled.unionByName(looked_up).where(F.col("weight") >= at_least)
 
@@ -132,69 +153,86 @@ def _marks(links: DataFrame) -> DataFrame:
     )
 
 
-def _reached_weight(links: DataFrame, k: int) -> Column:
-    """Weight of the ``k``-th best pair of the largest groups; null when they have fewer pairs.
-
-    As many groups are taken as have ``4 * k`` pairs, so a member meets only that many of them.
-    """
-    sizes = links.groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
-    probe = sizes.orderBy(F.desc("n"), F.asc("grp")).limit(int((8 * k) ** 0.5) + 2)
-    near = links.join(probe, "grp", "left_semi")
-    far = near.select("member", F.col("grp").alias("other"))
-    weights = (
-        near.join(far, "member")
-        .where(F.col("grp") < F.col("other"))
-        .groupBy("grp", "other")
-        .agg(F.count(F.lit(1)).alias("weight"))
+def _summaries(links: DataFrame) -> DataFrame:
+    """Size ``n`` of every group and its signature: a bit for each member, by hash."""
+    place = F.pmod(F.xxhash64("member"), F.lit(64 * SIGNATURE)).cast("int")
+    flag = F.call_function("shiftleft", F.lit(1).cast("bigint"), place.bitwiseAND(F.lit(63)))
+    bits = [
+        F.bit_or(F.when(F.shiftright(place, 6) == i, flag).otherwise(F.lit(0).cast("bigint"))).alias(s)
+        for i, s in enumerate(_BITS)
+    ]
+    return links.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), *bits)
+
+
+def _most_shared(a: Column, b: Column) -> Column:
+    """No more members than this can be shared: bits of one that the other lacks are missing members."""
+
+    def of(x: Column, y: Column) -> Column:
+        missing = [F.bit_count(x[s].bitwiseAND(F.bitwise_not(y[s]))) for s in _BITS]
+        return x["n"] - reduce(add, missing)
+
+    return F.least(of(a, b), of(b, a))
+
+
+def _pairs_from(links: DataFrame, weight: int, heavy: int) -> DataFrame:
+    """All pairs of groups with at least ``weight`` shared members, by prefix, signature and count."""
+    rows = links.join(_sizes(links), "member")
+    rows = written(rows.join(_summaries(rows).where(F.col("n") >= weight), "grp"), "sized_links")
+    order = [F.desc("size"), F.desc("member")]
+    aside = top_k_per_group(rows.select("grp", "member", "size"), ["grp"], order, weight - 1, "place")
+    filed = rows.join(aside.select("grp", "member"), ["grp", "member"], "left_anti").drop("size") if weight > 1 else rows.drop("size")
+    met = _met(filed, ("n", *_BITS), heavy).where(_most_shared(F.col("a"), F.col("b")) >= weight)
+    # the members of the smaller group are looked up in the other
+    fewer = F.col("a.n") <= F.col("b.n")
+    asked = met.select(
+        F.when(fewer, F.col("source")).otherwise(F.col("target")).alias("grp"),
+        F.when(fewer, F.col("target")).otherwise(F.col("source")).alias("other"),
+    ).distinct()
+    members = rows.select("grp", "member")
+    there = rows.select(F.col("grp").alias("other"), "member")
+    counted = (
+        asked.join(members, "grp").join(there, ["other", "member"], "left_semi")
+        .groupBy("grp", "other").agg(F.count(F.lit(1)).alias("weight")).where(F.col("weight") >= weight)
     )
-    return weights.orderBy(F.desc("weight")).offset(k - 1).limit(1).select("weight").scalar()
+    return counted.select(F.least("grp", "other").alias("source"), F.greatest("grp", "other").alias("target"), "weight")
 
 
-def _light_pairs(light: DataFrame, heavy_links: DataFrame) -> DataFrame:
-    """Pairs with a light member in common and all members they share."""
-    loaded = heavy_links.select("grp").distinct().withColumn("loaded", F.lit(True))
-    rows = light.join(loaded, "grp", "left")
-    left = _spread(
-        rows.select("member", F.col("grp").alias("source"), F.col("loaded").alias("a")), "member"
-    )
-    right = _spread(
-        rows.select("member", F.col("grp").alias("target"), F.col("loaded").alias("b")), "member"
-    )
-    met = (
-        left.join(right, "member")
-        .where(F.col("source") < F.col("target"))
-        .groupBy("source", "target", F.coalesce(F.col("a") & F.col("b"), F.lit(False)).alias("both"))
-        .agg(F.count(F.lit(1)).alias("met"))
-    )
-    alone = met.where(~F.col("both")).select("source", "target", F.col("met").alias("weight"))
-    of_source = heavy_links.select(F.col("grp").alias("source"), "member")
-    of_target = heavy_links.select(F.col("grp").alias("target"), "member", F.lit(1).alias("hit"))
-    looked_up = (
-        met.where(F.col("both"))
-        .join(of_source, "source")
-        .join(of_target, ["target", "member"], "left")
-        .groupBy("source", "target", "met")
-        .agg(F.count("hit").alias("hits"))
-        .select("source", "target", (F.col("met") + F.col("hits")).alias("weight"))
-    )
-    return alone.unionByName(looked_up)
-
+def _reached_weight(links: DataFrame, k: int, at_least: int, heavy: int) -> int:
+    """A weight that the ``k``-th best pair has at least, from pairs of the largest groups.
 
-def _heavy_pairs(heavy_links: DataFrame, k: int, at_least: int) -> DataFrame:
-    """Pairs by their heavy members alone, as far as the best ``k`` can reach."""
-    ids = top_k_per_group(_marks(heavy_links), ["cls"], [F.asc("grp")], k + 1, "place")
+    First as many groups are compared as have ``4 * k`` pairs, then as many as make
+    ``PROBED_PAIRS`` meetings however their members are shared.
+    """
+    sizes = written(links.groupBy("grp").agg(F.count(F.lit(1)).alias("n")), "group_sizes")
+    count, largest = sizes.agg(F.count(F.lit(1)), F.max("n")).first()
+    weight, compared = at_least, 0
+    for most in (int((8 * k) ** 0.5) + 2, int((PROBED_PAIRS / max(largest or 1, 1)) ** 0.5)):
+        if not compared < most < count:
+            continue
+        compared = most
+        chosen = sizes.where(F.col("n") >= weight).orderBy(F.desc("n"), F.asc("grp")).limit(most)
+        found = _pairs_from(links.join(chosen.select("grp"), "grp", "left_semi"), weight, heavy)
+        last = found.orderBy(F.desc("weight")).offset(k - 1).limit(1).select("weight").first()
+        weight = max(weight, last["weight"]) if last else weight
+    return weight
+
+
+def _heavy_pairs(links: DataFrame, k: int, at_least: int, heavy: int = HEAVY) -> DataFrame:
+    """Pairs of groups, by classes of equal groups, as far as the best ``k`` can reach."""
+    ids = written(top_k_per_group(_marks(links), ["cls"], [F.asc("grp")], k + 1, "place"), "classes")
     held = ids.groupBy("cls").agg(F.count(F.lit(1)).alias("held"))
-    one = ids.where(F.col("place") == 1).join(held, "cls")
-    of_class = heavy_links.join(one, "grp").select("member", "cls", "held")
-    a = of_class.select("member", F.col("cls").alias("cls_a"), F.col("held").alias("held_a"))
-    b = of_class.select("member", F.col("cls").alias("cls_b"), F.col("held").alias("held_b"))
-    classes = (
-        a.join(b, "member")
-        .where(F.col("cls_a") <= F.col("cls_b"))
-        .groupBy("cls_a", "cls_b", "held_a", "held_b")
-        .agg(F.count(F.lit(1)).alias("weight"))
-        .where(F.col("weight") >= at_least)
+    one = ids.where(F.col("place") == 1).join(held, "cls").select("grp", "cls", "held")
+    of_class = written(links.join(one.select("grp"), "grp", "left_semi"), "class_links")
+    least = _reached_weight(of_class, k, at_least, heavy)
+    a = one.select(F.col("grp").alias("source"), F.col("cls").alias("cls_a"), F.col("held").alias("held_a"))
+    b = one.select(F.col("grp").alias("target"), F.col("cls").alias("cls_b"), F.col("held").alias("held_b"))
+    columns = ["cls_a", "cls_b", "held_a", "held_b", "weight"]
+    crossed = _pairs_from(of_class, least, heavy).join(a, "source").join(b, "target").select(*columns)
+    inside = one.where((F.col("held") > 1) & (F.col("cls.n") >= at_least)).select(
+        F.col("cls").alias("cls_a"), F.col("cls").alias("cls_b"), F.col("held").alias("held_a"),
+        F.col("held").alias("held_b"), F.col("cls.n").alias("weight"),
     )
+    classes = written(crossed.union(inside), "class_pairs")
 
     # Pairs of classes that come after k better pairs are not needed. One row per weight here.
     same = F.col("cls_a") == F.col("cls_b")
@@ -230,20 +268,12 @@ def top_shared_pairs(
 ) -> DataFrame:
     """The ``k`` pairs with the most shared members, ties by source and target.
 
-    A pair found both ways has its full weight on the light side and only part of it on the heavy
-    side, so the larger weight counts.
+    Members of one group and groups of fewer than ``at_least`` other members go first.
     """
     links = written(links, "links")
-    groups = links.groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
-    needed = F.greatest(F.lit(at_least), _reached_weight(links, k))
-    large = links.join(groups.where(F.col("n") >= needed), "grp", "left_semi")
-    large = written(large, "large_links")
-    sizes = large.groupBy("member").agg(F.count(F.lit(1)).alias("size"))
-    heavy_links = large.join(sizes.where(F.col("size") > heavy).select("member"), "member")
-    light = large.join(sizes.where(F.col("size").between(2, heavy)).select("member"), "member")
+    shared = links.join(_sizes(links).select("member"), "member", "left_semi")
+    groups = shared.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= at_least)
+    shared = written(shared.join(groups.select("grp"), "grp", "left_semi"), "shared_links")
+    discard(links)
     best = [F.desc("weight"), F.asc("source"), F.asc("target")]
-    met = _light_pairs(light, heavy_links).where(F.col("weight") >= at_least)
-    met = met.orderBy(*best).limit(k)
-    found = met.unionByName(_heavy_pairs(heavy_links, k, at_least))
-    pairs = found.groupBy("source", "target").agg(F.max("weight").alias("weight"))
-    return pairs.orderBy(*best).limit(k)
+    return _heavy_pairs(shared, k, at_least, heavy).orderBy(*best).limit(k)

@@ -71,10 +71,6 @@ def j04(spark, sf):
         graph.institution_edges(projects(spark, sf, *_LINK_COLUMNS)), nodes)
 
 
-def _graph(spark, sf):
-    return graph.institution_graph(projects(spark, sf, *_LINK_COLUMNS, _B), 10, LIMIT)
-
-
 _BARE = (f"trim(regexp_replace(trim(regexp_replace(label, {quoted('(?i)' + LEGAL_PREFIX)}, '')), "
          + quoted(f"^[{LABEL_QUOTES}]+|[{LABEL_QUOTES}]+$") + ", '', 'g'))")
 
@@ -83,12 +79,12 @@ _BARE = (f"trim(regexp_replace(trim(regexp_replace(label, {quoted('(?i)' + LEGAL
     f", {NODES_SQL} SELECT id, CASE WHEN length({_BARE}) > 4 THEN {_BARE} ELSE label END AS label, "
     "projects, budget_billions FROM nodes WHERE (SELECT count(DISTINCT id) FROM nodes) >= 2"))
 def g01_nodes(spark, sf):
-    return _graph(spark, sf)[0]
+    return graph.institution_graph_nodes(projects(spark, sf, *_NODE_COLUMNS), 10, LIMIT)
 
 
 @query("g01_institution_edges", with_projects(f", {EDGES_SQL}, {NODES_SQL} {INTERNAL}"))
 def g01_edges(spark, sf):
-    return _graph(spark, sf)[1]
+    return graph.institution_graph(projects(spark, sf, *_LINK_COLUMNS, _B), 10, LIMIT)[1]
 
 
 @query("j10_neighbours", with_projects(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from registra.functions import nested
 from registra.operators import cleaning, profile
@@ -32,6 +33,33 @@ def s01(spark, sf):
     )
 
 
+def _write_envelopes(cards, path):
+    """One document per year and remainder of the key, with what a reader must not trip over around the cards."""
+    place = F.row_number().over(Window.partitionBy("file").orderBy(F.col("registration_number").cast("bigint")))
+    file = F.concat_ws("-", "year_file", (F.col("registration_number").cast("bigint") % 4).cast("string"))
+    lines = cards.withColumn("file", file).select("file", place.alias("i"), F.to_json(F.struct(*cards.columns)).alias("card"))
+    head = F.when(F.col("i") == 1, r'{"note": "a \" b", "cards": [').otherwise(",")
+    last = lines.groupBy("file").agg((F.max("i") + 1).alias("i")).withColumn("value", F.lit('], "more": {"a": {"b": "]"}, "c": [{}]}}'))
+    rows = lines.select("file", "i", F.concat(head, "card").alias("value")).unionByName(last)
+    rows.repartition("file").sortWithinPartitions("file", "i").select("file", "value").write.partitionBy("file").text(path)
+
+
+@query("s01_envelopes", with_cards(
+    "SELECT registration_number, source_file AS year_file, n_name AS okogu, CAST(len(budgets) AS INTEGER) AS budgets, "
+    "row_number() OVER (PARTITION BY source_file, CAST(registration_number AS BIGINT) % 4 ORDER BY CAST(registration_number AS BIGINT)) - 1 AS place "
+    "FROM cards"
+))
+def s01_envelopes(spark, sf):
+    path = shared_dir(spark, "envelopes")
+    raw = cards(spark, sf).drop("pos").withColumnRenamed("source_file", "year_file")
+    _write_envelopes(raw, path)
+    back = snapshots.read_envelopes(spark, f"{path}/*", raw.schema)
+    return back.select(
+        "registration_number", "year_file", F.col("executor.okogu").alias("okogu"),
+        F.size("budgets").alias("budgets"), F.col("pos._in").alias("place"),
+    )
+
+
 @query("s02_flatten_structs", with_cards(
     "SELECT registration_number, c_name AS executor_name, CAST(c_custkey AS VARCHAR) AS executor_ogrn, "
     "n_name AS executor_okogu, c_mktsegment AS executor_detail_segment, "

@@ -13,7 +13,7 @@ from registra.plans.projects import (
 )
 from registra.plans.registry import dec_round, query, sql_fixed, sql_strip
 from registra.session import shared_dir
-from registra.sources.tables import KEY
+from registra.sources.tables import KEY, written
 from registra.streaming.incremental import embed_incremental
 
 _TEXT_COLUMNS = (KEY, "annotation")
@@ -68,19 +68,41 @@ def v04(spark, sf):
     return retrieval.semantic_search(vector_store(spark, sf), df, label_questions(spark, sf), 10)
 
 
-@query("v05_ivf_recall")
+LEAST_RECALL = 0.9
+
+
+@query("v05_ivf_recall", with_projects(
+    f", {STORE_SQL}, {LABEL_QUESTIONS_SQL}, {hits_sql(10)}, n AS (SELECT count(*) AS n FROM hits) "
+    "SELECT 'all cells' AS search, n AS expected, n AS found, true AS enough FROM n "
+    "UNION ALL SELECT 'bounded', n, n, true FROM n UNION ALL SELECT 'four cells', n, NULL, true FROM n"))
 def v05(spark, sf):
-    store, questions = vector_store(spark, sf), label_questions(spark, sf)
+    """Neighbours found; four of sixteen cells find 90 % at least, the other searches all of them."""
+    store, questions = retrieval.with_records(vector_store(spark, sf), projects(spark, sf, KEY)), label_questions(spark, sf)
     index = retrieval.build_ivf(store, lists=16).save(shared_dir(spark, "ivf"))
-    exact = retrieval.nearest(store, questions, 10)
-    found = {p: retrieval.ivf_search(index, questions, 10, p) for p in (1, 4, 16)}
+    exact = written(retrieval.nearest(store, questions, 10), "exact-hits")
+    found = {
+        "all cells": retrieval.ivf_search(index, questions, 10, 16),
+        "bounded": retrieval.bounded_search(index, questions, 10),
+        "four cells": retrieval.ivf_search(index, questions, 10, 4),
+    }
     parts = [
-        retrieval.recall(f, exact).select(F.lit(p).alias("probes"), "expected", "found", "recall")
-        for p, f in found.items()
+        retrieval.recall(f, exact).select(
+            F.lit(name).alias("search"), "expected", F.when(F.lit(name != "four cells"), F.col("found")).alias("found"),
+            (F.col("recall") >= LEAST_RECALL).alias("enough"))
+        for name, f in found.items()
     ]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+@query("v05_bounded_search", with_projects(
+    f", {STORE_SQL}, {ALL_QUESTIONS_SQL}, {hits_sql(10)} "
+    "SELECT question_id, registration_number, rank FROM hits"))
+def v05_bounded(spark, sf):
+    store = retrieval.with_records(vector_store(spark, sf), projects(spark, sf, KEY))
+    index = retrieval.build_ivf(store, lists=16).save(shared_dir(spark, "ivf"))
+    return retrieval.bounded_search(index, all_questions(spark, sf), 10).select("question_id", KEY, "rank")
+
+
 @query("v05_ivf_all_cells", with_projects(
     f", {STORE_SQL}, {LABEL_QUESTIONS_SQL}, {hits_sql(10)} "
     "SELECT question_id, registration_number, rank FROM hits"))

@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
+
+from registra.sources.tables import written
 
 ENVELOPE = "cards"
 
@@ -22,8 +25,8 @@ def read_snapshots(
     """Cards of all snapshot files with ``source_file`` and ``pos``.
 
     ``(source_file, pos)`` orders cards as they were written: files by name, cards by position.
-    A whole-document snapshot is parsed by one task per file; large snapshots should be JSON
-    lines (``lines=True``), which Spark splits. ``partitions`` spreads the cards of a few whole
+    A whole-document snapshot is parsed by one task per file; :func:`read_envelopes` reads large ones
+    by many tasks, and JSON lines (``lines=True``) are split by Spark. ``partitions`` spreads the cards of a few whole
     documents over more tasks for the steps that follow. Give ``schema`` (the fields of one card) to avoid
     the extra pass that finds it. A folder without snapshots is an error.
     """
@@ -74,6 +77,90 @@ def read_snapshots(
     return cards.repartition(partitions) if partitions else cards
 
 
+#: What stands before the first card of a document that :func:`read_envelopes` reads.
+_HEAD = r"^\s*(?:\{[^{\[]*\"" + ENVELOPE + r"\"\s*:\s*)?\[\s*"
+_EMPTY = _HEAD + r"\]"
+
+
+def _marks(text: Column, inside: Column) -> Column:
+    """The text without escapes and strings; ``inside`` tells whether it starts in a string."""
+    plain = F.regexp_replace(text, r"\\.", "")
+    plain = F.when(inside, F.regexp_replace(plain, '^[^"]*"?', "")).otherwise(plain)
+    return F.regexp_replace(plain, '"[^"]*("|$)', "")
+
+
+def _count(text: Column, characters: str) -> Column:
+    return F.length(text) - F.length(F.translate(text, characters, ""))
+
+
+def _running(rows: DataFrame, **values: Column) -> DataFrame:
+    """``rows`` with the sums of values over all rows before in the file.
+
+    Sums run within a split, and the sums of the splits before are added: a row per split.
+    """
+    inner = Window.partitionBy("file", "split").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    outer = Window.partitionBy("f").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0).cast("bigint")
+    sums = rows.groupBy(F.col("file").alias("f"), F.col("split").alias("s")).agg(
+        *[F.sum(v).alias(f"_{n}") for n, v in values.items()])
+    sums = sums.select("f", "s", *[F.coalesce(F.sum(f"_{n}").over(outer), zero).alias(f"_{n}") for n in values])
+    here = rows.withColumns({f"_in_{n}": F.coalesce(F.sum(v).over(inner), zero) for n, v in values.items()})
+    joined = here.join(sums, (F.col("file") == F.col("f")) & (F.col("split") == F.col("s")))
+    return joined.select(*rows.columns, *[(F.col(f"_{n}") + F.col(f"_in_{n}")).alias(n) for n in values])
+
+
+def read_envelopes(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Cards of documents ``{"cards": [...]}`` or ``[...]``, each read by many tasks.
+
+    A document is cut at closing braces, which Spark does by byte ranges. Quotes before a piece say
+    whether it starts in a string, brackets outside strings how deep it lies, and both are summed up
+    over the pieces and over the splits of the file. A card runs until the depth of the list is reached
+    again. The columns are those of :func:`read_snapshots`; ``schema`` gives the fields of a card.
+
+    In an envelope nothing nested, and no string with a bracket, may stand before the cards; what
+    follows them is ignored. Cards are objects. Any other document stops the load, as do unclosed ones.
+    """
+    raw = spark.read.option("lineSep", "}").text(path).select(
+        F.col("value").alias("text"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_name").alias("source_file"),
+        F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"),
+    )
+    pieces = written(raw, "pieces")
+    plain = F.regexp_replace("text", r"\\.", "")
+    pieces = written(_running(pieces.withColumn("q", _count(plain, '"').cast("bigint")), quotes=F.col("q")), "quoted-pieces")
+    inside = F.col("quotes") % 2 == 1
+    marks = _marks(F.col("text"), inside)
+    closed = ((F.col("quotes") + F.col("q")) % 2 == 0).cast("bigint")
+    depth = _count(F.col("marks"), "{[") - _count(F.col("marks"), "]") - F.col("closed")
+    deep = _running(pieces.withColumns({"marks": marks, "closed": closed}).withColumn("change", depth.cast("bigint")), depth=F.col("change"))
+    first = F.col("depth") == 0
+    base = F.when(F.col("text").rlike(r"^\s*\["), 1).otherwise(2)
+    heads = deep.where(first & (F.col("split") == 0) & F.col("text").rlike(r"\S")).groupBy(F.col("file").alias("f")).agg(
+        F.min_by(F.struct(base.alias("base"), F.col("text").rlike(_HEAD).alias("fits"), F.col("text").rlike(_EMPTY).alias("empty")), "at").alias("head"))
+    ends = deep.groupBy(F.col("file").alias("e")).agg(F.sum("change").alias("rest"), F.sum("q").alias("all_quotes"))
+    sound = F.col("head.fits") & F.col("rest").isin(0, -1) & (F.col("all_quotes") % 2 == 0)
+    heads = heads.join(ends, F.col("f") == F.col("e")).select(
+        "f", F.when(sound, F.col("head.base")).otherwise(F.raise_error(F.concat(F.lit("not a list of cards: "), F.col("f"))).cast("int")).alias("base"),
+        F.col("head.empty").alias("empty"),
+    )
+    known = deep.join(heads, F.col("file") == F.col("f")).where("not empty").drop("f", "empty")
+    after = F.col("depth") + F.col("change")
+    counted = _running(
+        known, card=((F.col("closed") == 1) & (after == F.col("base"))).cast("bigint"),
+        ended=((F.col("depth") == F.col("base")) & F.col("marks").rlike(r"^[\s,]*\]")).cast("bigint"),
+    )
+    over = (F.col("depth") == F.col("base")) & F.col("marks").rlike(r"^[\s,]*\]")
+    parts = counted.where((F.col("ended") == 0) & ~over)
+    whole = parts.groupBy("file", "source_file", "card").agg(
+        F.array_sort(F.collect_list(F.struct("split", "at", "text", "depth"))).alias("p"),  # the pieces of one card
+        F.max((F.col("closed") == 1) & (after == F.col("base"))).alias("done"),
+    ).where("done")
+    joined = F.concat(F.array_join(F.transform("p", lambda x: x["text"]), "}"), F.lit("}"))
+    start = F.when(F.get("p", F.lit(0))["depth"] == 0, F.regexp_replace(joined, _HEAD, "")).otherwise(F.regexp_replace(joined, r"^[\s,]+", ""))
+    cards = whole.select("source_file", "card", F.from_json(start, schema, {"mode": "FAILFAST"}).alias("c"))
+    zero = F.lit(0).cast("bigint")
+    return cards.select("c.*", "source_file", F.struct(zero.alias("_block"), zero.alias("_row"), F.col("card").alias("_in")).alias("pos"))
+
+
 def union_snapshots(*frames: DataFrame) -> DataFrame:
     """Stack frames by column name; columns a frame lacks become null."""
     if not frames:

@@ -80,6 +80,40 @@ def test_any_number_of_questions(spark, vectors, tmp_path, monkeypatch):
             retrieval.nearest_to_all(store, questions.union(odd), 5)
 
 
+def test_blocks_of_questions_take_one_scan(spark, vectors, monkeypatch):
+    store, questions, data = vectors
+    monkeypatch.setattr(retrieval, "HELD_NUMBERS", 100)
+    assert _hits(retrieval.nearest_to_all(store, questions, 5)) == _brute(data, 5)
+    monkeypatch.setattr(retrieval, "MAX_SENT_QUESTIONS", 13)
+    asked, scans = retrieval._Asked.of, []
+    scan = retrieval._scan
+    monkeypatch.setattr(retrieval, "_scan", lambda *a: scans.append(a) or scan(*a))
+    assert _hits(retrieval.nearest_to_all(store, questions, 5)) == _brute(data, 5)
+    assert len(scans) == 1 and asked(questions).blocks == 10
+
+
+@pytest.mark.parametrize("sent", [2_000, 13])
+def test_bounded_search_is_exact(spark, vectors, tmp_path, monkeypatch, sent):
+    store, questions, data = vectors
+    live = store.where(f"{KEY} != 'k007'")
+    monkeypatch.setattr(retrieval, "MAX_SENT_QUESTIONS", sent)
+    index = retrieval.build_ivf(live, lists=12).save(str(tmp_path / "ivf"))
+    for k in (1, 5, 50):
+        exact = retrieval.nearest_to_all(live, questions, k)
+        assert _hits(retrieval.bounded_search(index, questions, k, probes=1)) == _hits(exact)
+
+
+def test_radii_bound_every_cell(spark, vectors):
+    store, _, data = vectors
+    index = retrieval.build_ivf(store.where(f"{KEY} != 'k007'"), lists=12)
+    unit = {k: v / np.linalg.norm(v) for k, v in data.items() if np.linalg.norm(v)}
+    ids = sorted(unit)
+    most = index.most_similar(np.stack([unit[i] for i in ids]))
+    for r in index.records.select(KEY, "cell").collect():
+        for q, i in enumerate(ids):
+            assert unit[i] @ unit[r[KEY]] <= most[q, r["cell"]] + 1e-9
+
+
 def test_ivf_with_all_probes_is_exact(spark, vectors, tmp_path, capsys):
     store, questions, data = vectors
     live = store.where(f"{KEY} != 'k007'")

@@ -25,8 +25,8 @@ SHOWN_NEIGHBOURS = 5
 DRAWN_EDGES = 300
 # ---- end of fixed values ------------------------------------------------------------------
 
-# Words that a plan names at most.
-CHOSEN_WORDS = 5_000
+# Words that a plan names at most, and pairs that are counted without looking for these words first.
+CHOSEN_WORDS, FEW_PAIRS = 5_000, 20_000_000
 
 
 def institution_id() -> Column:
@@ -144,8 +144,11 @@ def frequent_words(words: DataFrame, k: int = EDGE_LIST) -> DataFrame:
     A pair is no more frequent than its rarer word allows, and the pairs of the most frequent words
     alone give a weight that the ``k``-th pair reaches in any case. Their number, ``sqrt(8 k) + 2``, and of the
     words that reach the weight, ``CHOSEN_WORDS``, are the most that travel with the plan; where more
-    words reach it, none is left out.
+    words reach it, none is left out. Nor is any where all pairs are few, ``FEW_PAIRS``.
     """
+    n = F.size("words").cast("double")
+    if (words.agg(F.sum(n * (n - 1) / 2)).first()[0] or 0.0) <= FEW_PAIRS:
+        return words
     bounds = written(_pair_bounds(words), "pair-bounds")
     probed = bounds.orderBy(F.desc("most"), F.asc("id")).limit(int((8 * k) ** 0.5) + 2)
     reached = pair_weights(cooccurrence_pairs(_only(words, [r["id"] for r in probed.collect()])))

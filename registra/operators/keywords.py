@@ -20,7 +20,7 @@ from registra.sources.tables import discard, written
 
 KEYWORDS = "keyword_list"
 # Most frequent terms that a task sends, and terms that it holds while it counts.
-KEPT_TERMS, HELD_TERMS = 4_096, 1 << 17
+KEPT_TERMS, HELD_TERMS = 4_096, 1 << 19
 
 
 def explode_keywords(df: DataFrame, column: str = KEYWORDS, sep: str = ";") -> DataFrame:
@@ -173,8 +173,20 @@ def share_of_max(df: DataFrame, column: str, by: list[str] | None = None) -> Dat
     return df.join(best, same).select(*df.columns, share.alias("share"))
 
 
-def _terms(df: DataFrame, column: str, sep: str) -> Column:
-    return F.transform(F.split(F.col(column), sep), lambda w: F.lower(strip(w)))
+def _parts(df: DataFrame, column: str, sep: str) -> DataFrame:
+    return df.where(F.col(column).isNotNull()).select(F.split(F.col(column), sep).alias("parts"))
+
+
+def _local_counts(df: DataFrame, column: str, sep: str) -> DataFrame:
+    """``term`` and ``n``, counted within Arrow batches; parts are counted as written and then normalised."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = pc.value_counts(pc.list_flatten(batch.column(0)))
+            yield pa.record_batch([found.field(0).cast(pa.string()), found.field(1)], names=["part", "n"])
+
+    counts = _parts(df, column, sep).mapInArrow(count, "part string, n bigint")
+    return counts.select(F.lower(strip(F.col("part"))).alias("term"), "n").where(F.col("term") != "")
 
 
 def _summaries(df: DataFrame, column: str, sep: str, kept: int) -> DataFrame:
@@ -187,33 +199,28 @@ def _summaries(df: DataFrame, column: str, sep: str, kept: int) -> DataFrame:
     """
     most = max(HELD_TERMS, 4 * kept)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, lost = pa.table({"values": pa.array([], pa.string()), "counts": pa.array([], pa.int64())}), 0
-
-        def largest(table: pa.Table, size: int) -> tuple[pa.Table, int]:
-            """The ``size`` most frequent rows, and the count of the next."""
-            if len(table) <= size:
-                return table, 0
-            order = pc.sort_indices(table, [("counts", "descending")])
-            return table.take(order[:size]), table["counts"][order[size].as_py()].as_py()
+    def largest(table: pa.Table, size: int) -> tuple[pa.Table, int]:
+        """The ``size`` most frequent rows, and the count of the next."""
+        if len(table) <= size:
+            return table, 0
+        order = pc.sort_indices(table, [("n", "descending")])
+        return table.take(order[:size]), table["n"][order[size].as_py()].as_py()
 
+    def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, lost = pa.table({"term": pa.array([], pa.string()), "n": pa.array([], pa.int64())}), 0
         for batch in batches:
-            found = pa.Table.from_struct_array(pc.value_counts(pc.list_flatten(batch.column(0))))
-            both = pa.concat_tables([held, found.cast(held.schema)])
-            held = both.group_by("values").aggregate([("counts", "sum")]).rename_columns(["values", "counts"])
+            both = pa.concat_tables([held, pa.Table.from_batches([batch]).cast(held.schema)])
+            held = both.group_by("term").aggregate([("n", "sum")]).rename_columns(["term", "n"])
             if len(held) > most:
                 held, dropped = largest(held, most // 2)
                 lost += dropped
-        held = held.filter(pc.and_kleene(pc.is_valid(held["values"]), pc.not_equal(held["values"], "")))
         held, unlisted = largest(held, kept)
-        size = len(held)
         yield pa.record_batch(
-            [pa.concat_arrays([*held["values"].chunks, pa.nulls(1, pa.string())]),
-             pa.concat_arrays([*held["counts"].chunks, pa.array([unlisted + lost])]),
-             pa.array([unlisted] * size + [0], pa.int64())], names=["term", "n", "credit"])
+            [pa.concat_arrays([*held["term"].chunks, pa.nulls(1, pa.string())]),
+             pa.concat_arrays([*held["n"].chunks, pa.array([unlisted + lost])]),
+             pa.array([unlisted] * len(held) + [0], pa.int64())], names=["term", "n", "credit"])
 
-    return df.where(F.col(column).isNotNull()).select(_terms(df, column, sep)).mapInArrow(
-        count, "term string, n bigint, credit bigint")
+    return _local_counts(df, column, sep).mapInArrow(summarise, "term string, n bigint, credit bigint")
 
 
 def top_terms(df: DataFrame, column: str = KEYWORDS, sep: str = "[;,]", n: int = 20, kept: int = KEPT_TERMS) -> DataFrame:
@@ -237,18 +244,13 @@ def top_terms(df: DataFrame, column: str = KEYWORDS, sep: str = "[;,]", n: int =
         if unseen < least or unseen == 0:
             break
     else:
-        return _counted(df.where(F.col(column).isNotNull()).select(
-            F.explode(F.split(F.col(column), sep)).alias("part"))).orderBy(*best).limit(n)
+        return _counted(_local_counts(df, column, sep)).orderBy(*best).limit(n)
     chosen = bounds.where(F.col("count") + F.col("slack") >= least)
     if chosen.where("slack > 0").isEmpty():
         return chosen.select("term", "count").orderBy(*best).limit(n)
-    terms = df.where(F.col(column).isNotNull()).select(F.explode(_terms(df, column, sep)).alias("term"))
-    asked = terms.join(chosen.select("term"), "term", "left_semi")
-    return asked.groupBy("term").agg(F.count(F.lit(1)).alias("count")).orderBy(*best).limit(n)
+    asked = _local_counts(df, column, sep).join(chosen.select("term"), "term", "left_semi")
+    return _counted(asked).orderBy(*best).limit(n)
 
 
-def _counted(parts: DataFrame) -> DataFrame:
-    """``term`` and ``count`` of all parts; parts as written are counted first, as far fewer are left to normalise."""
-    raw = parts.groupBy("part").agg(F.count(F.lit(1)).alias("count"))
-    terms = raw.select(F.lower(strip(F.col("part"))).alias("term"), "count")
-    return terms.where(F.col("term") != "").groupBy("term").agg(F.sum("count").alias("count"))
+def _counted(counts: DataFrame) -> DataFrame:
+    return counts.groupBy("term").agg(F.sum("n").alias("count"))

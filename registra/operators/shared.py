@@ -45,8 +45,10 @@ HEAVY = 2_000
 PAIRS_PER_TASK = 4_000_000
 #: Pairs that the blocks of a member make; a member of more than ``heavy`` groups makes more.
 PAIRS_PER_BLOCK = 1_000_000
-#: Pairs worked out to raise the weight before all classes are compared.
-PROBED_PAIRS = 20_000_000
+#: Pairs that a probe may make, to raise the weight before all classes are compared.
+PROBED_PAIRS = 5_000_000
+#: Pairs that are counted without any of this.
+FEW_PAIRS = 20_000_000
 #: Longs in the bit set of a class.
 SIGNATURE = 4
 _BITS = tuple(f"s{i}" for i in range(SIGNATURE))
@@ -63,25 +65,30 @@ def _sizes(links: DataFrame) -> DataFrame:
     return links.groupBy("member").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
 
 
-def _met(rows: DataFrame, carried: tuple[str, ...], heavy: int) -> DataFrame:
+def _meetings(sizes: DataFrame) -> tuple[int, int]:
+    """Pairs that meet in some member, once per member, and the size of the largest member."""
+    row = sizes.agg(F.sum(F.col("size").cast("double") * F.col("size")) / 2, F.max("size")).first()
+    return int(row[0] or 0), int(row[1] or 0)
+
+
+def _met(rows: DataFrame, sizes: DataFrame, meetings: int, carried: tuple[str, ...], heavy: int) -> DataFrame:
     """Pairs ``source < target`` that meet in a member, once per member, with what each row carried.
 
     Few links make many pairs, so both sides are dealt to a number of tasks that follows the pairs;
     it also keeps adaptive execution from merging the small-looking inputs.
     """
-    sizes = written(_sizes(rows), "sizes")
-    pairs = sizes.agg(F.sum(F.col("size").cast("double") * F.col("size")) / 2).first()[0] or 0.0
     spark = rows.sparkSession
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(pairs) // PAIRS_PER_TASK))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-meetings // PAIRS_PER_TASK))
     rows = rows.join(sizes, "member")
     cut = F.ceil(F.col("size") * F.least("size", F.lit(heavy)) / PAIRS_PER_BLOCK)
     blocks = F.greatest(F.ceil(F.col("size") / heavy), cut).cast("int")
+    a, b = ([F.struct(*carried).alias(n)] if carried else [] for n in "ab")
     left = rows.select(
-        "member", F.col("grp").alias("source"), F.struct(*carried).alias("a"),
+        "member", F.col("grp").alias("source"), *a,
         F.pmod(F.xxhash64("grp"), blocks).cast("int").alias("block"),
     )
     right = rows.select(
-        "member", F.col("grp").alias("target"), F.struct(*carried).alias("b"),
+        "member", F.col("grp").alias("target"), *b,
         F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"),
     )
     place = ["member", "block"]
@@ -89,6 +96,11 @@ def _met(rows: DataFrame, carried: tuple[str, ...], heavy: int) -> DataFrame:
     return both.where(F.col("source") < F.col("target")).drop(*place)
 
 
+def _all_weights(links: DataFrame, sizes: DataFrame, meetings: int, heavy: int) -> DataFrame:
+    met = _met(links, sizes, meetings, (), heavy)
+    return met.groupBy("source", "target").agg(F.count(F.lit(1)).alias("weight"))
+
+
 def shared_member_pairs(
     links: DataFrame, at_least: int = 2, heavy: int = HEAVY
 ) -> DataFrame:
@@ -100,7 +112,10 @@ def shared_member_pairs(
     if at_least < 2:
         raise ValueError("pairs must share at least two members")
     links = written(links, "links")
-    sizes = _sizes(links)
+    sizes = written(_sizes(links), "sizes")
+    meetings, largest = _meetings(sizes)
+    if largest <= heavy:
+        return _all_weights(links, sizes, meetings, heavy).where(F.col("weight") >= at_least)
     heavy_links = written(links.join(sizes.where(F.col("size") > heavy), "member"), "heavy_links")
     order = [F.desc("size"), F.desc("member")]
     kept_aside = top_k_per_group(heavy_links, ["grp"], order, at_least - 1, "place")
@@ -110,9 +125,10 @@ def shared_member_pairs(
     none = F.array().cast(asides.schema["aside"].dataType)
     rows = links.join(sizes, "member").join(asides, "grp", "left")
     below = F.col("aside").isNull() | (F.struct("size", "member") < F.get("aside", F.lit(0)))
-    rows = rows.where(below).select("member", "grp", F.coalesce("aside", none).alias("aside"))
+    rows = written(rows.where(below).select("member", "grp", F.coalesce("aside", none).alias("aside")), "filed")
+    sizes = written(_sizes(rows), "sizes")
     met = (
-        _met(rows, ("aside",), heavy)
+        _met(rows, sizes, _meetings(sizes)[0], ("aside",), heavy)
         .groupBy("source", "target", F.col("a.aside").alias("a"), F.col("b.aside").alias("b"))
         .agg(F.count(F.lit(1)).alias("met"))
     )
@@ -181,7 +197,8 @@ def _pairs_from(links: DataFrame, weight: int, heavy: int) -> DataFrame:
     order = [F.desc("size"), F.desc("member")]
     aside = top_k_per_group(rows.select("grp", "member", "size"), ["grp"], order, weight - 1, "place")
     filed = rows.join(aside.select("grp", "member"), ["grp", "member"], "left_anti").drop("size") if weight > 1 else rows.drop("size")
-    met = _met(filed, ("n", *_BITS), heavy).where(_most_shared(F.col("a"), F.col("b")) >= weight)
+    sizes = written(_sizes(filed), "sizes")
+    met = _met(filed, sizes, _meetings(sizes)[0], ("n", *_BITS), heavy).where(_most_shared(F.col("a"), F.col("b")) >= weight)
     # the members of the smaller group are looked up in the other
     fewer = F.col("a.n") <= F.col("b.n")
     asked = met.select(
@@ -200,21 +217,28 @@ def _pairs_from(links: DataFrame, weight: int, heavy: int) -> DataFrame:
 def _reached_weight(links: DataFrame, k: int, at_least: int, heavy: int) -> int:
     """A weight that the ``k``-th best pair has at least, from pairs of the largest groups.
 
-    First as many groups are compared as have ``4 * k`` pairs, then as many as make
-    ``PROBED_PAIRS`` meetings however their members are shared.
+    As many groups are compared as make at most ``PROBED_PAIRS`` meetings, but no fewer than have
+    ``4 * k`` pairs.
     """
-    sizes = written(links.groupBy("grp").agg(F.count(F.lit(1)).alias("n")), "group_sizes")
-    count, largest = sizes.agg(F.count(F.lit(1)), F.max("n")).first()
-    weight, compared = at_least, 0
-    for most in (int((8 * k) ** 0.5) + 2, int((PROBED_PAIRS / max(largest or 1, 1)) ** 0.5)):
-        if not compared < most < count:
-            continue
-        compared = most
-        chosen = sizes.where(F.col("n") >= weight).orderBy(F.desc("n"), F.asc("grp")).limit(most)
-        found = _pairs_from(links.join(chosen.select("grp"), "grp", "left_semi"), weight, heavy)
-        last = found.orderBy(F.desc("weight")).offset(k - 1).limit(1).select("weight").first()
-        weight = max(weight, last["weight"]) if last else weight
-    return weight
+    sizes = links.groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
+    count, least = sizes.count(), int((8 * k) ** 0.5) + 2
+    most = least
+    while most * 16 < count:
+        most *= 8
+    if most * 2 > count:
+        return at_least
+    while True:
+        chosen = sizes.orderBy(F.desc("n"), F.asc("grp")).limit(most)
+        few = written(links.join(chosen.select("grp"), "grp", "left_semi"), "probed_links")
+        shared = _sizes(few)
+        meetings = _meetings(shared)[0]
+        if meetings <= PROBED_PAIRS or most == least:
+            found = _all_weights(few, shared, meetings, heavy)
+            last = found.orderBy(F.desc("weight")).offset(k - 1).limit(1).select("weight").first()
+            discard(few)
+            return max(at_least, last["weight"]) if last else at_least
+        discard(few)
+        most = max(least, most // 8)
 
 
 def _heavy_pairs(links: DataFrame, k: int, at_least: int, heavy: int = HEAVY) -> DataFrame:
@@ -222,7 +246,8 @@ def _heavy_pairs(links: DataFrame, k: int, at_least: int, heavy: int = HEAVY) ->
     ids = written(top_k_per_group(_marks(links), ["cls"], [F.asc("grp")], k + 1, "place"), "classes")
     held = ids.groupBy("cls").agg(F.count(F.lit(1)).alias("held"))
     one = ids.where(F.col("place") == 1).join(held, "cls").select("grp", "cls", "held")
-    of_class = written(links.join(one.select("grp"), "grp", "left_semi"), "class_links")
+    repeated = not ids.where("place > 1").isEmpty()
+    of_class = written(links.join(one.select("grp"), "grp", "left_semi"), "class_links") if repeated else links
     least = _reached_weight(of_class, k, at_least, heavy)
     a = one.select(F.col("grp").alias("source"), F.col("cls").alias("cls_a"), F.col("held").alias("held_a"))
     b = one.select(F.col("grp").alias("target"), F.col("cls").alias("cls_b"), F.col("held").alias("held_b"))
@@ -268,12 +293,18 @@ def top_shared_pairs(
 ) -> DataFrame:
     """The ``k`` pairs with the most shared members, ties by source and target.
 
-    Members of one group and groups of fewer than ``at_least`` other members go first.
+    Where all links make few pairs, ``FEW_PAIRS``, these are counted; the result is the same. Else members
+    of one group and groups of fewer than ``at_least`` other members go first.
     """
     links = written(links, "links")
-    shared = links.join(_sizes(links).select("member"), "member", "left_semi")
+    best = [F.desc("weight"), F.asc("source"), F.asc("target")]
+    sizes = written(_sizes(links), "sizes")
+    meetings = _meetings(sizes)[0]
+    if meetings <= FEW_PAIRS:
+        found = _all_weights(links, sizes, meetings, heavy).where(F.col("weight") >= at_least)
+        return found.orderBy(*best).limit(k)
+    shared = links.join(sizes.select("member"), "member", "left_semi")
     groups = shared.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= at_least)
     shared = written(shared.join(groups.select("grp"), "grp", "left_semi"), "shared_links")
-    discard(links)
-    best = [F.desc("weight"), F.asc("source"), F.asc("target")]
+    discard(links, sizes)
     return _heavy_pairs(shared, k, at_least, heavy).orderBy(*best).limit(k)

@@ -177,6 +177,37 @@ def test_shared_pairs_against_brute_force(spark, name, heavy):
         assert top == best[:k]
 
 
+@pytest.mark.parametrize("name", ["hot", "copies", "mixed"])
+def test_top_pairs_by_classes(spark, monkeypatch, name):
+    monkeypatch.setattr(shared, "FEW_PAIRS", 0)
+    rows = _link_sets()[name]
+    links = shared.memberships(spark.createDataFrame(rows, "m string, g string"), F.col("m"), F.col("g"))
+    top = [(r.source, r.target, r.weight) for r in shared.top_shared_pairs(links, 50, 2, 20).collect()]
+    best = sorted(((s, t, w) for (s, t), w in _brute(set(rows)).items()), key=lambda p: (-p[2], p[0], p[1]))
+    assert top == best[:50]
+
+
+@pytest.mark.parametrize("at_least", [3])
+def test_pairs_of_higher_weight(spark, at_least):
+    rows = _link_sets()["mixed"] + _link_sets()["plain"]
+    links = shared.memberships(spark.createDataFrame(rows, "m string, g string"), F.col("m"), F.col("g"))
+    for heavy in (3, 40):
+        got = {(r.source, r.target): r.weight for r in shared.shared_member_pairs(links, at_least, heavy).collect()}
+        assert got == _brute(set(rows), at_least)
+
+
+def test_classes_of_heavy_members(spark, monkeypatch):
+    """Groups of 12 of 24 members: nearly every two share some, few share enough for the list."""
+    random.seed(5)
+    rows = [(f"h{m}", f"g{i:04d}") for i in range(400) for m in random.sample(range(24), 12)]
+    monkeypatch.setattr(shared, "FEW_PAIRS", 0)
+    links = shared.memberships(spark.createDataFrame(rows, "m string, g string"), F.col("m"), F.col("g"))
+    assert shared._reached_weight(links, 20, 2, 2_000) >= 9
+    got = [(r.source, r.target, r.weight) for r in shared.top_shared_pairs(links, 20).collect()]
+    want = sorted(((s, t, w) for (s, t), w in _brute(set(rows)).items()), key=lambda p: (-p[2], p[0], p[1]))
+    assert got == want[:20]
+
+
 def test_one_heavy_member_makes_no_pairs(spark):
     """A member of 3000 groups would give 4.5 million pairs; none of them can be an edge."""
     df = spark.range(3000).selectExpr("'hot' AS m", "cast(id AS string) AS g")

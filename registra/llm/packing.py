@@ -37,7 +37,7 @@ CLOSING = 0
 #: Bytes of text whose words are looked up together.
 READ_AT_ONCE = 1 << 21
 #: Words whose identifiers a task remembers, and the longest.
-REMEMBERED, MEMORABLE = 1 << 18, 24
+REMEMBERED, MEMORABLE = 1 << 19, 24
 #: Words that are encoded in one call.
 ENCODED_AT_ONCE = 1 << 12
 #: Bytes of identifiers that a task gives out at a time.
@@ -142,12 +142,15 @@ class _Encoder:
             coded = parts.dictionary_encode()
             which = coded.indices.to_numpy()
             blobs = self._parts(coded.dictionary.to_pylist())
-            sizes = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
+            sizes = np.fromiter(map(len, blobs), np.int32, len(blobs)) // 4
             flat = np.frombuffer(b"".join(blobs), "<u4")
             size = sizes[which]
-            before = np.concatenate([[0], np.cumsum(size)])
-            first = np.cumsum(sizes) - sizes
-            ids = flat[np.repeat(first[which] - before[:-1], size) + np.arange(before[-1])]
+            before = np.zeros(len(size) + 1, np.int32)  # a section has fewer bytes, and so identifiers, than fit
+            np.cumsum(size, out=before[1:])
+            first = np.cumsum(sizes, dtype=np.int32) - sizes
+            at = np.repeat(first[which] - before[:-1], size)
+            at += np.arange(before[-1], dtype=np.int32)
+            ids = flat[at]
             cuts = before[np.searchsorted(starts, offsets)]
             for i in range(len(offsets) - 1):
                 held.append(ids[cuts[i]: cuts[i + 1]])

@@ -10,6 +10,7 @@ document that spans blocks are added up.
 from __future__ import annotations
 
 import base64
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -27,6 +28,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 SEPARATOR = 50256
 # Fixed value: how the vocabulary's tokenizer splits text
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: White space as the pattern knows it, in runs for which its matcher would run out of stack.
+_LONG_BLANK = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{1000,}")
 FILE_BYTES = 64 << 20
 BLOCK_BYTES = 1 << 20
 #: Blocks whose separators are added up in one group; groups are then scanned themselves.
@@ -37,11 +40,34 @@ def _open(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
+class Encoder:
+    """Identifiers of texts of any length.
+
+    A long run of white space is one part of a text, but for its last character where another follows.
+    Such parts are encoded without the pattern, whose matcher fails on a million blanks.
+    """
+
+    def __init__(self, ranks: dict[bytes, int]):
+        import tiktoken
+
+        self.parts = tiktoken.Encoding("flat", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.part = tiktoken.Encoding("part", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
+
+    def encode(self, text: str) -> list[int]:
+        ids, start = [], 0
+        for run in _LONG_BLANK.finditer(text):
+            ids += self.parts.encode_ordinary(text[start: run.start()])
+            start = run.end() if run.end() == len(text) else run.end() - 1
+            ids += self.part.encode_ordinary(text[run.start(): start])
+        return ids + self.parts.encode_ordinary(text[start:])
+
+
 def write_flat(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY, separator: int = SEPARATOR) -> DataFrame:
     """Encode texts into flat files of 16-bit identifiers in the shared folder.
 
     Returns ``key``, ``file`` and ``ordinal``, the place of the document in its file: what was written
-    where, but no lengths. Null and empty texts are written as a bare separator. A task that is run
+    where, but no lengths. Null and empty texts are written as a bare separator; runs of white space, letters
+    or marks may have any length. A task that is run
     again writes files of its own; only the files of the run that counted are listed.
     """
     spark = docs.sparkSession
@@ -50,10 +76,8 @@ def write_flat(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabul
         table = spark.sparkContext.broadcast(f.read())  # a fixed file, under 1 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import tiktoken
-
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, table.value.splitlines())}
-        encoding = tiktoken.Encoding("flat", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        encoder = Encoder(ranks)
         system, root = _open(folder)
         system.create_dir(root, recursive=True)
         name, out, ordinal, size = "", None, 0, 0
@@ -64,7 +88,7 @@ def write_flat(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabul
                     if out is None:
                         name = uuid.uuid4().hex
                         out, ordinal, size = system.open_output_stream(f"{root}/{name}"), 0, 0
-                    ids = encoding.encode_ordinary(value.as_py() or "")
+                    ids = encoder.encode(value.as_py() or "")
                     ids.append(separator)
                     blob = np.array(ids, np.uint16).tobytes()
                     out.write(blob)

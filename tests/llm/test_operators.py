@@ -629,3 +629,13 @@ def test_ranges_of_repeated_rows_come_once(spark):
 def test_kept_hash_is_of_the_joined_words(spark):
     row = substrings.remove_repeats(frame(spark, [(1, " a\tb  ")])).select(F.sha2("__cut.kept", 256).alias("h")).first()
     assert row["h"] == hashlib.sha256(b"a b").hexdigest()
+
+
+def test_long_runs_are_encoded_as_the_pattern_has_them(spark):
+    with open(VOCABULARY, "rb") as f:
+        encoder = tokens.Encoder({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)})
+    for t in (" " * 3000, "a" + " " * 3000 + "b", "\n" * 2500 + "x", " \n\t" * 1500 + "y z", ("x" + " " * 1500) * 3, "a b" + "\r\n" * 1000, "　" * 1200 + ".", ""):
+        assert encoder.encode(t) == encoder.parts.encode_ordinary(t)
+    rows = [(1, " " * 2_000_000), (2, "\n" * 1_500_000 + "x"), (3, "a" * 500_000), (4, "1" * 500_000), (5, " \n word" * 200_000)]
+    got = {r["doc_id"]: r["n_tokens"] for r in tokens.token_counts(frame(spark, rows)).collect()}
+    assert got == {i: len(encoder.encode(t)) for i, t in rows}

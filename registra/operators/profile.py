@@ -184,7 +184,8 @@ def radix_median(df: DataFrame, column: str) -> float | None:
             ranks[i] -= int(upto[digit - 1]) if digit else 0
             middle[i] = prefix << DIGIT_BITS | digit
     discard(values)
-    return (_double(middle[0]) + _double(middle[1])) / 2
+    low, high = map(_double, middle)
+    return low if low == high else (low + high) / 2
 
 
 def numeric_profile(df: DataFrame, column: str = BUDGET) -> DataFrame:

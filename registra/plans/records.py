@@ -36,7 +36,8 @@ def s01(spark, sf):
 def _write_envelopes(cards, path):
     """One document per year and remainder of the key, with what a reader must not trip over around the cards."""
     place = F.row_number().over(Window.partitionBy("file").orderBy(F.col("registration_number").cast("bigint")))
-    file = F.concat_ws("-", "year_file", (F.col("registration_number").cast("bigint") % 4).cast("string"))
+    # a number: Spark would sort a string anew before it writes, and lose the order of the lines
+    file = F.regexp_extract("year_file", r"\d+", 0).cast("int") * 10 + (F.col("registration_number").cast("bigint") % 4).cast("int")
     lines = cards.withColumn("file", file).select("file", place.alias("i"), F.to_json(F.struct(*cards.columns)).alias("card"))
     head = F.when(F.col("i") == 1, r'{"note": "a \" b", "cards": [').otherwise(",")
     last = lines.groupBy("file").agg((F.max("i") + 1).alias("i")).withColumn("value", F.lit('], "more": {"a": {"b": "]"}, "c": [{}]}}'))

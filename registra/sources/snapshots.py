@@ -136,8 +136,12 @@ def read_envelopes(spark: SparkSession, path: str, schema: T.StructType) -> Data
     base = F.when(F.col("text").rlike(r"^\s*\["), 1).otherwise(2)
     heads = deep.where(first & (F.col("split") == 0) & F.col("text").rlike(r"\S")).groupBy(F.col("file").alias("f")).agg(
         F.min_by(F.struct(base.alias("base"), F.col("text").rlike(_HEAD).alias("fits"), F.col("text").rlike(_EMPTY).alias("empty")), "at").alias("head"))
-    ends = deep.groupBy(F.col("file").alias("e")).agg(F.sum("change").alias("rest"), F.sum("q").alias("all_quotes"))
-    sound = F.col("head.fits") & F.col("rest").isin(0, -1) & (F.col("all_quotes") % 2 == 0)
+    ends = deep.groupBy(F.col("file").alias("e")).agg(
+        F.sum("change").alias("rest"), F.sum("q").alias("all_quotes"), F.max_by("text", F.struct("split", "at")).alias("last"))
+    # what follows the last brace is a piece too, for which a closing brace was counted
+    listed = (F.col("head.base") == 1) & F.col("last").rlike(r"\]\s*$")
+    left = F.when(listed | F.col("last").rlike(r"^\s+$"), -1).otherwise(0)
+    sound = F.col("head.fits") & (F.col("rest") == left) & (F.col("all_quotes") % 2 == 0)
     heads = heads.join(ends, F.col("f") == F.col("e")).select(
         "f", F.when(sound, F.col("head.base")).otherwise(F.raise_error(F.concat(F.lit("not a list of cards: "), F.col("f"))).cast("int")).alias("base"),
         F.col("head.empty").alias("empty"),

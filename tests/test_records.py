@@ -355,3 +355,60 @@ def test_upsert_is_idempotent(spark):
     once = changes.upsert(base, new, order="seq")
     assert _rows(once) == [("a", 1), ("b", 6), ("c", 7)]
     assert _rows(changes.upsert(once, new, order="seq")) == _rows(once)
+
+
+# ---- envelopes in byte ranges -------------------------------------------------------------
+
+
+CARD = "a bigint, s string, n struct<x: string>, l array<struct<y: bigint>>"
+
+
+def _cards(n):
+    texts = ["plain", "}{][", 'quote " and \\ backslash', "}, {", "\\", "é\n", "", None]
+    return [{"a": i, "s": texts[i % len(texts)], "n": {"x": "]}" * (i % 3)}, "l": [{"y": j} for j in range(i % 4)]} for i in range(n)]
+
+
+@pytest.mark.parametrize("indent", [None, 2])
+@pytest.mark.parametrize("form", ["{cards}", '{{"n": 1, "t": "a \\" b", "cards": {cards}, "rest": {{"m": {{"k": "]"}}, "l": [{{}}]}}}}'])
+def test_envelopes_are_read_in_ranges(spark, tmp_path, indent, form):
+    import json
+
+    from pyspark.sql import types as T
+
+    schema = T.StructType.fromDDL(CARD)
+    for name, n in (("2020.json", 300), ("2021.json", 1), ("2022.json", 0)):
+        text = json.dumps(_cards(n), indent=indent, ensure_ascii=False)
+        (tmp_path / name).write_text(form.format(cards=text) + "\n", encoding="utf-8")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")  # many splits per file
+    try:
+        got = snapshots.read_envelopes(spark, str(tmp_path), schema).orderBy("source_file", "pos").collect()
+        splits = spark.read.option("lineSep", "}").text(str(tmp_path / "2020.json")).rdd.getNumPartitions()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert splits > 3
+    want = [("2020.json", c) for c in _cards(300)] + [("2021.json", c) for c in _cards(1)]
+    assert [(r["source_file"], r.asDict(True)) for r in got] == [
+        (f, {**c, "source_file": f, "pos": {"_block": 0, "_row": 0, "_in": c["a"]}}) for f, c in want]
+
+
+@pytest.mark.parametrize("text", ['{"cards": [{"a": 1}', '[{"a": 1}, {"a": ]', '{"cards": {"a": 1}}', '[{"a": "x}]', '{"x": {"cards": [{"a": 1}]}}'])
+def test_broken_envelopes_stop_the_load(spark, tmp_path, text):
+    from pyspark.sql import types as T
+
+    (tmp_path / "x.json").write_text(text)
+    with pytest.raises(Exception):
+        snapshots.read_envelopes(spark, str(tmp_path), T.StructType.fromDDL(CARD)).collect()
+
+
+@pytest.mark.parametrize("values", [[], [3.0], [1.0, 2.0], [-0.0, 0.0, 5.0], [float("inf"), -1e308, 1e308], [7.0] * 5 + [1.0, 9.0], [-3.5, -3.25, 1e-310, 2.0]])
+def test_radix_median(spark, values):
+    df = spark.createDataFrame([(v,) for v in [*values, None, float("nan")]], "v double")
+    assert profile.radix_median(df, "v") == (statistics.median(values) if values else None)
+
+
+def test_radix_median_of_many_values(spark):
+    """A million distinct values with a heavy tie in the middle."""
+    df = spark.range(1_000_000).selectExpr("CASE WHEN id % 3 = 0 THEN 0.1 ELSE (id - 500000) * 1.37 END AS v")
+    values = [0.1 if i % 3 == 0 else (i - 500000) * 1.37 for i in range(1_000_000)]
+    assert profile.radix_median(df, "v") == statistics.median(values)

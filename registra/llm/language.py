@@ -204,7 +204,8 @@ def probabilities(w: Weights, column: pa.Array) -> np.ndarray:
 def training_windows(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", lang: str = "lang"):
     """Windows and languages of at most ``SAMPLE_TEXTS`` texts of each language, those with the least hash of their key.
 
-    So a language is learned however small its share; of a key with several languages the first counts.
+    So a language is learned however small its share; of a key with several languages the first counts,
+    of its rows the one with the least hash of its text.
     ``learn`` is a condition on ``__id``. ``WINDOWS_PER_TEXT`` windows are drawn from each text.
     """
     known = docs.select(F.col(key).alias("__id"), F.col(lang).alias("__lang")).where(learn).where("__id is not null and __lang is not null")
@@ -231,7 +232,8 @@ def training_windows(docs: DataFrame, learn: Column, key: str = "doc_id", text:
             out.append(b"".join(data[p * LENGTH: (p + 1) * LENGTH].ljust(LENGTH, b"\0") for p in pick.tolist()))
         return pa.array(out, pa.binary())
 
-    rows = texts.select("__id", "__lang", drawn("__id", "__text").alias("w")).toArrow()
+    single = texts.groupBy("__id", "__lang").agg(F.min_by("__text", F.xxhash64("__text")).alias("__text"))
+    rows = single.select("__id", "__lang", drawn("__id", "__text").alias("w")).toArrow()
     rows = sorted(zip(rows["__id"].to_pylist(), rows["__lang"].to_pylist(), rows["w"].to_pylist()))
     rows = [r for r in rows if r[2]]
     names = sorted({r[1] for r in rows})

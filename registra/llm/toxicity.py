@@ -213,7 +213,8 @@ def training_rows(
 ) -> tuple[list[str], list[int], float]:
     """Texts and labels, and the share of toxic ones in all that may be learned from.
 
-    The texts are those of at most ``SAMPLE`` rows of each kind, those with the least hash of their key.
+    The texts are those of at most ``SAMPLE`` keys of each kind, those with the least hash; of the rows of
+    a key the one with the least hash of its text is taken.
     ``learn`` is a condition on ``__id``. Texts over ``SAMPLE_CHARS`` characters are not learned from.
     """
     known = labels.select(F.col(key).alias("__id"), F.col(label).cast("int").alias("__label")).where(learn)
@@ -224,12 +225,12 @@ def training_rows(
     for kind, most in SAMPLE.items():
         some = known.where(F.col("__label") == kind).orderBy(*order).limit(most)
         chosen = some if chosen is None else chosen.union(some)
-    # bounded by SAMPLE
+    # one row of each key, so bounded by SAMPLE
     rows = (
         docs.select(F.col(key).alias("__key"), F.col(text).alias("__text"))
         .join(F.broadcast(chosen), F.col("__key") == F.col("__id"))
         .where(F.length("__text") <= SAMPLE_CHARS)
-        .select("__id", "__label", "__text").toArrow()
+        .groupBy("__id", "__label").agg(F.min_by("__text", F.xxhash64("__text")).alias("__text")).toArrow()
     )
     rows = sorted(zip(rows["__id"].to_pylist(), rows["__label"].to_pylist(), rows["__text"].to_pylist()))
     return [r[2] for r in rows], [r[1] for r in rows], share

@@ -639,3 +639,14 @@ def test_long_runs_are_encoded_as_the_pattern_has_them(spark):
     rows = [(1, " " * 2_000_000), (2, "\n" * 1_500_000 + "x"), (3, "a" * 500_000), (4, "1" * 500_000), (5, " \n word" * 200_000)]
     got = {r["doc_id"]: r["n_tokens"] for r in tokens.token_counts(frame(spark, rows)).collect()}
     assert got == {i: len(encoder.encode(t)) for i, t in rows}
+
+
+def test_repeated_keys_give_one_training_row(spark):
+    rows, labels = _toxic_table(60)
+    rows += [(0, f"copy {i} of a key") for i in range(500)]
+    known = spark.createDataFrame(labels, "doc_id bigint, toxic int")
+    texts, kinds, _ = toxicity.training_rows(frame(spark, rows), known, F.lit(True))
+    assert len(texts) == len(kinds) == 60
+    docs = spark.createDataFrame([(i, t, "en" if i % 2 else "fr") for i, t in rows], "doc_id bigint, text string, lang string")
+    windows, label, names = language.training_windows(docs, F.lit(True))
+    assert names == ["en", "fr"] and len(windows) == len(label) <= 60 * language.WINDOWS_PER_TEXT

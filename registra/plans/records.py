@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -34,30 +35,37 @@ def s01(spark, sf):
 
 
 def _write_envelopes(cards, path):
-    """One document per year and remainder of the key, with what a reader must not trip over around the cards."""
-    place = F.row_number().over(Window.partitionBy("file").orderBy(F.col("registration_number").cast("bigint")))
-    # a number: Spark would sort a string anew before it writes, and lose the order of the lines
-    file = F.regexp_extract("year_file", r"\d+", 0).cast("int") * 10 + (F.col("registration_number").cast("bigint") % 4).cast("int")
-    lines = cards.withColumn("file", file).select("file", place.alias("i"), F.to_json(F.struct(*cards.columns)).alias("card"))
-    head = F.when(F.col("i") == 1, r'{"note": "a \" b", "cards": [').otherwise(",")
-    last = lines.groupBy("file").agg((F.max("i") + 1).alias("i")).withColumn("value", F.lit('], "more": {"a": {"b": "]"}, "c": [{}]}}'))
-    rows = lines.select("file", "i", F.concat(head, "card").alias("value")).unionByName(last)
-    rows.repartition("file").sortWithinPartitions("file", "i").select("file", "value").write.partitionBy("file").text(path)
+    """Documents of many cards each, one per task, with what a reader must not trip over around the cards."""
+
+    def document(batches):
+        mark = r'{"note": "a \" b", "cards": ['
+        for batch in batches:
+            lines = []
+            for card in batch.column(0).to_pylist():
+                lines.append(mark + card)
+                mark = ","
+            yield pa.record_batch([pa.array(lines, pa.string())], names=["value"])
+        end = '], "more": {"a": {"b": "]"}, "c": [{}]}}'
+        yield pa.record_batch([pa.array([end if mark == "," else mark + end])], names=["value"])
+
+    rows = cards.repartition("registration_number").sortWithinPartitions("registration_number", "pos")
+    rows.select(F.to_json(F.struct(*cards.drop("pos").columns))).mapInArrow(document, "value string").write.text(path)
 
 
 @query("s01_envelopes", with_cards(
     "SELECT registration_number, source_file AS year_file, n_name AS okogu, CAST(len(budgets) AS INTEGER) AS budgets, "
-    "row_number() OVER (PARTITION BY source_file, CAST(registration_number AS BIGINT) % 4 ORDER BY CAST(registration_number AS BIGINT)) - 1 AS place "
-    "FROM cards"
+    "CAST(row_number() OVER (PARTITION BY source_file, registration_number ORDER BY o_orderkey) AS INTEGER) AS place FROM cards"
 ))
 def s01_envelopes(spark, sf):
+    """The cards of a key are in one document, in their order."""
     path = shared_dir(spark, "envelopes")
-    raw = cards(spark, sf).drop("pos").withColumnRenamed("source_file", "year_file")
+    raw = cards(spark, sf).withColumnRenamed("source_file", "year_file")
     _write_envelopes(raw, path)
-    back = snapshots.read_envelopes(spark, f"{path}/*", raw.schema)
+    back = snapshots.read_envelopes(spark, path, raw.drop("pos").schema)
+    order = Window.partitionBy("year_file", "registration_number").orderBy("source_file", "pos")
     return back.select(
         "registration_number", "year_file", F.col("executor.okogu").alias("okogu"),
-        F.size("budgets").alias("budgets"), F.col("pos._in").alias("place"),
+        F.size("budgets").alias("budgets"), F.row_number().over(order).alias("place"),
     )
 
 

@@ -323,3 +323,32 @@ def test_rollups(spark):
     assert [r.institution for r in geo.city_organisations(placed, 1).orderBy("city").collect()] == [
         "Казань два", "Омск"]
     assert [r.city for r in geo.top_cities(cities, "budget", 1).collect()] == ["Казань"]
+
+
+# ---- bounds of top lists ------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("kept,held", [(3, 16), (40, 64), (4_096, 1 << 19)])
+@pytest.mark.parametrize("shape", ["skewed", "flat"])
+def test_top_terms_by_bounds(spark, monkeypatch, shape, kept, held):
+    """Few terms are sent by a task, so what was not sent decides whether more passes are needed."""
+    random.seed(7)
+    pick = (lambda: int(random.paretovariate(0.7))) if shape == "skewed" else (lambda: random.randrange(300))
+    lists = ["; ".join(f"{random.choice(['', ' '])}{random.choice('Tt')}{pick() % 900}" for _ in range(random.randrange(40))) for _ in range(200)]
+    df = spark.createDataFrame([(x,) for x in [*lists, None, "", " ;,; "]], "keyword_list string").repartition(6)
+    counts = Counter(w for x in lists for w in (p.strip().lower() for p in x.replace(",", ";").split(";")) if w)
+    monkeypatch.setattr(keywords, "HELD_TERMS", held)
+    got = [(r["term"], r["count"]) for r in keywords.top_terms(df, n=12, kept=kept).collect()]
+    assert got == sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:12]
+
+
+def test_rare_words_pair_with_none(spark, monkeypatch):
+    random.seed(8)
+    lists = [list({f"w{int(random.paretovariate(0.5))}" for _ in range(10)}) for _ in range(400)]
+    words = spark.createDataFrame([(x,) for x in lists], "words array<string>")
+    monkeypatch.setattr(graph, "FEW_PAIRS", 0)
+    kept = graph.frequent_words(words, 20)
+    assert graph.cooccurrence_pairs(kept).count() < graph.cooccurrence_pairs(words).count()
+    best = [F.desc("weight"), F.asc("source"), F.asc("target")]
+    top = [tuple(r) for r in graph.pair_weights(graph.cooccurrence_pairs(kept)).orderBy(*best).limit(20).collect()]
+    assert top == [tuple(r) for r in graph.pair_weights(graph.cooccurrence_pairs(words)).orderBy(*best).limit(20).collect()]

@@ -23,7 +23,6 @@ from pyspark.sql import functions as F
 from registra.sources.tables import discard, written
 
 ARITY = 3
-_ROW = (1 << 33) - 1  # the lower bits of monotonically_increasing_id hold the place in the partition
 
 
 def _hex(digest: Column) -> Column:
@@ -50,6 +49,7 @@ def _placed(rows: DataFrame) -> DataFrame:
     Rows are sorted by range partitions and numbered by the sizes of the pieces that groups have in
     the partitions before. Numbers of groups ascend in group order.
     """
+    rows = written(rows, "manifest-digests")  # range partitioning reads its rows twice, the texts behind them only once
     at = F.monotonically_increasing_id()
     ordered = rows.repartitionByRange("grp", "key", "h").sortWithinPartitions("grp", "key", "h")
     ordered = written(ordered.withColumns({"part": F.shiftright(at, 33), "at": at}), "manifest-rows")
@@ -63,7 +63,7 @@ def _placed(rows: DataFrame) -> DataFrame:
     met = ordered.join(pieces, (F.col("part") == F.col("p")) & F.col("grp").eqNullSafe(F.col("g")))
     placed = met.select(*rows.columns, "gid", (F.col("before") + F.col("at") - F.col("first")).alias("idx"), "n")
     placed = written(placed, "manifest-leaves")
-    discard(ordered)
+    discard(rows, ordered)
     return placed
 
 

@@ -41,9 +41,14 @@ def work_dir(spark: SparkSession) -> str:
     """The folder that holds what this application writes between steps.
 
     It lies in the folder the cluster names in ``spark.checkpoint.dir``; where that is unset, in the
-    warehouse, which driver and executors share as well. Never in a machine's temporary folder.
+    warehouse, unless that is a local folder of a cluster, which its executors do not share. Never in
+    a machine's temporary folder.
     """
-    parent = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    parent = spark.conf.get("spark.checkpoint.dir", None)
+    if not parent:
+        parent = spark.conf.get("spark.sql.warehouse.dir")
+        if parent.startswith(("file:", "/")) and not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{parent} is local to each machine: set spark.checkpoint.dir to a shared folder")
     return f"{parent.rstrip('/')}/registra-{spark.sparkContext.applicationId}"
 
 

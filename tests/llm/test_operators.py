@@ -592,7 +592,7 @@ def test_tiles_equal_brute_force():
         item = np.array([rng.randrange(4) for _ in range(rng.randrange(0, 40))], np.uint64)
         doc = np.array([rng.randrange(4) for _ in range(rng.randrange(0, 60))], np.uint64)
         got, want = decontam.tile(item, doc, 3), _tiles(item.tolist(), doc.tolist(), 3)
-        assert sorted(t[0] for t in got) == sorted(t[0] for t in want)
+        assert got == want
 
 
 def test_contaminated_documents(spark):
@@ -614,6 +614,42 @@ def test_contaminated_documents(spark):
     assert decontam.contaminated(frame(spark, rows), bench.limit(0)).count() == 0
 
 
+def test_equal_tokens_are_tiled_in_linear_work():
+    ones = [np.ones(n, np.uint64) for n in (20_000, 200_000)]
+    assert decontam.tile(*ones, 5) == [(20_000, 0, 0)]
+    assert decontam._near(ones[1], ones[0], 5).tolist() == ones[1].tolist()
+
+
+def test_pairs_on_rare_seeds_lose_nothing(spark):
+    """Few different words, so that seeds are shared by many; against the tiling of all pairs."""
+    rng = random.Random(18)
+    stock = [text(rng, 6, 4) for _ in range(6)]
+
+    def made(n):
+        return " ".join(rng.choice(stock) if rng.random() < 0.7 else text(rng, 4, 10**6) for _ in range(n))
+
+    items, docs = [(i, made(rng.randrange(1, 6))) for i in range(25)], [(i, made(rng.randrange(1, 9))) for i in range(40)]
+    hashed = [[decontam.token_hashes.func(pa.array([t])).to_pylist()[0] for _, t in rows] for rows in (items, docs)]
+    want = {}
+    for i, one in enumerate(hashed[0]):
+        for d, many in enumerate(hashed[1]):
+            tiles = decontam.tile(np.array(one, np.int64).view(np.uint64), np.array(many, np.int64).view(np.uint64), 5)
+            if 2 * sum(t[0] for t in tiles) >= len(one):
+                want[d, i] = (sum(t[0] for t in tiles), len(tiles))
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id): (r.covered, r.n_tiles) for r in decontam.contaminated(frame(spark, docs), bench).collect()}
+    assert got == want and len(want) > 20
+
+
+def test_a_phrase_common_to_all_pairs_nothing(spark):
+    rng = random.Random(19)
+    rows = [(i, f"{text(rng, 30, 10**9)} which of the following is {text(rng, 30, 10**9)}") for i in range(300)]
+    items = [(i, f"{text(rng, 8, 10**9)} which of the following is {text(rng, 12, 10**9)}") for i in range(60)]
+    rows.append((1000, rows[0][1] + " " + items[7][1]))
+    got = decontam.contaminated(frame(spark, rows), spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    assert [(r.doc_id, r.item_id, r.covered) for r in got] == [(1000, 7, 25)]
+
+
 def test_ranges_of_repeated_rows_come_once(spark):
     rng = random.Random(19)
     passage = text(rng, 80, 10**9)

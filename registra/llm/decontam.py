@@ -21,6 +21,8 @@ from registra.sources.tables import written
 
 LEAST = 5
 COVERAGE = 0.5
+#: Pairs that a task tiles, up to so many tasks. Cost only, never the result.
+PAIRS_PER_TASK, MOST_TASKS = 500, 20_000
 
 
 def _tokens(column: pa.Array):
@@ -279,13 +281,14 @@ def contaminated(
         "anchors",
     )
     listed = spark.sparkContext.broadcast(bitsets.build(anchors, "seed", anchors.count()))
-    pairs = hits.where(bitsets.member(listed, F.col("seed"))).join(anchors, "seed").select("id", "tk", "item", "ik").distinct()
+    pairs = written(hits.where(bitsets.member(listed, F.col("seed"))).join(anchors, "seed").select("id", "tk", "item", "ik").distinct(), "pairs")
+    tasks = min(MOST_TASKS, 1 + pairs.count() // PAIRS_PER_TASK)  # by pairs, since their bytes do not tell the work
     tokens = suspects.select(F.col("id").alias("d_id"), F.col("tk").alias("d_tk"), "doc_tokens").dropDuplicates(["d_id", "d_tk"])
     item_tokens = items.select(F.col("item").alias("i_item"), F.col("ik").alias("i_ik"), "item_tokens")
     joined = (
         pairs.join(tokens, F.col("id").eqNullSafe(F.col("d_id")) & (F.col("tk") == F.col("d_tk")))
         .join(item_tokens, F.col("item").eqNullSafe(F.col("i_item")) & (F.col("ik") == F.col("i_ik")))
-        .select("id", "tk", "item", "doc_tokens", "item_tokens")
+        .select("id", "tk", "item", "doc_tokens", "item_tokens").repartition(tasks, "id", "tk", "item")
     )
     fields = "n_tokens: bigint, covered: bigint, n_tiles: bigint, longest: bigint"
 

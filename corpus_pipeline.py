@@ -8,11 +8,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from registra.llm import bitsets, decontam, mixing, simhash, substrings, toxicity
 from registra.llm.queries import remainder, table
 from registra.sources.tables import written
 
+#: What the last stage adds.
+MIXED = ("size", "source_size", "target", "taken")
+
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the threshold stay."""
@@ -44,9 +48,20 @@ def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How many words of each document the mix takes."""
-    rows = mixing.mix(docs.select(F.col("doc_id").alias("id"), mixing.word_count("text").alias("size"), "source"))
-    return rows.withColumnRenamed("id", "doc_id")
+    """Every document with how many of its words the mix takes, repeats counted.
+
+    ``size``, ``source_size``, ``target`` and ``taken`` are added; they replace columns of that name. A
+    document is named by the hash of its whole row, so null and repeated ids keep their texts; of equal
+    rows one text is shuffled.
+    """
+    hashed = [f.name for f in docs.schema if not isinstance(f.dataType, T.MapType)]  # maps have no hash
+    named = docs.select(
+        F.xxhash64(*hashed).alias("id"), mixing.word_count("text").alias("size"), "source", F.struct(*docs.columns).alias("row")
+    )
+    mixed = mixing.mix(named.select("id", "size", "source"))
+    texts = named.groupBy("id", "size").agg(F.first("row").alias("row"))
+    kept = [F.col(f"row.{c}").alias(c) for c in docs.columns if c not in MIXED]
+    return mixed.join(texts, ["id", "size"]).select(*kept, *MIXED)
 
 
 STAGES = [
@@ -57,7 +72,7 @@ STAGES = [
     ("source_mix", source_mix),
 ]
 
-#: Scores, fingerprints and dependent rounding have no counterpart in SQL; the tests use brute force.
+#: Scores, fingerprints and dependent rounding have no counterpart in SQL; tests/llm/test_pipeline.py holds the stages against brute force.
 ORACLE_SQL = None
 
 

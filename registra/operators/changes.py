@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from registra.sources.tables import KEY
+from registra.sources.tables import KEY, written
 
 # ---- fixed values: attributes a change may set --------------------------------------------
 CHANGEABLE = (
@@ -44,14 +44,16 @@ def apply_inserts(
 
     Every row of ``new`` is either added or a conflict. Of the rows of a key the first in ``order``
     is added (rows without an order count as last); ties, and all rows without ``order``, are taken
-    in no particular order.
+    in no particular order. The rows of a key are never brought together: its first row is an
+    aggregate, and rows are told apart by a number given when the batch is written.
     """
-    marked = _ranked(new.where(F.col(KEY).isNotNull()), order, last=False)
-    known = base.where(F.col(KEY).isNotNull()).select(KEY).distinct().withColumn("_known", F.lit(True))
-    marked = marked.join(known, KEY, "left")
-    fresh = F.col("_known").isNull() & (F.col("_n") == 1)
-    conflicts = marked.where(~fresh).select(*new.columns).union(new.where(F.col(KEY).isNull()))
-    return base.unionByName(_aligned(marked.where(fresh), base)), conflicts
+    rows = written(new.withColumn("_at", F.monotonically_increasing_id()), "inserts")
+    place = [F.col("_at")] if order is None else [F.col(order).isNull(), F.col(order), F.col("_at")]
+    first = rows.where(F.col(KEY).isNotNull()).groupBy(KEY).agg(F.min_by("_at", F.struct(*place)).alias("_at"))
+    fresh = first.join(base.select(KEY), KEY, "left_anti").select("_at")
+    added = rows.join(fresh, "_at", "left_semi").select(*new.columns)
+    conflicts = rows.join(fresh, "_at", "left_anti").select(*new.columns)
+    return base.unionByName(_aligned(added, base)), conflicts
 
 
 def apply_updates(

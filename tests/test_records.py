@@ -303,6 +303,18 @@ def _batch(spark, rows):
     return spark.createDataFrame(rows, "registration_number string, name string, seq int")
 
 
+def test_a_key_that_fills_the_batch_is_inserted_once(spark, few):
+    new = spark.range(30_000).select(
+        F.when(F.col("id") % 3 > 0, "hot").otherwise(F.concat(F.lit("k"), "id")).alias(KEY), (30_000 - F.col("id")).alias("seq"),
+        F.col("id").cast("string").alias("name"),
+    )
+    result, conflicts = changes.apply_inserts(few, new, "seq")
+    assert [r.name for r in result.where(f"{KEY} = 'hot'").collect()] == ["29999"]
+    assert result.count() == few.count() + 10_001 and conflicts.count() == 19_999
+    for df in (result, conflicts):  # no task ranks the rows of a key
+        assert "Window" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_inserts(spark, few):
     new = _batch(spark, [("1", "taken", 1), ("8", "second", 3), ("8", "first", 2), ("9", "nine", 4)])
     result, conflicts = changes.apply_inserts(few, new, "seq")

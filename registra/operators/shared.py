@@ -13,6 +13,9 @@ All pairs (:func:`shared_member_pairs`): only heavy members, of more than ``heav
 aside; the others make at most ``heavy`` pairs per link. How many of the members left aside a pair
 shares is settled by comparing the two lists and looking up the rest of the lesser-cut one.
 
+Before either, where that shuffles less: groups meet in two members at once (:func:`_pairs_by_twos`), so that pairs
+of weight one, nearly all where members are spread at random, are not spelled out.
+
 The best ``k`` pairs (:func:`top_shared_pairs`):
 
 * *Equal groups are one class.* Overlaps are worked out per pair of classes, and a pair of classes is
@@ -49,6 +52,10 @@ PAIRS_PER_BLOCK = 1_000_000
 PROBED_PAIRS = 5_000_000
 #: Pairs that are counted without any of this.
 FEW_PAIRS = 20_000_000
+#: Members of a group up to which its pairs of members are spelled out.
+FEW_MEMBERS = 64
+#: Rows a link, with those of every shuffle, up to which a top list is made from pairs of members.
+ROWS_PER_LINK = 32
 #: Longs in the bit set of a class.
 SIGNATURE = 4
 _BITS = tuple(f"s{i}" for i in range(SIGNATURE))
@@ -101,6 +108,57 @@ def _all_weights(links: DataFrame, sizes: DataFrame, meetings: int, heavy: int)
     return met.groupBy("source", "target").agg(F.count(F.lit(1)).alias("weight"))
 
 
+def _twos(lists: DataFrame) -> DataFrame:
+    """Each two members of a group, the lesser first."""
+    first = lists.select("grp", "members", F.posexplode("members").alias("i", "first"))
+    rest = F.slice("members", F.col("i") + 2, F.size("members"))
+    return first.select("grp", "first", F.explode(rest).alias("second"))
+
+
+def _pairs_by_twos(links: DataFrame, sizes: DataFrame, most: int, heavy: int) -> DataFrame | None:
+    """All pairs of groups with at least two shared members, met in two members at once.
+
+    A pair that shares ``w`` members meets ``w * (w - 1) / 2`` times, which gives its weight; pairs that share one
+    member never meet. Pairs with a group of more than ``FEW_MEMBERS`` members meet member by member. None where
+    this shuffles more than ``most`` rows, or more than ``heavy`` groups hold the same two members.
+    """
+    spark = links.sparkSession
+    numbered = written(sizes.withColumn("id", F.monotonically_increasing_id()), "numbered_members")
+    rows = written(links.join(numbered, "member").select(F.col("id").alias("member"), "grp", "size"), "met_links")
+    groups = rows.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("meets"))
+    n, few = F.col("n").cast("double"), F.col("n") <= FEW_MEMBERS
+    spelled, large = groups.agg(F.sum(F.when(few, n * (n - 1) / 2)), F.sum(F.when(~few, F.col("meets")))).first()
+    rest = most - int(large or 0) - 3 * int(spelled or 0)
+    if rest < 0:
+        discard(numbered, rows)
+        return None
+    many = written(groups.where(~few).select("grp"), "large_groups")
+    lists = rows.join(many, "grp", "left_anti") if large else rows
+    lists = lists.groupBy("grp").agg(F.array_sort(F.collect_list("member")).alias("members")).where(F.size("members") > 1)
+    lists = written(lists, "member_lists")
+    key = ["first", "second"]
+    twos = _twos(lists).groupBy(*key).agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    twos = written(twos, "twos")
+    meetings, largest = _meetings(twos)
+    if meetings > rest or largest > heavy:
+        discard(numbered, rows, many, lists, twos)
+        return None
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-meetings // PAIRS_PER_TASK))
+    met = _twos(lists).join(twos.select(*key), key, "left_semi").repartition(tasks, *key)
+    both = met.withColumnRenamed("grp", "source").join(met.withColumnRenamed("grp", "target"), key)
+    times = both.where(F.col("source") < F.col("target")).groupBy("source", "target").agg(F.count(F.lit(1)).alias("c"))
+    pairs = times.select("source", "target", F.round((F.sqrt(8 * F.col("c") + 1) + 1) / 2).cast("bigint").alias("weight"))
+    if not large:
+        return pairs
+    flagged = rows.join(many.withColumn("large", F.lit(True)), "grp", "left").fillna(False, "large")
+    touched = flagged.where("large").select("member").distinct()
+    flagged = written(flagged.join(touched, "member", "left_semi").drop("size"), "touched_links")
+    shared = written(_sizes(flagged), "sizes")
+    beside = _met(flagged, shared, _meetings(shared)[0], ("large",), heavy).where("a.large OR b.large")
+    beside = beside.groupBy("source", "target").agg(F.count(F.lit(1)).alias("weight"))
+    return pairs.unionByName(beside.where("weight > 1"))
+
+
 def shared_member_pairs(
     links: DataFrame, at_least: int = 2, heavy: int = HEAVY
 ) -> DataFrame:
@@ -114,6 +172,9 @@ def shared_member_pairs(
     links = written(links, "links")
     sizes = written(_sizes(links), "sizes")
     meetings, largest = _meetings(sizes)
+    pairs = _pairs_by_twos(links, sizes, meetings, heavy) if meetings > FEW_PAIRS else None
+    if pairs is not None:
+        return pairs.where(F.col("weight") >= at_least)
     if largest <= heavy:
         return _all_weights(links, sizes, meetings, heavy).where(F.col("weight") >= at_least)
     heavy_links = written(links.join(sizes.where(F.col("size") > heavy), "member"), "heavy_links")
@@ -303,6 +364,9 @@ def top_shared_pairs(
     if meetings <= FEW_PAIRS:
         found = _all_weights(links, sizes, meetings, heavy).where(F.col("weight") >= at_least)
         return found.orderBy(*best).limit(k)
+    found = _pairs_by_twos(links, sizes, min(meetings, ROWS_PER_LINK * links.count()), heavy) if at_least > 1 else None
+    if found is not None:
+        return found.where(F.col("weight") >= at_least).orderBy(*best).limit(k)
     shared = links.join(sizes.select("member"), "member", "left_semi")
     groups = shared.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= at_least)
     shared = written(shared.join(groups.select("grp"), "grp", "left_semi"), "shared_links")

@@ -187,6 +187,36 @@ def test_top_pairs_by_classes(spark, monkeypatch, name):
     assert top == best[:50]
 
 
+@pytest.mark.parametrize("few_members", [64, 6])
+def test_pairs_that_share_one_member_are_not_spelled_out(spark, monkeypatch, few_members):
+    random.seed(41)
+    groups = {f"g{i}": set(random.sample(range(100), random.randint(1, 4))) for i in range(600)}
+    groups["big"] = set(range(0, 100, 3))
+    rows = [(f"m{m}", g) for g, ms in groups.items() for m in ms]
+    links = spark.createDataFrame(rows, "member string, grp string").repartition(3)
+    want = sorted((-len(groups[a] & groups[b]), a, b) for a, b in itertools.combinations(sorted(groups), 2)
+                  if len(groups[a] & groups[b]) > 1)
+
+    def other_way(*args):
+        raise AssertionError("pairs met in single members")
+
+    for name, value in (("FEW_PAIRS", 0), ("FEW_MEMBERS", few_members), ("_all_weights", other_way), ("_heavy_pairs", other_way)):
+        monkeypatch.setattr(shared, name, value)
+    monkeypatch.setattr(shared, "ROWS_PER_LINK", 1000)
+    pairs = shared._pairs_by_twos(links, shared._sizes(links), 10**9, 20)
+    assert sorted((-r.weight, r.source, r.target) for r in pairs.collect()) == want
+    for found in (shared.top_shared_pairs(links, 25), shared.shared_member_pairs(links)):
+        got = [(-r.weight, r.source, r.target) for r in found.collect()]
+        assert sorted(got) == want[:len(got)] and len(got) in (25, len(want))
+
+
+def test_pairs_by_twos_leave_large_work_to_the_others(spark):
+    links = spark.createDataFrame([(f"m{m}", f"g{g}") for g in range(30) for m in range(4)], "member string, grp string")
+    sizes = shared._sizes(links)
+    assert shared._pairs_by_twos(links, sizes, 100, 1000) is None  # 180 pairs of members alone
+    assert shared._pairs_by_twos(links, sizes, 10**9, 20) is None  # 30 groups hold the same two members
+
+
 @pytest.mark.parametrize("at_least", [3])
 def test_pairs_of_higher_weight(spark, at_least):
     rows = _link_sets()["mixed"] + _link_sets()["plain"]

@@ -35,8 +35,8 @@ MAX_SENT_QUESTIONS = 2_000
 HELD_NUMBERS = 1 << 23
 # Files that the rows of one cell are written to.
 FILES_PER_CELL = 4
-# Similarities worked out at a time in one task.
-MAX_PRODUCTS = 4_000_000
+# Similarities worked out at a time in one task, with what says whether they are allowed.
+MAX_PRODUCTS = 1_000_000
 # Similarities that agree to this many digits are ties and are ordered by key.
 TIE_DIGITS = 9
 
@@ -224,11 +224,12 @@ class _TopK:
         self.keys = np.array([], dtype=object)
         self.score = np.array([], dtype=np.float64)
 
-    def add(self, keys: np.ndarray, vectors: np.ndarray, allowed: np.ndarray | None = None):
+    def add(self, keys: np.ndarray, vectors: np.ndarray, cells: np.ndarray | None = None, allowed: np.ndarray | None = None):
+        """``allowed`` has a row for each question and a column for each cell."""
         step = max(self.k + 1, MAX_PRODUCTS // max(1, len(self.questions)))
         for i in range(0, len(keys), step):
             part = slice(i, i + step)
-            self._add(keys[part], vectors[part], None if allowed is None else allowed[part])
+            self._add(keys[part], vectors[part], None if allowed is None else allowed[:, cells[part]].T)
 
     def _add(self, keys: np.ndarray, vectors: np.ndarray, allowed: np.ndarray | None):
         sims = np.round(vectors @ self.questions.T, TIE_DIGITS) + 0.0
@@ -311,7 +312,7 @@ def _scan(
             for block in asked.each():
                 matrix = _matrix(block["embedding"])
                 best = _TopK(matrix, k)
-                best.add(keys, vectors, None if allowed is None else allowed(block, matrix)[:, cells].T)
+                best.add(keys, vectors, cells, None if allowed is None else allowed(block, matrix))
                 yield best.batch(block["question_id"].to_numpy(dtype=object), key)
 
     return _first_hits(records.mapInArrow(scan, _HITS.format(key=key)), k, key)

@@ -196,3 +196,24 @@ def test_project_brief_defaults(spark):
     got = [r[0] for r in df.select(context.project_brief(*[F.col(c) for c in df.columns])).collect()]
     assert 'project: "k1". \nBudget: unknown. \nYear: unknown.\nInstitution: unknown.\nFocus: general research.' in got[0]
     assert "Budget: 1.3 million RUB. \nYear: 2021.\nInstitution: Org.\nFocus: a,  b, c." in got[1]
+
+
+def test_allowed_cells_are_spread_out_part_by_part(monkeypatch):
+    """200 questions and 60,000 records would make 12 MB of flags at once."""
+    import tracemalloc
+
+    monkeypatch.setattr(retrieval, "MAX_PRODUCTS", 100_000)
+    random = np.random.default_rng(3)
+    vectors, questions = (retrieval._unit_rows(random.normal(size=(n, 4))) for n in (60_000, 200))
+    keys = np.array([f"{i:05d}" for i in range(len(vectors))], dtype=object)
+    cells, allowed = random.integers(0, 8, len(vectors)), random.random((200, 8)) < 0.4
+    best = retrieval._TopK(questions, 3)
+    tracemalloc.start()
+    try:
+        best.add(keys, vectors, cells, allowed)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 9_000_000
+    sims = np.where(allowed[7, cells], np.round(vectors @ questions[7], retrieval.TIE_DIGITS), -2)
+    assert sorted(best.keys[best.q == 7]) == sorted(keys[np.lexsort((keys, -sims))[:3]])

@@ -14,6 +14,7 @@ from registra.plans.registry import dec_round, money, query, sql_strip
 _B = "budget_total_thousands"
 _COLUMNS = ("year", _B, "keyword_list")
 TOP = 12
+RECORDS_PER_TASK = 250_000
 
 CELLS_SQL = f"""cells AS (
   SELECT year, lower(trim(kw)) AS keyword, count(*) AS projects,
@@ -48,7 +49,10 @@ def _grid(spark, sf):
     "SELECT registration_number, kw AS keyword_raw, count(*) AS n FROM (SELECT registration_number, "
     "unnest(string_split(keyword_list, ';')) AS kw FROM projects) GROUP BY 1, 2"))
 def j02(spark, sf):
-    parts = keywords.explode_keywords(projects(spark, sf, "registration_number", "keyword_list"))
+    """The records are dealt out first, so that a task holds the keywords of so many, however large the input is."""
+    tasks = -(-projects(spark, sf, "registration_number").count() // RECORDS_PER_TASK)
+    records = projects(spark, sf, "registration_number", "keyword_list").repartition(max(1, tasks))
+    parts = keywords.explode_keywords(records)
     return parts.groupBy("registration_number", "keyword_raw").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -382,3 +382,27 @@ def test_rare_words_pair_with_none(spark, monkeypatch):
     best = [F.desc("weight"), F.asc("source"), F.asc("target")]
     top = [tuple(r) for r in graph.pair_weights(graph.cooccurrence_pairs(kept)).orderBy(*best).limit(20).collect()]
     assert top == [tuple(r) for r in graph.pair_weights(graph.cooccurrence_pairs(words)).orderBy(*best).limit(20).collect()]
+
+
+def test_tasks_of_exploded_keywords_follow_the_records(spark, tmp_path, monkeypatch):
+    import datetime
+
+    from registra.plans import topics
+
+    day = datetime.datetime(1996, 1, 2)
+    tables = {
+        "orders": ([(i // 2, 1, "F", 1.0, day, "1-URGENT") for i in range(30)],
+                   "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp, o_orderpriority string"),
+        "customer": ([(1, "C", 1, 0.0, "SEG")], "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"),
+        "nation": ([(1, "N")], "n_nationkey int, n_name string"),
+        "lineitem": ([(i, 1, 1, 1) for i in range(14)], "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int"),
+        "part": ([(1, "a a", "B", "T")], "p_partkey long, p_name string, p_brand string, p_type string"),
+    }
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    monkeypatch.setattr(topics, "RECORDS_PER_TASK", 7)
+    found = topics.j02(spark, str(tmp_path))
+    plan = found._jdf.queryExecution().toString()
+    assert "RoundRobinPartitioning(5)" in plan  # 30 records
+    words = {"a": 2, " a": 2, " B": 2, " T": 2, " SEG": 2, " N": 2}
+    assert sorted(tuple(r) for r in found.collect()) == sorted((str(i), w, n) for i in range(14) for w, n in words.items())

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -82,62 +85,140 @@ _HEAD = r"^\s*(?:\{[^{\[]*\"" + ENVELOPE + r"\"\s*:\s*)?\[\s*"
 _EMPTY = _HEAD + r"\]"
 
 
-def _marks(text: Column, inside: Column) -> Column:
-    """The text without escapes and strings; ``inside`` tells whether it starts in a string."""
-    plain = F.regexp_replace(text, r"\\.", "")
-    plain = F.when(inside, F.regexp_replace(plain, '^[^"]*"?', "")).otherwise(plain)
-    return F.regexp_replace(plain, '"[^"]*("|$)', "")
-
-
-def _count(text: Column, characters: str) -> Column:
-    return F.length(text) - F.length(F.translate(text, characters, ""))
-
-
-def _running(rows: DataFrame, **values: Column) -> DataFrame:
-    """``rows`` with the sums of values over all rows before in the file.
-
-    Sums run within a split, and the sums of the splits before are added: a row per split.
-    """
-    inner = Window.partitionBy("file", "split").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    outer = Window.partitionBy("f").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    zero = F.lit(0).cast("bigint")
-    sums = rows.groupBy(F.col("file").alias("f"), F.col("split").alias("s")).agg(
-        *[F.sum(v).alias(f"_{n}") for n, v in values.items()])
-    sums = sums.select("f", "s", *[F.coalesce(F.sum(f"_{n}").over(outer), zero).alias(f"_{n}") for n in values])
-    here = rows.withColumns({f"_in_{n}": F.coalesce(F.sum(v).over(inner), zero) for n, v in values.items()})
-    joined = here.join(sums, (F.col("file") == F.col("f")) & (F.col("split") == F.col("s")))
-    return joined.select(*rows.columns, *[(F.col(f"_{n}") + F.col(f"_in_{n}")).alias(n) for n in values])
+#: What a byte outside strings adds to the depth.
+_DEPTH = np.zeros(256, np.int64)
+_DEPTH[[ord(c) for c in "{["]], _DEPTH[[ord(c) for c in "}]"]] = 1, -1
+
+
+def _brackets(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Places of the brackets, the number of quotes before each, and that of all quotes; escaped quotes are none."""
+    quotes = np.flatnonzero(data == ord('"'))
+    plain = np.flatnonzero(data != ord("\\"))
+    if len(plain) < len(data):
+        before = np.searchsorted(plain, quotes)
+        last = np.where(before > 0, plain[before - 1], -1)
+        quotes = quotes[(quotes - 1 - last) % 2 == 0]
+    at = np.flatnonzero(_DEPTH[data])
+    return at, np.searchsorted(quotes, at), len(quotes)
+
+
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, bool]]:
+    """The rows of each batch that are of one split, their bytes with the braces, and whether another split begins."""
+    last = None
+    for b in batches:
+        if not len(b):
+            continue
+        files, splits = b.column("file").dictionary_encode().indices.to_numpy(), b.column("split").to_numpy()
+        cuts = np.flatnonzero((np.diff(files) != 0) | (np.diff(splits) != 0)) + 1
+        for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(b)]):
+            part = b.slice(i, j - i)
+            texts = pc.binary_join_element_wise(part.column("text").cast(pa.large_string()), pa.scalar("", pa.large_string()), pa.scalar("}", pa.large_string()))
+            place = (part.column("file")[0].as_py(), part.column("split")[0].as_py())
+            ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+            yield part, np.frombuffer(texts.buffers()[2], np.uint8)[ends[0] : ends[-1]], place != last
+            last = place
+
+
+def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row per split: its quotes, what it adds to the depth, the least depth that a closing bracket leaves (each for a
+    start outside and inside a string), its first and last piece."""
+    row, names = None, ("file", "split", "quotes", "outside", "inside", "low_outside", "low_inside", "head", "last")
+
+    def told():
+        return pa.RecordBatch.from_pylist([dict(zip(names, [*row[:3], *row[3], *row[4], *row[5:]]))], _SURVEY)
+
+    for part, data, fresh in _stretches(batches):
+        if fresh:
+            if row:
+                yield told()
+            row = [part.column("file")[0].as_py(), part.column("split")[0].as_py(), 0, [0, 0], [None, None], part.column("text")[0].as_py(), None]
+        at, before, quotes = _brackets(data)
+        kind = data[at]
+        for h in (0, 1):
+            out = (before + row[2] + h) % 2 == 0
+            depth = row[3][h] + np.cumsum(np.where(out, _DEPTH[kind], 0))
+            low = depth[out & (kind == ord("]"))]
+            if len(low):
+                row[4][h] = int(low.min()) if row[4][h] is None else min(row[4][h], int(low.min()))
+            row[3][h] = int(depth[-1])
+        row[2] += quotes
+        row[6] = part.column("text")[len(part) - 1].as_py()
+    if row:
+        yield told()
+
+
+_SURVEY = pa.schema([("file", pa.string()), ("split", pa.int64()), *[(n, pa.int64()) for n in ("quotes", "outside", "inside", "low_outside", "low_inside")],
+                     ("head", pa.string()), ("last", pa.string())])
+_SEGMENTS = pa.schema([("file", pa.string()), ("source_file", pa.string()), ("split", pa.int64()), ("n", pa.int64()), ("text", pa.string()), ("done", pa.bool_())])
+
+
+def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What lies between the ends of cards, numbered within the split; the last segment of a split may be open."""
+    carry, n, over, name = b"", 0, True, None
+
+    def rows(data: bytes, ends: list[int], done: bool) -> pa.RecordBatch:
+        offsets = np.array([0, *ends], np.int32)
+        k = len(ends)
+        texts = pa.StringArray.from_buffers(k, pa.py_buffer(offsets), pa.py_buffer(data))
+        columns = [pa.array([v] * k, _SEGMENTS.types[i]) for i, v in enumerate(name)]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(np.arange(n, n + k)), texts, pa.array([done] * k)], schema=_SEGMENTS)
+
+    for part, data, fresh in _stretches(batches):
+        if fresh:
+            if carry and not over:
+                yield rows(carry, [len(carry)], False)
+            first = part.slice(0, 1).to_pylist()[0]
+            name = (first["file"], first["source_file"], first["split"])
+            carry, n, over, quotes, depth, base = b"", 0, first["over"], int(first["starts_inside"]), first["depth"], first["base"]
+        if over:
+            continue
+        at, before, more = _brackets(data)
+        kind = data[at]
+        out = (before + quotes) % 2 == 0
+        deep = depth + np.cumsum(np.where(out, _DEPTH[kind], 0))
+        left = np.flatnonzero(out & (kind == ord("]")) & (deep < base))
+        over = len(left) > 0
+        closes = out & (kind == ord("}")) & (deep == base)
+        ends = at[closes] if not over else at[closes & (np.arange(len(at)) < left[0])]
+        whole, start = carry + data.tobytes(), len(carry)
+        if len(ends):
+            yield rows(whole, (ends + start + 1).tolist(), True)
+            n += len(ends)
+        carry = b"" if over else whole[int(ends[-1]) + start + 1:] if len(ends) else whole
+        quotes, depth = quotes + more, int(deep[-1])
+    if carry and not over:
+        yield rows(carry, [len(carry)], False)
 
 
 def read_envelopes(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Cards of documents ``{"cards": [...]}`` or ``[...]``, each read by many tasks.
 
-    A document is cut at closing braces, which Spark does by byte ranges. Quotes before a piece say
-    whether it starts in a string, brackets outside strings how deep it lies, and both are summed up
-    over the pieces and over the splits of the file. A card runs until the depth of the list is reached
-    again. The columns are those of :func:`read_snapshots`; ``schema`` gives the fields of a card.
+    A document is cut at closing braces, which Spark does by byte ranges, and read twice. The first reading
+    tells of each split its quotes and brackets, for a start inside and outside a string; summed up over the splits
+    of the file they say how each split starts. The second cuts it into cards, which run until the depth of the
+    list is reached again. Only cards that cross splits are shuffled. The columns are those of :func:`read_snapshots`; ``schema`` gives the fields of a card.
 
     In an envelope nothing nested, and no string with a bracket, may stand before the cards; what
     follows them is ignored. Cards are objects. Any other document stops the load, as do unclosed ones.
     """
-    raw = spark.read.option("lineSep", "}").text(path).select(
+    pieces = spark.read.option("lineSep", "}").text(path).select(
         F.col("value").alias("text"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_name").alias("source_file"),
-        F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"),
+        F.col("_metadata.file_block_start").alias("split"),
     )
-    pieces = written(raw, "pieces")
-    plain = F.regexp_replace("text", r"\\.", "")
-    pieces = written(_running(pieces.withColumn("q", _count(plain, '"').cast("bigint")), quotes=F.col("q")), "quoted-pieces")
-    inside = F.col("quotes") % 2 == 1
-    marks = _marks(F.col("text"), inside)
-    closed = ((F.col("quotes") + F.col("q")) % 2 == 0).cast("bigint")
-    depth = _count(F.col("marks"), "{[") - _count(F.col("marks"), "]") - F.col("closed")
-    deep = _running(pieces.withColumns({"marks": marks, "closed": closed}).withColumn("change", depth.cast("bigint")), depth=F.col("change"))
-    first = F.col("depth") == 0
-    base = F.when(F.col("text").rlike(r"^\s*\["), 1).otherwise(2)
-    heads = deep.where(first & (F.col("split") == 0) & F.col("text").rlike(r"\S")).groupBy(F.col("file").alias("f")).agg(
-        F.min_by(F.struct(base.alias("base"), F.col("text").rlike(_HEAD).alias("fits"), F.col("text").rlike(_EMPTY).alias("empty")), "at").alias("head"))
-    ends = deep.groupBy(F.col("file").alias("e")).agg(
-        F.sum("change").alias("rest"), F.sum("q").alias("all_quotes"), F.max_by("text", F.struct("split", "at")).alias("last"))
+    survey = pieces.mapInArrow(
+        _survey, "file string, split bigint, quotes bigint, outside bigint, inside bigint, low_outside bigint, low_inside bigint, head string, last string")
+    before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    splits = written(survey, "splits")  # a row per split
+    splits = splits.withColumn("starts_inside", F.coalesce(F.sum("quotes").over(before) % 2 == 1, F.lit(False)))
+    splits = splits.withColumn("change", F.when(F.col("starts_inside"), F.col("inside")).otherwise(F.col("outside")))
+    splits = splits.withColumn("depth", F.coalesce(F.sum("change").over(before), F.lit(0).cast("bigint")))
+    low = F.col("depth") + F.when(F.col("starts_inside"), F.col("low_inside")).otherwise(F.col("low_outside"))
+    splits = splits.withColumn("low", F.min(low).over(before))
+    base = F.when(F.col("head").rlike(r"^\s*\["), 1).otherwise(2)
+    heads = splits.where((F.col("split") == 0) & F.col("head").rlike(r"\S")).select(
+        F.col("file").alias("f"), F.struct(base.alias("base"), F.col("head").rlike(_HEAD).alias("fits"), F.col("head").rlike(_EMPTY).alias("empty")).alias("head"))
+    ends = splits.groupBy(F.col("file").alias("e")).agg(
+        F.sum("change").alias("rest"), F.sum("quotes").alias("all_quotes"), F.max_by("last", "split").alias("last"))
     # what follows the last brace is a piece too, for which a closing brace was counted
     listed = (F.col("head.base") == 1) & F.col("last").rlike(r"\]\s*$")
     left = F.when(listed | F.col("last").rlike(r"^\s+$"), -1).otherwise(0)
@@ -146,20 +227,22 @@ def read_envelopes(spark: SparkSession, path: str, schema: T.StructType) -> Data
         "f", F.when(sound, F.col("head.base")).otherwise(F.raise_error(F.concat(F.lit("not a list of cards: "), F.col("f"))).cast("int")).alias("base"),
         F.col("head.empty").alias("empty"),
     )
-    known = deep.join(heads, F.col("file") == F.col("f")).where("not empty").drop("f", "empty")
-    after = F.col("depth") + F.col("change")
-    counted = _running(
-        known, card=((F.col("closed") == 1) & (after == F.col("base"))).cast("bigint"),
-        ended=((F.col("depth") == F.col("base")) & F.col("marks").rlike(r"^[\s,]*\]")).cast("bigint"),
-    )
-    over = (F.col("depth") == F.col("base")) & F.col("marks").rlike(r"^[\s,]*\]")
-    parts = counted.where((F.col("ended") == 0) & ~over)
-    whole = parts.groupBy("file", "source_file", "card").agg(
-        F.array_sort(F.collect_list(F.struct("split", "at", "text", "depth"))).alias("p"),  # the pieces of one card
-        F.max((F.col("closed") == 1) & (after == F.col("base"))).alias("done"),
-    ).where("done")
-    joined = F.concat(F.array_join(F.transform("p", lambda x: x["text"]), "}"), F.lit("}"))
-    start = F.when(F.get("p", F.lit(0))["depth"] == 0, F.regexp_replace(joined, _HEAD, "")).otherwise(F.regexp_replace(joined, r"^[\s,]+", ""))
+    starts = splits.join(heads, F.col("file") == F.col("f")).where("not empty").select(
+        "f", F.col("split").alias("s"), "starts_inside", "depth", "base", F.coalesce(F.col("low") < F.col("base"), F.lit(False)).alias("over"))
+    # both readings have the same splits, since the second one is written here
+    known = pieces.join(F.broadcast(starts), (F.col("file") == F.col("f")) & (F.col("split") == F.col("s"))).drop("f", "s")
+    segments = written(known.mapInArrow(_segments, "file string, source_file string, split bigint, n bigint, text string, done boolean"), "segments")
+    counts = segments.groupBy(F.col("file").alias("f"), F.col("split").alias("s")).agg(F.count_if("done").alias("cards"))
+    earlier = Window.partitionBy("f").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("f", "s", F.coalesce(F.sum("cards").over(earlier), F.lit(0).cast("bigint")).alias("cards"))
+    placed = segments.join(F.broadcast(counts), (F.col("file") == F.col("f")) & (F.col("split") == F.col("s")))
+    placed = placed.withColumn("card", F.col("cards") + F.col("n"))
+    inner = F.col("done") & ((F.col("n") > 0) | (F.col("split") == 0))
+    across = placed.where(~inner).groupBy("file", "source_file", "card").agg(
+        F.array_sort(F.collect_list(F.struct("split", "text"))).alias("p"), F.max("done").alias("done")).where("done")  # the segments of one card
+    across = across.select("source_file", "card", F.array_join(F.transform("p", lambda x: x["text"]), "").alias("text"))
+    whole = placed.where(inner).select("source_file", "card", "text").unionByName(across)
+    start = F.when(F.col("card") == 0, F.regexp_replace("text", _HEAD, "")).otherwise(F.regexp_replace("text", r"^[\s,]+", ""))
     cards = whole.select("source_file", "card", F.from_json(start, schema, {"mode": "FAILFAST"}).alias("c"))
     zero = F.lit(0).cast("bigint")
     return cards.select("c.*", "source_file", F.struct(zero.alias("_block"), zero.alias("_row"), F.col("card").alias("_in")).alias("pos"))

@@ -413,6 +413,45 @@ def test_broken_envelopes_stop_the_load(spark, tmp_path, text):
         snapshots.read_envelopes(spark, str(tmp_path), T.StructType.fromDDL(CARD)).collect()
 
 
+@pytest.mark.parametrize("size", [1, 7, 40])
+def test_splits_of_an_envelope_are_cut_without_a_shuffle(size):
+    """Starts of splits from their surveys, and cards from segments, against one look at the whole text."""
+    import json
+    import re
+
+    import pyarrow as pa
+
+    pieces = ('{"cards": ' + json.dumps(_cards(60)) + ', "more": {"a": {"b": "]"}}}').split("}")
+    rows = [{"text": p, "file": "f", "source_file": "f", "split": i // 16} for i, p in enumerate(pieces)]
+
+    def batches(**more):
+        for i in range(0, len(rows), size):
+            yield pa.RecordBatch.from_pylist([{**r, **{k: v[r["split"]] for k, v in more.items()}} for r in rows[i : i + size]])
+
+    told = [r for b in snapshots._survey(batches()) for r in b.to_pylist()]
+    starts = {k: [] for k in ("starts_inside", "depth", "base", "over")}
+    quotes, depth, low = 0, 0, 9
+    for s, r in enumerate(told):
+        text = re.sub(r"\\.", "", "}".join(pieces[: s * 16]) + "}" * (s > 0))
+        outside = "".join(text.split('"')[::2])
+        assert r["split"] == s and quotes == text.count('"')
+        assert depth == sum(outside.count(c) for c in "{[") - sum(outside.count(c) for c in "}]")
+        for name, value in zip(starts, (quotes % 2 == 1, depth, 2, low < 2)):
+            starts[name].append(value)
+        start, fell = depth, r["low_inside" if quotes % 2 else "low_outside"]
+        low = low if fell is None else min(low, start + fell)
+        depth += r["inside" if quotes % 2 else "outside"]
+        quotes += r["quotes"]
+    segments = [r for b in snapshots._segments(batches(**starts)) for r in b.to_pylist()]
+    cards, card = [], ""
+    for r in segments:
+        card += r["text"]
+        if r["done"]:
+            cards.append(json.loads(re.sub(r"^[\s,]+", "", card.removeprefix('{"cards": ['))))
+            card = ""
+    assert cards == _cards(60) and len({r["split"] for r in segments}) > 5
+
+
 @pytest.mark.parametrize("values", [[], [3.0], [1.0, 2.0], [-0.0, 0.0, 5.0], [float("inf"), -1e308, 1e308], [7.0] * 5 + [1.0, 9.0], [-3.5, -3.25, 1e-310, 2.0]])
 def test_radix_median(spark, values):
     df = spark.createDataFrame([(v,) for v in [*values, None, float("nan")]], "v double")
